@@ -136,7 +136,7 @@ def spearman_pairs(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame
 
 def spearman_redundancy(pairs: DataFrame, above: float = 0.9) -> DataFrame:
     """(feature, redundant_with, rho): strongest partner of each column, where above the limit."""
-    size = F.abs("rho")
+    size = F.round(F.abs("rho"), 12)    # equal up to rounding is a tie: the first name wins
     best = pairs.where("rho is not null").groupBy(F.col("a").alias("feature")).agg(
         F.min_by("b", F.struct(-size, F.col("b"))).alias("redundant_with"),
         F.max(size).alias("rho"))
