@@ -224,10 +224,9 @@ TYPED_TEXT = TYPED[-3:]
 
 
 @query("feature_types", " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, " + ("'categorical'" if c in TYPED_TEXT else
-     f"CASE WHEN count(DISTINCT {c}) > 10 THEN 'numeric' ELSE 'categorical' END")
-    + " AS kind FROM lineitem" for c in TYPED).replace(
-    "'categorical' AS kind FROM lineitem", "'categorical' AS kind FROM lineitem GROUP BY ALL"))
+    f"SELECT '{c}' AS feature, 'categorical' AS kind" if c in TYPED_TEXT else
+    f"SELECT '{c}', CASE WHEN count(DISTINCT {c}) > 10 THEN 'numeric' ELSE 'categorical' END "
+    "FROM lineitem" for c in [*TYPED_TEXT, *TYPED[:-3]]))
 def types(t: Tables):
     return feature_types(t.lineitem, TYPED)
 
