@@ -92,17 +92,17 @@ def unit_interval(h: Column) -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def digamma(n: str | Column) -> Column:
-    """Digamma of a positive number: recurrence up to n + 6, then the asymptotic series."""
-    n = as_col(n).cast("double")
-    z = n + 6.0
-    series = (
-        F.ln(z) - 1 / (2 * z) - 1 / (12 * z**2) + 1 / (120 * z**4)
-        - 1 / (252 * z**6) + 1 / (240 * z**8) - 1 / (132 * z**10)
-    )
-    for i in range(6):
-        series = series - 1 / (n + float(i))
-    return series
+def digamma(n: str) -> Column:
+    """Digamma of a positive number, given as an SQL expression.
+
+    Recurrence up to n + 6, then the asymptotic series.
+    """
+    n = f"double({n})"
+    z = f"({n} + 6.0D)"
+    steps = " ".join(f"- 1 / ({n} + {i}D)" for i in range(6))
+    return F.expr(
+        f"ln({z}) - 1 / (2 * {z}) - 1 / (12 * pow({z}, 2)) + 1 / (120 * pow({z}, 4))"
+        f" - 1 / (252 * pow({z}, 6)) + 1 / (240 * pow({z}, 8)) - 1 / (132 * pow({z}, 10)) {steps}")
 
 
 def days_between(later: Column, earlier: Column) -> Column:

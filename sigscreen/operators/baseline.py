@@ -14,7 +14,7 @@ from sigscreen.operators.folds import holdout
 from sigscreen.operators.information import MAX_CLASSES
 from sigscreen.operators.ordering import hash_positions
 from sigscreen.operators.ranks import class_auc
-from sigscreen.runtime import cut_lineage
+from sigscreen.runtime import cut_lineage, side_by_side
 
 MAX_LEVELS = 255      # a category with more levels enters as a continuous code
 
@@ -63,12 +63,14 @@ def out_of_fold(rows: DataFrame, fold: str = "fold", model: str = "forest",
                 **settings) -> DataFrame:
     """(id, y, prediction, scores) with every row predicted by a model that never saw its fold."""
     folds = sorted(r[0] for r in rows.select(fold).distinct().collect())
-    parts = []
-    for f in folds:
+
+    def predicted(f: int) -> DataFrame:
         fit = estimator(model, **settings).fit(rows.where(F.col(fold) != f))
         done = fit.transform(rows.where(F.col(fold) == f))
-        parts.append(done.select("id", "y", "prediction", vector_to_array(
-            _score_column(done)).alias("scores")))
+        return done.select("id", "y", "prediction", vector_to_array(
+            _score_column(done)).alias("scores"))
+
+    parts = side_by_side(rows.sparkSession, [lambda f=f: predicted(f) for f in folds])
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

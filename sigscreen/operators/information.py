@@ -158,7 +158,7 @@ def _jittered(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def mi_numeric(cells: DataFrame, groups: Sequence[str] = (), k: int = NEIGHBORS,
-               jitter: bool = True) -> DataFrame:
+               parts: int = 1) -> DataFrame:
     """(groups..., feature, mi): nearest-neighbor estimate between a number and a class.
 
     Ross (2014), PLoS ONE 9(2). For each row, r is the distance to its k-th nearest row
@@ -166,12 +166,14 @@ def mi_numeric(cells: DataFrame, groups: Sequence[str] = (), k: int = NEIGHBORS,
     included; MI = psi(N) + <psi(k)> - <psi(N_y)> - <psi(m)>. A class with a single row
     is left out, and k is at most the class size less one.
 
-    ``cells`` has no missing x. Both searches are windows over bounded blocks.
+    ``cells`` has no missing x; ``parts`` is the number of groups, when they are about
+    equally large. Both searches are windows over bounded blocks.
     """
     groups = list(groups)
     keys = [*groups, "feature"]
-    points = (_jittered(cells, groups) if jitter else cells).select(*keys, "id", "y", "x")
-    splits = Splits(points, ["feature"], "x")
+    points = _jittered(cells, groups).select(*keys, "id", "y", "x")
+    # The noise has spread any heavy value, so split points fall inside it too.
+    splits = Splits(points, ["feature"], "x", parts)
     sizes = points.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("ny")).where("ny > 1")
     # One row per feature, group and class.
     points = points.join(F.broadcast(sizes), [*keys, "y"])
@@ -204,7 +206,7 @@ def mi_numeric(cells: DataFrame, groups: Sequence[str] = (), k: int = NEIGHBORS,
     totals = sizes.groupBy(*keys).agg(
         F.sum("ny").alias("N"),
         (F.sum(F.col("ny") * digamma("ny")) / F.sum("ny")).alias("psi_y"),
-        (F.sum(F.col("ny") * digamma(F.least(F.lit(k), F.col("ny") - 1))) / F.sum("ny")
+        (F.sum(F.col("ny") * digamma(f"least({k}, ny - 1)")) / F.sum("ny")
          ).alias("psi_k"))
 
     marks = F.explode(F.array(
@@ -216,7 +218,7 @@ def mi_numeric(cells: DataFrame, groups: Sequence[str] = (), k: int = NEIGHBORS,
     counted = running_weights(events, "v", "w", keys, splits, "before", then=["kind"])
     inside = counted.where("kind <> 1").groupBy(*keys, "id").agg(
         F.sum(F.when(F.col("kind") == 2, F.col("before")).otherwise(-F.col("before"))).alias("m"))
-    found = inside.groupBy(*keys).agg(F.avg(digamma(F.greatest("m", F.lit(1)))).alias("psi_m"))
+    found = inside.groupBy(*keys).agg(F.avg(digamma("greatest(m, 1)")).alias("psi_m"))
     mi = digamma("N") + F.col("psi_k") - F.col("psi_y") - F.col("psi_m")
     return found.join(totals, keys).select(*keys, F.greatest(mi, F.lit(0.0)).alias("mi"))
 
@@ -302,7 +304,7 @@ def permutation_mi(df: DataFrame, id_col: str, label: str, numeric: Sequence[str
         parts.append(mi_discrete(category_counts(shuffled, label, categorical, ["k"]), ["k"]))
     if numeric:
         cells = numeric_cells(shuffled, id_col, label, numeric, ["k"])
-        parts.append(mi_numeric(cells, ["k"]) if estimator == "knn"
+        parts.append(mi_numeric(cells, ["k"], parts=perms) if estimator == "knn"
                      else mi_discrete(binned_counts(cells, ["k"]), ["k"]))
     out = parts[0]
     for part in parts[1:]:

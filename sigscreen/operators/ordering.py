@@ -57,18 +57,24 @@ def hash_positions(df: DataFrame, ids: Sequence[str], groups: Sequence[str] = ()
 
 
 class Splits:
-    """Split points per group, and the bucket expression that they define."""
+    """Split points per group, and the bucket expression that they define.
 
-    def __init__(self, df: DataFrame, by: Sequence[str], value: str):
+    Best built on the rows themselves, before any shuffle: the sketch is filled on the
+    map side. Rows count, not distinct values, so no bucket holds more than its share of
+    rows, and a table of value counts has fewer still.
+    """
+
+    def __init__(self, df: DataFrame, by: Sequence[str], value: str, parts: int = 1):
+        """``parts``: into how many equal groups the windows will cut each group of ``by``."""
         self.by = list(by)
-        probs = [i / (MAX_SPLITS + 1) for i in range(1, MAX_SPLITS + 1)]
-        found = df.groupBy(*self.by).agg(
+        probs = ", ".join(f"{i / (MAX_SPLITS + 1)}D" for i in range(1, MAX_SPLITS + 1))
+        found = df.where(F.col(value).isNotNull()).groupBy(*self.by).agg(
             F.count(F.lit(1)).alias("n"),
-            F.percentile_approx(F.col(value).cast("double"), probs, 20_000).alias("points"),
+            F.expr(f"percentile_approx(double(`{value}`), array({probs}), 20000)").alias("points"),
         )
         rows = []
         for r in found.collect():
-            want = min(MAX_SPLITS, r["n"] // ROWS_PER_BUCKET)
+            want = min(MAX_SPLITS, r["n"] // (ROWS_PER_BUCKET * parts))
             if not want or not r["points"]:
                 continue
             step = (MAX_SPLITS + 1) / (want + 1)
@@ -166,7 +172,7 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
     """
     groups = list(groups)
     counts = value_counts(df, groups, value)
-    ranked = running_weights(counts, value, "n", groups)
+    ranked = running_weights(counts, value, "n", groups, Splits(df, groups, value))
     totals = counts.groupBy(*groups).agg(F.sum("n").alias("_total"))
     ranked = ranked.join(F.broadcast(totals), groups)  # one row per group
     picks = []

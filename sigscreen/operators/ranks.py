@@ -26,7 +26,7 @@ def class_auc(cells: DataFrame, groups: Sequence[str] = ("feature",)) -> DataFra
     groups = list(groups)
     counts = cells.where("x is not null").groupBy(*groups, "x", "y").agg(
         F.count(F.lit(1)).alias("n"))
-    ranked = midranks(counts, "x", groups)
+    ranked = midranks(counts, "x", groups, Splits(cells, groups, "x"))
     by_class = ranked.groupBy(*groups, "y").agg(
         F.sum(F.col("rank") * F.col("n")).alias("s"), F.sum("n").alias("n_pos"))
     totals = by_class.groupBy(*groups).agg(F.sum("n_pos").alias("n"))
@@ -48,8 +48,9 @@ def kruskal_h(cells: DataFrame) -> DataFrame:
     counts = cells.where("x is not null").groupBy("feature", "x", "y").agg(
         F.count(F.lit(1)).alias("n"))
     large = counts.groupBy("feature", "y").agg(F.sum("n").alias("_ny")).where("_ny > 1")
+    # One row per feature and class.
     ranked = midranks(counts.join(F.broadcast(large.drop("_ny")), ["feature", "y"]), "x",
-                      ["feature"])
+                      ["feature"], Splits(cells, ["feature"], "x"))
     # Every row of a value carries its tie count t, so sum n (t^2 - 1) is sum (t^3 - t).
     by_class = ranked.groupBy("feature", "y").agg(
         F.sum(F.col("rank") * F.col("n")).alias("r"), F.sum("n").alias("ny"),
@@ -98,7 +99,7 @@ def spearman_pairs(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame
         for i, c in enumerate(cols) for m in variants(c)]), lambda s: s["x"].isNotNull()))
     long = wide.select("id", cells.alias("_c")).select("id", "_c.f", "_c.x")
     counts = long.groupBy("f", "x").agg(F.count(F.lit(1)).alias("n"))
-    splits = Splits(counts, ["f"], "x")
+    splits = Splits(long, ["f"], "x")
     ranked = midranks(counts, "x", ["f"], splits).select("f", "x", "n", "rank")
     # Any value with a large share of the rows is a hot join key: spread it by salt.
     # Its row here tells how hot it is; row-side salts come from the same small list.

@@ -43,20 +43,12 @@ def _value(field: T.StructField):
     return F.col(f"`{field.name}`").cast("string")
 
 
-def profile_columns(df: DataFrame, table: str, sample: int | None = None) -> DataFrame:
-    """One row per column: type, rows, null share, distinct count, samples, time and key flags.
-
-    All columns go through one shuffle of (column, value) counts. Long values are
-    represented by their md5, so texts are compared whole without being moved.
-    """
-    rows = df.limit(sample) if sample else df
-    fields = df.schema.fields
-    named = {f.name: any(p in f.name.lower() for p in TIME_NAME_PARTS) for f in fields}
-
+def _cells(df: DataFrame, table: str) -> DataFrame:
+    """(table, column, key, shown, bad) of every value; long values are keyed by their md5."""
     def cell(f: T.StructField):
         v = _value(f)
         # Only a text column with a time-like name needs its values parsed.
-        guess = named[f.name] and isinstance(f.dataType, T.StringType)
+        guess = _time_by_name(f) == "text"
         bad = to_time(F.col(f"`{f.name}`"), f.dataType).isNull() if guess else F.lit(False)
         shown = F.when(F.length(v) > SAMPLE_WIDTH,
                        F.concat(F.substring(v, 1, SAMPLE_CUT), F.lit("..."))).otherwise(v)
@@ -65,25 +57,43 @@ def profile_columns(df: DataFrame, table: str, sample: int | None = None) -> Dat
         return F.struct(F.lit(f.name).alias("column"), key.alias("key"), shown.alias("shown"),
                         (bad & v.isNotNull()).alias("bad"))
 
-    cells = rows.select(F.explode(F.array(*[cell(f) for f in fields])).alias("_c")).select("_c.*")
-    counts = cells.groupBy("column", "key", "shown").agg(
+    cells = F.explode(F.array(*[cell(f) for f in df.schema.fields])).alias("_c")
+    return df.select(F.lit(table).alias("table"), cells).select("table", "_c.*")
+
+
+def profile_columns(tables: Mapping[str, DataFrame], sample: int | None = None) -> DataFrame:
+    """One row per column: type, rows, null share, distinct count, samples, time and key flags.
+
+    All columns of all tables go through one shuffle of value counts. Long values are
+    represented by their md5, so texts are compared whole without being moved.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    meta, cells = [], None
+    for name, df in tables.items():
+        part = _cells(df.limit(sample) if sample else df, name)
+        cells = part if cells is None else cells.unionByName(part)
+        meta += [(len(meta) + i, name, f.name, f.dataType.simpleString(), _is_time_type(f.dataType),
+                  _is_key_type(f.dataType), _time_by_name(f))
+                 for i, f in enumerate(df.schema.fields)]
+    counts = cells.groupBy("table", "column", "key", "shown").agg(
         F.count(F.lit(1)).alias("n"), F.max("bad").alias("bad"))
-    stats = counts.groupBy("column").agg(
+    at = ["table", "column"]
+    stats = counts.groupBy(*at).agg(
         F.sum("n").alias("row_count"),
         F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(0)).alias("_nulls"),
         F.count("key").alias("cardinality"), F.max("bad").alias("_bad"))
     # Each task keeps its three smallest values per column before the shuffle.
     first = counts.where("key is not null").withColumn("_r", F.row_number().over(
-        W.partitionBy("column").orderBy("shown", "key"))).where(F.col("_r") <= SAMPLES)
-    samples = first.groupBy("column").agg(F.array_join(F.transform(
+        W.partitionBy(*at).orderBy("shown", "key"))).where(F.col("_r") <= SAMPLES)
+    samples = first.groupBy(*at).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("_r", "shown"))), lambda s: s["shown"]), ", "
     ).alias("samples"))
 
-    meta = df.sparkSession.createDataFrame(
-        [(i, f.name, f.dataType.simpleString(), _is_time_type(f.dataType), _is_key_type(f.dataType),
-          _time_by_name(f, named[f.name])) for i, f in enumerate(fields)],
-        "_i int, column string, dtype string, _time boolean, _keyable boolean, _named string")
-    out = meta.join(stats, "column", "left").join(samples, "column", "left")
+    # Both sides have one row per column of the schemas.
+    out = spark.createDataFrame(
+        meta, "_i int, table string, column string, dtype string, _time boolean, "
+        "_keyable boolean, _named string").join(F.broadcast(stats), at, "left").join(
+        F.broadcast(samples), at, "left")
     n = F.coalesce(F.col("row_count"), F.lit(0))
     parsed = (F.col("_named") == "number") | (
         (F.col("_named") == "text") & ~F.col("_bad") & (F.col("cardinality") > 0))
@@ -93,15 +103,16 @@ def profile_columns(df: DataFrame, table: str, sample: int | None = None) -> Dat
     is_key = (~is_time & (null_pct < MAX_KEY_NULL_PCT) & (n > 0) & F.col("_keyable")
               & (distinct / F.greatest(n, F.lit(1)) > MIN_KEY_DISTINCT_SHARE))
     return out.orderBy("_i").select(
-        F.lit(table).alias("table"), "column", "dtype", n.cast("bigint").alias("row_count"),
+        "table", "column", "dtype", n.cast("bigint").alias("row_count"),
         null_pct.alias("null_pct"), distinct.cast("bigint").alias("cardinality"),
         F.coalesce("samples", F.lit(NO_SAMPLE)).alias("samples"),
         is_time.alias("is_time"), is_key.alias("is_key"),
         F.lit(None).cast("string").alias("error"))
 
 
-def _time_by_name(f: T.StructField, named: bool) -> str:
+def _time_by_name(f: T.StructField) -> str:
     """How a time-like name may count: texts must parse, numbers need the word on its own."""
+    named = any(p in f.name.lower() for p in TIME_NAME_PARTS)
     if named and isinstance(f.dataType, T.StringType):
         return "text"
     words = set(f.name.lower().split("_"))
@@ -159,7 +170,7 @@ def profile(spark: SparkSession, refs: Sequence[str] | Mapping[str, DataFrame],
     full-table distinct estimates of the key-like columns).
     """
     tables: dict[str, DataFrame] = {}
-    parts, failed = [], []
+    failed = []
     if isinstance(refs, Mapping):
         tables = dict(refs)
     else:
@@ -169,15 +180,12 @@ def profile(spark: SparkSession, refs: Sequence[str] | Mapping[str, DataFrame],
             except AnalysisException as err:
                 failed.append((ref, None, None, None, None, None, None, False, False,
                                str(err).splitlines()[0]))
-    for name, df in tables.items():
-        parts.append(profile_columns(df, name, sample))
-    if failed:
-        parts.append(spark.createDataFrame(failed, PROFILE_SCHEMA))
-    if not parts:
+    if not tables and not failed:
         raise ValueError("no tables given")
-    columns = parts[0]
-    for part in parts[1:]:
-        columns = columns.unionByName(part)
+    columns = profile_columns(tables, sample) if tables else None
+    if failed:
+        errors = spark.createDataFrame(failed, PROFILE_SCHEMA)
+        columns = errors if columns is None else columns.unionByName(errors)
     out = {"columns": columns, "join_keys": join_keys(columns)}
     if exact_count:
         counts = [df.agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("row_count"))

@@ -20,7 +20,7 @@ from sigscreen.operators.ordering import hash_positions
 from sigscreen.operators.stability import slice_mi, stability_cv
 from sigscreen.operators.verdict import (
     Thresholds, class_quartiles, report_order, verdict_counts, verdicts)
-from sigscreen.runtime import cut_lineage
+from sigscreen.runtime import cut_lineage, side_by_side
 
 ROW = "_row"
 KNN_ROWS = 200_000_000     # cells x shuffles up to which "auto" uses the nearest-neighbor estimate
@@ -74,6 +74,38 @@ def _outer(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def _baseline(filled: DataFrame, id_col: str, label: str, group: str | None, numeric: list[str],
+              categorical: list[str], model: str, seed: int, settings: dict):
+    """(importance per feature, confusion matrix, macro-F1, macro-AUC) of the baseline model."""
+    if group:
+        dealt = group_folds(filled, group).drop("n")
+        folded = lookup_join(filled, dealt, group, "inner").drop(group)
+    else:
+        dealt = stratified_folds(filled, id_col, label, 5, seed).drop(label)
+        folded = filled.join(dealt, id_col)
+    data, classes = B.assemble(folded.withColumnRenamed(id_col, "id"), label, numeric, categorical,
+                               ["id", "fold"])
+    data = cut_lineage(data)
+
+    def folds():
+        oof = cut_lineage(B.out_of_fold(data, "fold", model, seed=seed, **settings))
+        counts = oof.groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("n"))
+        names = F.array(*[F.lit(c) for c in classes])
+        confusion = confusion_matrix(oof.select(
+            F.get(names, F.col("y").cast("int")).alias("label"),
+            F.get(names, F.col("prediction").cast("int")).alias("predicted")),
+            "label", "predicted")
+        return (confusion, B.macro_f1(counts, "y", "prediction").first()["macro_f1"],
+                B.macro_auc(oof).first()["macro_auc"])
+
+    def importance():
+        return cut_lineage(B.permutation_importance(data, [*numeric, *categorical], model,
+                                                    seed=seed, **settings))
+
+    (confusion, f1, auc), scores = side_by_side(data.sparkSession, [folds, importance])
+    return scores, confusion, f1, auc
+
+
 def screen(features: DataFrame, labels: DataFrame, id_col: str, label_col: str,
            time_col: str | None = None, group_col: str | None = None, sample: int | None = None,
            n_perm: int = 30, include: Sequence[str] | None = None, exclude: Sequence[str] = (),
@@ -108,78 +140,66 @@ def screen(features: DataFrame, labels: DataFrame, id_col: str, label_col: str,
     filled = cut_lineage(I.encode_features(rows, id_col, numeric, categorical,
                                            [label_col, *([group_col] if group_col else [])]))
 
-    # --- one statistic per feature ------------------------------------------------
-    parts = []
-    if categorical:
-        parts.append(I.mi_discrete(I.category_counts(filled, label_col, categorical)))
-    if numeric:
-        cells = I.numeric_cells(filled, id_col, label_col, numeric)
-        parts.append(I.mi_numeric(cells) if estimator == "knn"
-                     else I.mi_discrete(I.binned_counts(cells)))
-    mi = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    mi = cut_lineage(mi.withColumn("mi_ratio", F.col("mi") / F.lit(facts["entropy"])))
-    stats = [mi]
-    if n_perm > 0:
-        stats.append(cut_lineage(I.null_p95(I.permutation_mi(
-            filled, id_col, label_col, numeric, categorical, n_perm, seed, estimator))))
-    else:
-        stats.append(mi.select("feature", F.lit(0.0).alias("null_p95")))
-    stats.append(coverage(rows, cols))
-    rank_pairs = None
-    schema = rows.sparkSession
-    if numeric:
-        raw = I.numeric_cells(rows, id_col, label_col, numeric)
-        stats.append(R.best_ovr_auc(raw))
-    else:
-        stats.append(schema.createDataFrame([], "feature string, best_auc double"))
-    if len(numeric) > 1:
-        rank_pairs = cut_lineage(R.spearman_pairs(rows, id_col, numeric))
-        stats.append(R.spearman_redundancy(rank_pairs, thresholds.max_spearman).drop("rho"))
-    else:
-        stats.append(schema.createDataFrame([], "feature string, redundant_with string"))
-    dated = 0.0
-    if time_col:
-        known = to_time(time_col, rows.schema[time_col].dataType).isNotNull()
-        dated = rows.agg(F.avg(known.cast("double"))).first()[0] or 0.0
-    if time_col and dated >= 0.5:
-        stats.append(stability_cv(slice_mi(rows, id_col, label_col, time_col, numeric,
-                                           categorical, estimator=estimator)))
-    else:
-        stats.append(schema.createDataFrame([], "feature string, stability_cv double"))
-
-    # --- baseline model --------------------------------------------------------------
-    confusion, scores = None, {"macro_f1": None, "macro_auc": None}
-    if model:
-        if group_col:
-            dealt = group_folds(filled, group_col).drop("n")
-            folded = lookup_join(filled, dealt, group_col, "inner").drop(group_col)
-        else:
-            dealt = stratified_folds(filled, id_col, label_col, 5, seed).drop(label_col)
-            folded = filled.join(dealt, id_col)
-        data, classes = B.assemble(folded.withColumnRenamed(id_col, "id"),
-                                   label_col, numeric, categorical, ["id", "fold"])
-        data = cut_lineage(data)
-        oof = cut_lineage(B.out_of_fold(data, "fold", model, seed=seed, **model_settings))
-        counts = oof.groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("n"))
-        scores["macro_f1"] = B.macro_f1(counts, "y", "prediction").first()["macro_f1"]
-        scores["macro_auc"] = B.macro_auc(oof).first()["macro_auc"]
-        names = F.array(*[F.lit(c) for c in classes])
-        confusion = confusion_matrix(oof.select(
-            F.get(names, F.col("y").cast("int")).alias("label"),
-            F.get(names, F.col("prediction").cast("int")).alias("predicted")),
-            "label", "predicted")
-        stats.append(B.permutation_importance(data, [*numeric, *categorical], model, seed=seed,
-                                              **model_settings))
-    else:
-        stats.append(mi.select("feature", F.lit(None).cast("double").alias("importance")))
+    spark = rows.sparkSession
+
+    def empty(columns: str) -> DataFrame:
+        return spark.createDataFrame([], columns)
+
+    def information() -> DataFrame:
+        parts = []
+        if categorical:
+            parts.append(I.mi_discrete(I.category_counts(filled, label_col, categorical)))
+        if numeric:
+            cells = I.numeric_cells(filled, id_col, label_col, numeric)
+            parts.append(I.mi_numeric(cells) if estimator == "knn"
+                         else I.mi_discrete(I.binned_counts(cells)))
+        mi = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return cut_lineage(mi.withColumn("mi_ratio", F.col("mi") / F.lit(facts["entropy"])))
+
+    def null() -> DataFrame:
+        if n_perm <= 0:
+            return spark.createDataFrame([(c, 0.0) for c in cols], "feature string, null_p95 double")
+        return cut_lineage(I.null_p95(I.permutation_mi(
+            filled, id_col, label_col, numeric, categorical, n_perm, seed, estimator)))
+
+    def auc() -> DataFrame:
+        if not numeric:
+            return empty("feature string, best_auc double")
+        return cut_lineage(R.best_ovr_auc(I.numeric_cells(rows, id_col, label_col, numeric)))
+
+    def redundancy() -> tuple[DataFrame, DataFrame | None]:
+        if len(numeric) < 2:
+            return empty("feature string, redundant_with string"), None
+        pairs = cut_lineage(R.spearman_pairs(rows, id_col, numeric))
+        return R.spearman_redundancy(pairs, thresholds.max_spearman).drop("rho"), pairs
+
+    def stable() -> DataFrame:
+        dated = 0.0
+        if time_col:
+            known = to_time(time_col, rows.schema[time_col].dataType).isNotNull()
+            dated = rows.agg(F.avg(known.cast("double"))).first()[0] or 0.0
+        if dated < 0.5:
+            return empty("feature string, stability_cv double")
+        return cut_lineage(stability_cv(slice_mi(
+            rows, id_col, label_col, time_col, numeric, categorical, estimator=estimator)))
+
+    def baseline() -> tuple[DataFrame, DataFrame | None, float | None, float | None]:
+        if not model:
+            return empty("feature string, importance double"), None, None, None
+        return _baseline(filled, id_col, label_col, group_col, numeric, categorical, model, seed,
+                         model_settings)
+
+    mi, p95, aucs, (redundant, rank_pairs), cv, (importance, confusion, f1, macro_auc) = \
+        side_by_side(spark, [information, null, auc, redundancy, stable, baseline])
+    stats = [mi, p95, coverage(rows, cols), aucs, redundant, cv, importance]
 
     table = cut_lineage(verdicts(_outer(stats), thresholds))
     summary = verdict_counts(table).select(
         F.lit(facts["rows"]).cast("bigint").alias("sample_rows"),
         F.lit(facts["classes"]).cast("bigint").alias("classes"),
         F.col("features"),
-        F.lit(scores["macro_f1"]).cast("double").alias("macro_f1"),
-        F.lit(scores["macro_auc"]).cast("double").alias("macro_auc"),
+        F.lit(f1).cast("double").alias("macro_f1"),
+        F.lit(macro_auc).cast("double").alias("macro_auc"),
         "keep", "investigate", "drop")
     out = Screen(report_order(table), summary)
     if charts:

@@ -1,31 +1,45 @@
-"""Session helpers: reliable checkpoints for iterative operators."""
+"""Session helpers: tables that cut lineage, and jobs that run side by side."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the session names; make one only for a local session without any.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; made up only for a local session without any.
 
     A local folder is not visible to other machines, so a cluster session that
     names none is refused.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sigscreen-checkpoint-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sigscreen-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder, so that a lost executor costs no earlier round."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and read them back.
+
+    A lost executor then costs no earlier step, later readers scan only the columns they
+    need, and Spark knows the size of the table when it picks a join.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(spark: SparkSession, steps: Sequence[Callable[[], object]]) -> list:
+    """Run independent steps at the same time, so that the short stages of one fill the gaps of another."""
+    with ThreadPoolExecutor(max_workers=max(1, len(steps))) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(s)) for s in steps]
+        return [r.result() for r in running]

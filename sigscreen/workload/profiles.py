@@ -53,8 +53,9 @@ PROFILE = "prof AS (SELECT *, NOT is_time AND null_pct < 5 AND keyable AND row_c
         _column_sql(t, *col.split()) for t, cols in SCHEMAS.items() for col in cols.split(", ")) + "))"
 
 
-def profiles(t: Tables):
-    return P.profile(t.spark, {n: getattr(t, n) for n in SCHEMAS}, approx=False)
+def profiles(t: Tables, exact_count: bool = False):
+    return P.profile(t.spark, {n: getattr(t, n) for n in SCHEMAS}, exact_count=exact_count,
+                     approx=False)
 
 
 @query("profile_columns", f"""WITH {PROFILE} SELECT "table", "column", dtype, row_count,
@@ -86,8 +87,7 @@ def join_keys(t: Tables):
 @query("row_counts", " UNION ALL ".join(
     f"SELECT '{t}' AS \"table\", count(*) AS row_count FROM {t}" for t in SCHEMAS))
 def row_counts(t: Tables):
-    return P.profile(t.spark, {n: getattr(t, n) for n in SCHEMAS}, exact_count=True,
-                     approx=False)["counts"]
+    return profiles(t, exact_count=True)["counts"]
 
 
 # An estimate: SQL cannot give the same number, so only its accuracy is checked in the tests.

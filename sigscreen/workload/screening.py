@@ -12,6 +12,7 @@ from sigscreen.operators.folds import stratified_folds
 from sigscreen.operators.stability import slice_mi, stability_cv, time_slices
 from sigscreen.operators.verdict import class_quartiles, verdicts
 from sigscreen.plans.screen import rescreen_diff, screen
+from sigscreen.runtime import cut_lineage
 from sigscreen.workload import data as D
 from sigscreen.workload.cleaning import SOURCE_PREDICTIONS, source_predictions
 from sigscreen.workload.registry import (
@@ -269,7 +270,8 @@ def model_rows(t: Tables):
     """Customers as vectors with folds; the label is the region."""
     rows = I.encode_features(D.nation_features(t), "id", ["c_acctbal"], CATS, ["r_name"])
     dealt = stratified_folds(rows, "id", "r_name").drop("r_name")
-    return B.assemble(rows.join(dealt, "id"), "r_name", ["c_acctbal"], CATS, ["id", "fold"])[0]
+    return cut_lineage(B.assemble(
+        rows.join(dealt, "id"), "r_name", ["c_acctbal"], CATS, ["id", "fold"])[0])
 
 
 @query("out_of_fold")
