@@ -50,6 +50,17 @@ def split_kinds(df: DataFrame, cols: Sequence[str]) -> tuple[list[str], list[str
     return [c for c in cols if c in numeric], [c for c in cols if c not in numeric]
 
 
+def _stacked(values: Sequence[str], names: Sequence[str]):
+    """Turn columns of one type into rows (feature, x)."""
+    cells = ", ".join(f"struct({_literal(n)} AS feature, `{v}` AS x)"
+                      for v, n in zip(values, names))
+    return F.expr(f"inline(array({cells}))")
+
+
+def _literal(name: str) -> str:
+    return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _text(df: DataFrame, c: str):
     nested = isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))
     return F.to_json(c) if nested else F.col(c).cast("string")
@@ -58,19 +69,19 @@ def _text(df: DataFrame, c: str):
 def numeric_cells(df: DataFrame, id_col: str, label: str, cols: Sequence[str],
                   keep: Sequence[str] = ()) -> DataFrame:
     """Long rows (id, y, keep..., feature, x) of the numeric columns; x may be null."""
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), to_number(c).alias("x")) for c in cols]))
-    return df.select(F.col(id_col).alias("id"), F.col(label).cast("string").alias("y"),
-                     *keep, cells.alias("_c")).select("id", "y", *keep, "_c.*")
+    return df.select(F.col(id_col).alias("id"), F.col(label).cast("string").alias("y"), *keep,
+                     *[to_number(c).alias(f"_x{i}") for i, c in enumerate(cols)]).select(
+        "id", "y", *keep, _stacked([f"_x{i}" for i in range(len(cols))], cols))
 
 
 def category_counts(df: DataFrame, label: str, cols: Sequence[str],
                     groups: Sequence[str] = ()) -> DataFrame:
     """(groups..., feature, x, y, n) of the categorical columns; missing is a category of its own."""
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), _text(df, c).alias("x")) for c in cols]))
-    return df.select(*groups, F.col(label).cast("string").alias("y"), cells.alias("_c")).groupBy(
-        *groups, "_c.feature", "_c.x", "y").agg(F.count(F.lit(1)).alias("n"))
+    names = [f"_x{i}" for i in range(len(cols))]
+    rows = df.select(*groups, F.col(label).cast("string").alias("y"),
+                     *[_text(df, c).alias(n) for n, c in zip(names, cols)])
+    return rows.select(*groups, "y", _stacked(names, cols)).groupBy(
+        *groups, "feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
 def impute_median(cells: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
@@ -83,9 +94,9 @@ def impute_median(cells: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 
 def category_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(feature, x, code): codes 1.. for the categories of each column, in hash order."""
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), _text(df, c).alias("x")) for c in cols]))
-    seen = df.select(cells.alias("_c")).select("_c.*").where("x is not null").distinct()
+    names = [f"_x{i}" for i in range(len(cols))]
+    seen = df.select(*[_text(df, c).alias(n) for n, c in zip(names, cols)]).select(
+        _stacked(names, cols)).where("x is not null").distinct()
     return hash_positions(seen, ["x"], ["feature"], 0, "code")
 
 
@@ -99,10 +110,9 @@ def encode_features(df: DataFrame, id_col: str, numeric: Sequence[str],
     out = df.select(id_col, *keep, *[to_number(c).alias(c) for c in numeric],
                     *[_text(df, c).alias(c) for c in categorical])
     if numeric:
-        cells = out.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in numeric])).alias("_c"))
+        # One number per feature comes back.
         medians = {r["feature"]: r["_med"] for r in exact_quantiles(
-            cells.select("_c.*"), ["feature"], "x", {"_med": 0.5}).collect()}
+            out.select(_stacked(numeric, numeric)), ["feature"], "x", {"_med": 0.5}).collect()}
         out = out.withColumns({c: F.coalesce(F.col(c), F.lit(medians.get(c, 0.0)))
                                for c in numeric})
     if categorical:

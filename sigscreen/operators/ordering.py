@@ -5,10 +5,11 @@ Here every group is first cut into buckets that respect the order, each bucket i
 sorted on its own, and the sizes of the earlier buckets are added as offsets.
 
 * Order by hash: the leading hex digits of an md5 are even buckets by themselves.
-* Order by value: split points come from one ``percentile_approx`` pass. A value
-  that fills more than one bucket is always a split point; it gets a bucket of its
-  own, which is cut further by the tie-breaking hash. So one value may hold any
-  share of the rows.
+* Order by value: split points come from one ``percentile_approx`` pass over a
+  share of the rows. A value that would fill a bucket is a split point; it gets a
+  bucket of its own, which is cut further by the tie-breaking hash. So one value
+  may hold any share of the rows. The points only balance the work: whatever they
+  are, the numbers that come out are the same.
 
 Split points are metadata (at most ``MAX_SPLITS`` numbers per group) and are read
 once, so that all branches of a plan use the same buckets.
@@ -27,19 +28,22 @@ from sigscreen.functions.columns import hash_text
 HASH_DIGITS = 3        # 4,096 buckets for an order by hash
 TIE_DIGITS = 2         # 256 buckets inside one heavy value
 MAX_SPLITS = 1023      # split points per group for an order by value
-ROWS_PER_BUCKET = 200_000
-COARSE = 32            # every 32nd split point is searched first
+ROWS_PER_BUCKET = 100_000
+SKETCH_SHARE = 1 / 32  # rows that the split points are estimated from; results do not depend on it
 
 
 def _offsets(rows: DataFrame, groups: Sequence[str], bucket: Sequence[str], weight: Column,
-             name: str) -> DataFrame:
-    """Sum of ``weight`` over all earlier buckets of the group; one row per bucket."""
+             name: str, total: str | None = None) -> DataFrame:
+    """Sum of ``weight`` over all earlier buckets of the group (and over all), one row per bucket."""
     sizes = rows.groupBy(*groups, *bucket).agg(F.sum(weight).alias("_size"))
-    # Bounded window: one row per bucket, never one per input row.
-    earlier = W.partitionBy(*groups).orderBy(*bucket).rowsBetween(W.unboundedPreceding, -1)
-    return sizes.select(
-        *groups, *bucket, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias(name)
-    )
+    # Bounded windows: one row per bucket, never one per input row.
+    group = W.partitionBy(*groups).orderBy(*bucket)
+    earlier = group.rowsBetween(W.unboundedPreceding, -1)
+    out = [F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias(name)]
+    if total:
+        whole = group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        out.append(F.sum("_size").over(whole).alias(total))
+    return sizes.select(*groups, *bucket, *out)
 
 
 def hash_positions(df: DataFrame, ids: Sequence[str], groups: Sequence[str] = (),
@@ -68,13 +72,15 @@ class Splits:
         """``parts``: into how many equal groups the windows will cut each group of ``by``."""
         self.by = list(by)
         probs = ", ".join(f"{i / (MAX_SPLITS + 1)}D" for i in range(1, MAX_SPLITS + 1))
-        found = df.where(F.col(value).isNotNull()).groupBy(*self.by).agg(
+        seen = df.select(*self.by, F.col(value).cast("double").alias("_v")).where("_v is not null")
+        if SKETCH_SHARE < 1:
+            seen = seen.sample(SKETCH_SHARE, 0)
+        found = seen.groupBy(*self.by).agg(
             F.count(F.lit(1)).alias("n"),
-            F.expr(f"percentile_approx(double(`{value}`), array({probs}), 20000)").alias("points"),
-        )
+            F.expr(f"percentile_approx(_v, array({probs}), 5000)").alias("points"))
         rows = []
         for r in found.collect():
-            want = min(MAX_SPLITS, r["n"] // (ROWS_PER_BUCKET * parts))
+            want = min(MAX_SPLITS, int(r["n"] / SKETCH_SHARE / (ROWS_PER_BUCKET * parts)))
             if not want or not r["points"]:
                 continue
             step = (MAX_SPLITS + 1) / (want + 1)
@@ -82,36 +88,34 @@ class Splits:
             rows.append((*[r[c] for c in self.by], sorted(picked)))
         self.table = None
         if rows:
+            # All lists are padded to one length, 2^n - 1, for a search of n steps.
+            self.steps = max(len(r[-1]) for r in rows).bit_length()
+            size = 2**self.steps - 1
+            rows = [(*r[:-1], r[-1] + [float("inf")] * (size - len(r[-1]))) for r in rows]
             fields = [f.simpleString().replace(":", " ", 1)
                       for f in df.select(*self.by).schema.fields]
             self.table = df.sparkSession.createDataFrame(
-                rows, ", ".join([*fields, "_points array<double>"])
-            ).withColumn("_coarse", F.expr(
-                f"transform(sequence(0, int((size(_points) - 1) / {COARSE})), "
-                f"i -> _points[i * {COARSE}])"))
+                rows, ", ".join([*fields, "_points array<double>"]))
 
     def bucketed(self, df: DataFrame, value: str, tie: Sequence[str] = ()) -> DataFrame:
         """Add ``_b`` (ordered bucket), ``_heavy`` (the bucket is one value) and ``_sub``."""
         if self.table is None:
             return df.withColumns({"_b": F.lit(0), "_heavy": F.lit(False), "_sub": F.lit("")})
         v = F.col(value).cast("double")
-        coarse = F.size(F.filter("_coarse", lambda p: p < v))
-        start = (F.greatest(coarse, F.lit(1)) - 1) * COARSE
-        fine = F.size(F.filter(F.slice("_points", start + 1, COARSE), lambda p: p < v))
-        below = F.when(F.col("_coarse").isNull() | (coarse == 0), 0).otherwise(start + fine)
-        on_point = F.coalesce(F.try_element_at("_points", F.col("_below") + 1) == v, F.lit(False))
         # The table holds one row per group, so its size is that of the feature list.
-        out = (
-            df.join(F.broadcast(self.table), self.by, "left")
-            .withColumn("_below", below)
-            .withColumn("_heavy", on_point)
-            .withColumn("_b", F.col("_below") * 2 + F.col("_heavy").cast("int"))
-        )
+        out = df.join(F.broadcast(self.table), self.by, "left").withColumn("_at", F.lit(0))
+        for step in reversed(range(self.steps)):
+            # Number of split points below the value, one binary digit at a time.
+            far = F.get("_points", F.col("_at") + (2**step - 1)) < v
+            out = out.withColumn("_at", F.col("_at") + F.when(far, 2**step).otherwise(0))
+        on_point = F.coalesce(F.get("_points", F.col("_at")) == v, F.lit(False))
+        out = out.withColumn("_heavy", on_point).withColumn(
+            "_b", F.col("_at") * 2 + F.col("_heavy").cast("int"))
         sub = F.lit("")
         if tie:
             sub = F.when(F.col("_heavy"), F.substring(hash_text(0, *tie), 1, TIE_DIGITS)
                          ).otherwise("")
-        return out.withColumn("_sub", sub).drop("_points", "_coarse", "_below")
+        return out.withColumn("_sub", sub).drop("_points", "_at")
 
 
 def value_positions(df: DataFrame, value: str, ids: Sequence[str], groups: Sequence[str] = (),
@@ -136,27 +140,34 @@ def value_positions(df: DataFrame, value: str, ids: Sequence[str], groups: Seque
 
 def running_weights(counts: DataFrame, value: str, weight: str, groups: Sequence[str],
                     splits: Splits | None = None, before: str = "before",
-                    tied: str | None = None, then: Sequence[str] = ()) -> DataFrame:
+                    tied: str | None = None, total: str | None = None,
+                    then: Sequence[str] = ()) -> DataFrame:
     """Add ``before``: the weight of all rows with a smaller value in the group.
 
-    Rows are pre-counted, so that a hot value is only a few rows. With ``tied``,
-    also add the weight of all rows that share the value. ``then`` lists columns
-    that order rows of the same value.
+    Rows are pre-counted, so that a hot value is only a few rows. With ``tied``, several
+    rows may share a value and the weight of all of them is added too; otherwise rows
+    of one value (and ``then``, which orders such rows) must be one row, or weigh nothing.
+    ``total`` adds the weight of the whole group.
     """
     groups = list(groups)
     if splits is None:
         splits = Splits(counts, groups, value)
     rows = splits.bucketed(counts, value)
-    offsets = _offsets(rows, groups, ["_b"], F.col(weight), "_earlier")
+    offsets = _offsets(rows, groups, ["_b"], F.col(weight), "_earlier", total)
+    # Both frames use one sort.
     order = W.partitionBy(*groups, "_b").orderBy(value, *then)
-    same = W.partitionBy(*groups, "_b", value, *then)
-    up_to = F.sum(weight).over(order)  # ties included: the default frame is a range
-    out = rows.join(offsets, [*groups, "_b"]).withColumns({
-        "_tied": F.sum(weight).over(same), "_upto": up_to})
-    out = out.withColumn(before, F.col("_earlier") + F.col("_upto") - F.col("_tied"))
+    out = rows.join(offsets, [*groups, "_b"])
     if tied:
-        out = out.withColumn(tied, F.col("_tied"))
-    return out.select(*counts.columns, before, *([tied] if tied else []))
+        same = order.rangeBetween(W.currentRow, W.currentRow)
+        out = out.select("*", F.sum(weight).over(order).alias("_upto"),
+                         F.sum(weight).over(same).alias(tied))
+        smaller = F.col("_upto") - F.col(tied)
+    else:
+        upto = F.sum(weight).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+        out = out.select("*", upto.alias("_upto"))
+        smaller = F.col("_upto") - F.col(weight)
+    out = out.withColumn(before, F.col("_earlier") + smaller)
+    return out.select(*counts.columns, before, *[c for c in (tied, total) if c])
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str, name: str = "n") -> DataFrame:
@@ -172,9 +183,8 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str,
     """
     groups = list(groups)
     counts = value_counts(df, groups, value)
-    ranked = running_weights(counts, value, "n", groups, Splits(df, groups, value))
-    totals = counts.groupBy(*groups).agg(F.sum("n").alias("_total"))
-    ranked = ranked.join(F.broadcast(totals), groups)  # one row per group
+    ranked = running_weights(counts, value, "n", groups, Splits(df, groups, value),
+                             total="_total")
     picks = []
     for name, p in probs.items():
         at = (F.col("_total") - 1) * F.lit(float(p))

@@ -15,9 +15,9 @@ SALTS = 32
 
 
 def midranks(counts: DataFrame, value: str, groups: Sequence[str],
-             splits: Splits | None = None) -> DataFrame:
+             splits: Splits | None = None, total: str | None = None) -> DataFrame:
     """Add ``rank`` (ties share their average) and ``ties`` to counts (groups..., value, ..., n)."""
-    ranked = running_weights(counts, value, "n", groups, splits, "_before", "ties")
+    ranked = running_weights(counts, value, "n", groups, splits, "_before", "ties", total)
     return ranked.withColumn("rank", F.col("_before") + (F.col("ties") + 1) / 2).drop("_before")
 
 
@@ -26,11 +26,10 @@ def class_auc(cells: DataFrame, groups: Sequence[str] = ("feature",)) -> DataFra
     groups = list(groups)
     counts = cells.where("x is not null").groupBy(*groups, "x", "y").agg(
         F.count(F.lit(1)).alias("n"))
-    ranked = midranks(counts, "x", groups, Splits(cells, groups, "x"))
-    by_class = ranked.groupBy(*groups, "y").agg(
-        F.sum(F.col("rank") * F.col("n")).alias("s"), F.sum("n").alias("n_pos"))
-    totals = by_class.groupBy(*groups).agg(F.sum("n_pos").alias("n"))
-    out = by_class.join(F.broadcast(totals), groups)    # one row per feature
+    ranked = midranks(counts, "x", groups, Splits(cells, groups, "x"), "_all")
+    out = ranked.groupBy(*groups, "y").agg(
+        F.sum(F.col("rank") * F.col("n")).alias("s"), F.sum("n").alias("n_pos"),
+        F.max("_all").alias("n"))
     pos, rest = F.col("n_pos"), F.col("n") - F.col("n_pos")
     auc = F.when(rest > 0, (F.col("s") - pos * (pos + 1) / 2) / (pos.cast("double") * rest))
     return out.select(*groups, "y", auc.alias("auc"), "n_pos", "n")
@@ -100,20 +99,14 @@ def spearman_pairs(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame
     long = wide.select("id", cells.alias("_c")).select("id", "_c.f", "_c.x")
     counts = long.groupBy("f", "x").agg(F.count(F.lit(1)).alias("n"))
     splits = Splits(long, ["f"], "x")
-    ranked = midranks(counts, "x", ["f"], splits).select("f", "x", "n", "rank")
-    # Any value with a large share of the rows is a hot join key: spread it by salt.
-    # Its row here tells how hot it is; row-side salts come from the same small list.
-    big = ranked.groupBy("f").agg(F.sum("n").alias("_all"))
-    hot = ranked.join(F.broadcast(big), "f").where(
-        (F.col("n") > F.col("_all") / 200) & (F.col("n") > 10_000)).select(
-        "f", "x", F.lit(True).alias("_hot"))     # at most 200 values per column
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0)
-    copies = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))
-                              ).otherwise(F.array(F.lit(0))))
-    left = long.join(F.broadcast(hot), ["f", "x"], "left").select(
-        "id", "f", "x", salt.alias("_salt"))
-    right = ranked.join(F.broadcast(hot), ["f", "x"], "left").select(
-        "f", "x", "rank", copies.alias("_salt"))
+    ranked = midranks(counts, "x", ["f"], splits).select("f", "x", "rank")
+    # A value with a large share of the rows is a hot join key. It is a split point, so
+    # both sides know it without counting, and its rows are spread by a salt.
+    hot = F.col("_heavy")
+    left = splits.bucketed(long, "x").select("id", "f", "x", F.when(
+        hot, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0).alias("_salt"))
+    right = splits.bucketed(ranked, "x").select("f", "x", "rank", F.explode(F.when(
+        hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"))
     names = [f"{i}_{m}" for i, c in enumerate(cols) for m in variants(c)]
     ranks = left.join(right, ["f", "x", "_salt"]).groupBy("id").agg(*[
         F.max(F.when(F.col("f") == f, F.col("rank"))).alias(f"r{f}") for f in names])

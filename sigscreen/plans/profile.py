@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigscreen.functions.columns import to_time
+from sigscreen.functions.columns import TIME_FORMATS
 from sigscreen.sources.tables import read_any
 
 # Name parts that suggest a time, and the limits of a key column.
@@ -34,66 +34,77 @@ def _is_key_type(t: T.DataType) -> bool:
     return isinstance(t, (T.IntegralType, T.StringType))
 
 
-def _value(field: T.StructField):
-    """A column value as text; nested values as JSON."""
-    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(F.col(f"`{field.name}`"))
-    if isinstance(field.dataType, T.BinaryType):
-        return F.hex(F.col(f"`{field.name}`"))
-    return F.col(f"`{field.name}`").cast("string")
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _cells(df: DataFrame, table: str) -> DataFrame:
-    """(table, column, key, shown, bad) of every value; long values are keyed by their md5."""
-    def cell(f: T.StructField):
-        v = _value(f)
+def _value(f: T.StructField) -> str:
+    """SQL for a column value as text; nested values as JSON."""
+    c = _quoted(f.name)
+    if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return f"to_json({c})" if not isinstance(f.dataType, T.VariantType) else f"string({c})"
+    return f"hex({c})" if isinstance(f.dataType, T.BinaryType) else f"string({c})"
+
+
+def _cells(df: DataFrame, first: int) -> DataFrame:
+    """(c, key, bad) of every value; ``c`` numbers the columns from ``first``.
+
+    The key of a short value is the value. A long one is its first characters, for
+    display, and its md5, for equality: the whole value is compared but not moved.
+    """
+    def cell(i: int, f: T.StructField) -> str:
+        v, c = _value(f), _quoted(f.name)
         # Only a text column with a time-like name needs its values parsed.
-        guess = _time_by_name(f) == "text"
-        bad = to_time(F.col(f"`{f.name}`"), f.dataType).isNull() if guess else F.lit(False)
-        shown = F.when(F.length(v) > SAMPLE_WIDTH,
-                       F.concat(F.substring(v, 1, SAMPLE_CUT), F.lit("..."))).otherwise(v)
-        key = F.when(F.length(v) > SHORT, F.concat(F.lit("#"), F.md5(v))).otherwise(
-            F.concat(F.lit("="), v))
-        return F.struct(F.lit(f.name).alias("column"), key.alias("key"), shown.alias("shown"),
-                        (bad & v.isNotNull()).alias("bad"))
+        bad = "false"
+        if _time_by_name(f) == "text":
+            tries = [f"try_cast({c} AS timestamp)"]
+            tries += [f"try_to_timestamp({c}, '{t}')" for t in TIME_FORMATS]
+            bad = f"{c} IS NOT NULL AND coalesce({', '.join(tries)}) IS NULL"
+        key = f"'=' || {v}"
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)) or "json" in v:
+            key = (f"CASE WHEN length({v}) > {SHORT} THEN '#' || substring({v}, 1, {SAMPLE_CUT}) "
+                   f"|| md5({v}) ELSE '=' || {v} END")
+        return f"struct({first + i} AS c, {key} AS key, {bad} AS bad)"
 
-    cells = F.explode(F.array(*[cell(f) for f in df.schema.fields])).alias("_c")
-    return df.select(F.lit(table).alias("table"), cells).select("table", "_c.*")
+    return df.select(F.expr(
+        f"inline(array({', '.join(cell(i, f) for i, f in enumerate(df.schema.fields))}))"))
 
 
 def profile_columns(tables: Mapping[str, DataFrame], sample: int | None = None) -> DataFrame:
     """One row per column: type, rows, null share, distinct count, samples, time and key flags.
 
-    All columns of all tables go through one shuffle of value counts. Long values are
-    represented by their md5, so texts are compared whole without being moved.
+    All columns of all tables go through one shuffle of value counts.
     """
     spark = next(iter(tables.values())).sparkSession
     meta, cells = [], None
     for name, df in tables.items():
-        part = _cells(df.limit(sample) if sample else df, name)
+        part = _cells(df.limit(sample) if sample else df, len(meta))
         cells = part if cells is None else cells.unionByName(part)
         meta += [(len(meta) + i, name, f.name, f.dataType.simpleString(), _is_time_type(f.dataType),
                   _is_key_type(f.dataType), _time_by_name(f))
                  for i, f in enumerate(df.schema.fields)]
-    counts = cells.groupBy("table", "column", "key", "shown").agg(
+    counts = cells.groupBy("c", "key").agg(
         F.count(F.lit(1)).alias("n"), F.max("bad").alias("bad"))
-    at = ["table", "column"]
-    stats = counts.groupBy(*at).agg(
+    stats = counts.groupBy("c").agg(
         F.sum("n").alias("row_count"),
         F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(0)).alias("_nulls"),
         F.count("key").alias("cardinality"), F.max("bad").alias("_bad"))
     # Each task keeps its three smallest values per column before the shuffle.
-    first = counts.where("key is not null").withColumn("_r", F.row_number().over(
-        W.partitionBy(*at).orderBy("shown", "key"))).where(F.col("_r") <= SAMPLES)
-    samples = first.groupBy(*at).agg(F.array_join(F.transform(
+    body = F.substring("key", 2, 2**31 - 1)
+    shown = F.when(F.col("key").startswith("#") | (F.length(body) > SAMPLE_WIDTH),
+                   F.concat(F.substring(body, 1, SAMPLE_CUT), F.lit("..."))).otherwise(body)
+    first = counts.where("key is not null").select("c", "key", shown.alias("shown")).withColumn(
+        "_r", F.row_number().over(W.partitionBy("c").orderBy("shown", "key"))).where(
+        F.col("_r") <= SAMPLES)
+    samples = first.groupBy("c").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("_r", "shown"))), lambda s: s["shown"]), ", "
     ).alias("samples"))
 
     # Both sides have one row per column of the schemas.
     out = spark.createDataFrame(
-        meta, "_i int, table string, column string, dtype string, _time boolean, "
-        "_keyable boolean, _named string").join(F.broadcast(stats), at, "left").join(
-        F.broadcast(samples), at, "left")
+        meta, "c int, table string, column string, dtype string, _time boolean, "
+        "_keyable boolean, _named string").join(F.broadcast(stats), "c", "left").join(
+        F.broadcast(samples), "c", "left")
     n = F.coalesce(F.col("row_count"), F.lit(0))
     parsed = (F.col("_named") == "number") | (
         (F.col("_named") == "text") & ~F.col("_bad") & (F.col("cardinality") > 0))
@@ -102,7 +113,7 @@ def profile_columns(tables: Mapping[str, DataFrame], sample: int | None = None)
     distinct = F.coalesce(F.col("cardinality"), F.lit(0))
     is_key = (~is_time & (null_pct < MAX_KEY_NULL_PCT) & (n > 0) & F.col("_keyable")
               & (distinct / F.greatest(n, F.lit(1)) > MIN_KEY_DISTINCT_SHARE))
-    return out.orderBy("_i").select(
+    return out.orderBy("c").select(
         "table", "column", "dtype", n.cast("bigint").alias("row_count"),
         null_pct.alias("null_pct"), distinct.cast("bigint").alias("cardinality"),
         F.coalesce("samples", F.lit(NO_SAMPLE)).alias("samples"),
@@ -141,12 +152,13 @@ def key_containment(columns: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     """
     names = list(columns)
     values = None
-    for name, (df, col) in columns.items():
-        part = df.select(F.lit(name).alias("c"), F.col(col).cast("string").alias("v")).where(
-            "v is not null").distinct()
+    for i, (df, col) in enumerate(columns.values()):
+        part = df.select(F.lit(i).alias("c"), F.col(col).cast("string").alias("v")).where(
+            "v is not null")
         values = part if values is None else values.unionByName(part)
+    # Repeated values are merged on the map side, so one shuffle makes them distinct too.
     flags = values.groupBy("v").agg(
-        *[F.max((F.col("c") == n).cast("int")).alias(f"f{i}") for i, n in enumerate(names)])
+        *[F.max((F.col("c") == i).cast("int")).alias(f"f{i}") for i in range(len(names))])
     pairs = [(i, j) for i in range(len(names)) for j in range(len(names)) if i != j]
     one = flags.agg(
         *[F.sum(f"f{i}").cast("bigint").alias(f"n{i}") for i in range(len(names))],

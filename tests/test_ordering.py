@@ -11,6 +11,7 @@ from sigscreen.operators import ordering as O
 @pytest.fixture(params=[10, 200_000], ids=["many-buckets", "one-bucket"])
 def bucket_rows(request, monkeypatch):
     monkeypatch.setattr(O, "ROWS_PER_BUCKET", request.param)
+    monkeypatch.setattr(O, "SKETCH_SHARE", 1)
     return request.param
 
 
@@ -45,6 +46,7 @@ def test_value_positions_with_hot_value(spark, bucket_rows):
 
 def test_hot_value_is_cut_into_sub_buckets(spark, monkeypatch):
     monkeypatch.setattr(O, "ROWS_PER_BUCKET", 10)
+    monkeypatch.setattr(O, "SKETCH_SHARE", 1)
     df = spark.createDataFrame(_rows(2000), "id long, g string, x double")
     splits = O.Splits(df, ["g"], "x")
     sizes = splits.bucketed(df, "x", ["id"]).groupBy("g", "_b", "_sub").count()

@@ -17,6 +17,7 @@ from sigscreen.operators.verdict import class_quartiles, verdicts
 @pytest.fixture(params=[25, 200_000], ids=["many-buckets", "one-bucket"])
 def bucket_rows(request, monkeypatch):
     monkeypatch.setattr(O, "ROWS_PER_BUCKET", request.param)
+    monkeypatch.setattr(O, "SKETCH_SHARE", 1)
     monkeypatch.setattr(I, "BLOCK", 8 if request.param == 25 else 100_000)
     return request.param
 
