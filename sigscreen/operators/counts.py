@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigscreen.functions.columns import as_col, xlogx
-from sigscreen.operators.ordering import hash_positions, value_positions
+from sigscreen.operators.joins import lookup_join
+from sigscreen.operators.ordering import value_positions
 
 
 def category_counts(df: DataFrame, key: str, cat: str, weight: str | None = None) -> DataFrame:
@@ -65,7 +66,7 @@ def share_of_group(df: DataFrame, key: str, cat: str) -> DataFrame:
     """(key, category, n, share). The totals are joined back, since a key may have many categories."""
     counts = category_counts(df, key, cat)
     totals = counts.groupBy(key).agg(F.sum("n").alias("_total"))
-    return counts.join(totals, key).withColumn("share", F.col("n") / F.col("_total")).drop("_total")
+    return lookup_join(counts, totals, key, "inner").withColumn("share", F.col("n") / F.col("_total")).drop("_total")
 
 
 def concat_text(df: DataFrame, key: str, text: str, order: str, ids: Sequence[str],
@@ -129,6 +130,6 @@ def top_k(df: DataFrame, score: str, k: int, tie: str) -> DataFrame:
 
 __all__ = [
     "category_counts", "concat_text", "confusion_matrix", "coverage", "degree_distinct",
-    "entropy_by_key", "entropy_of", "hash_positions", "label_entropy", "marker_counts",
+    "entropy_by_key", "entropy_of", "label_entropy", "marker_counts",
     "modal_category", "mode_by_key", "share_of_group", "summarise_counts", "top_category", "top_k",
 ]

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOT_SHARE = 1 / 200    # a key with more rows than this share is hot: at most 200 keys
 SALTS = 32
+SMALL_ROWS = 100_000   # a lookup within both bounds is broadcast
+SMALL_BYTES = 16_000_000
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
@@ -24,13 +27,31 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     return [t["item"] for t in row["top"] or [] if t["item"] is not None and t["count"] > floor]
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether the rows, counted and weighed, are few enough to send to every executor."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
+           for f in df.schema.fields):
+        return False
+    width = F.lit(8 * len(df.columns))
+    for c in texts:
+        width = width + F.coalesce(F.octet_length(c), F.lit(0))
+    row = df.limit(SMALL_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
+    return row["n"] <= SMALL_ROWS and (row["b"] or 0) <= SMALL_BYTES
+
+
 def lookup_join(big: DataFrame, lookup: DataFrame, key: str, how: str = "left",
                 hot: list | None = None) -> DataFrame:
-    """Join ``big`` to ``lookup`` (unique on ``key``), with the rows of hot keys spread by a salt.
+    """Join ``big`` to ``lookup`` (unique on ``key``).
 
-    Only hot keys are repeated on the lookup side: at most 200 x ``SALTS`` extra rows.
+    A lookup whose size is checked to be small is broadcast. Otherwise the rows of hot
+    keys are spread by a salt; only those keys are repeated on the lookup side, which
+    adds at most 200 x ``SALTS`` rows. Pass ``hot`` when the hot keys are known already.
     """
-    hot = hot_keys(big, key) if hot is None else hot
+    if hot is None:
+        if is_small(lookup):
+            return big.join(F.broadcast(lookup), key, how)
+        hot = hot_keys(big, key)
     if not hot:
         return big.join(lookup, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

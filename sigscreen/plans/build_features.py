@@ -14,7 +14,6 @@ from sigscreen.operators.events import (
     bool_share, fact_dim_join, hour_stats, modal_merchant, modal_place)
 from sigscreen.operators.folds import stratified_folds
 from sigscreen.operators.graph import graph_block, oof_neighbor_labels, pair_counts
-from sigscreen.operators.joins import hot_keys
 from sigscreen.operators.text import doc_block, marker_block, message_counts, text_style
 from sigscreen.runtime import cut_lineage
 
@@ -105,8 +104,7 @@ def build_features(tables: Mapping[str, DataFrame], wiring: Wiring = Wiring()) -
         pairs = cut_lineage(pair_counts(messages, w.src, w.dst))
         blocks.append(renamed(graph_block(pairs), "a"))
         folds = stratified_folds(spine.join(labels, key, "left"), key, w.label, w.folds, w.seed)
-        mix = oof_neighbor_labels(pairs, cut_lineage(folds), key, w.label, "nb",
-                                  hot_keys(pairs, "b"))
+        mix = oof_neighbor_labels(pairs, cut_lineage(folds), key, w.label, "nb")
         blocks.append(mix.select(
             key, F.col("nb").alias("nb_modal_city"), F.col("nb_frac").alias("nb_top_frac"),
             "nb_entropy", "nb_labeled_frac"))
@@ -115,10 +113,9 @@ def build_features(tables: Mapping[str, DataFrame], wiring: Wiring = Wiring()) -
                                   "tower_modal_region", "tower_top_frac", "tower_entropy"))
     if "transactions" in tables and "merchants" in tables:
         tx, merchants = tables["transactions"], tables["merchants"]
-        hot = hot_keys(tx, w.merchant)
         blocks.append(modal_merchant(tx, merchants, key, w.merchant, w.merchant_city,
-                                     w.city_pattern, w.city_prefix, hot=hot))
-        blocks.append(bool_share(fact_dim_join(tx, merchants, w.merchant, [w.online], "left", hot),
+                                     w.city_pattern, w.city_prefix))
+        blocks.append(bool_share(fact_dim_join(tx, merchants, w.merchant, [w.online], "left"),
                                  key, w.online, "merch_online_frac"))
     if "app_events" in tables:
         blocks.append(hour_stats(tables["app_events"], key, w.event_ts))

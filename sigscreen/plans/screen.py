@@ -39,7 +39,7 @@ def labeled_features(features: DataFrame, labels: DataFrame, id_col: str,
                      label: str) -> DataFrame:
     """Feature rows with a label; each id has one label, the smallest if it is given several."""
     one = dedup_key(labels.select(id_col, label).where(F.col(label).isNotNull()), [id_col], [label])
-    return features.join(one, id_col)
+    return lookup_join(features, one, id_col, "inner")
 
 
 def _roles(df: DataFrame, id_col: str, label: str, time_col: str | None, group_col: str | None,

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sigscreen.operators.folds import stratified_folds
 from sigscreen.operators.graph import pair_counts
+from sigscreen.operators.joins import lookup_join
+from sigscreen.runtime import cut_lineage
 from sigscreen.workload.registry import Tables, md5_of
 
 # Fixed values shared by both sides.
@@ -27,6 +29,11 @@ def pairs(t: Tables) -> DataFrame:
     return pair_counts(edges(t), "src", "dst")
 
 
+def kept_pairs(t: Tables) -> DataFrame:
+    """``pairs`` written once, for operators that read them several times."""
+    return cut_lineage(pairs(t))
+
+
 def known_segments(t: Tables) -> DataFrame:
     """Every customer; the segment is the label, known for accounts that are not overdrawn."""
     return t.customer.select(
@@ -40,8 +47,9 @@ def folds(t: Tables) -> DataFrame:
 
 def shipments(t: Tables) -> DataFrame:
     """(customer, supplier, part) of every line item."""
-    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").alias("id"), "l_suppkey", "l_partkey", "l_extendedprice")
+    owners = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("id"))
+    items = t.lineitem.select("l_orderkey", "l_suppkey", "l_partkey", "l_extendedprice")
+    return lookup_join(items, owners, "l_orderkey", "inner").drop("l_orderkey")
 
 
 def supplier_regions(t: Tables) -> DataFrame:

@@ -141,7 +141,7 @@ NEIGHBORS = f"""seen AS (SELECT a, kb.label AS lab, sum(out_n + in_n)::bigint AS
   SELECT a AS id, nb_modal, {r6('f', 'nb_modal_frac')}, {r6('e', 'nb_modal_entropy')},
   {r6('labeled', 'nb_modal_labeled_frac')} FROM mix""")
 def oof_neighbor_labels(t: Tables):
-    return G.oof_neighbor_labels(D.pairs(t), D.folds(t), "id", "label")
+    return G.oof_neighbor_labels(D.kept_pairs(t), D.folds(t), "id", "label")
 
 
 @query("edge_ratios", f"""WITH {D.PAIRS} SELECT a,
@@ -178,7 +178,7 @@ def multi_relations(t: Tables):
 @query("neighbor_mean", f"""WITH {D.PAIRS} SELECT a, {r6('avg(c_acctbal)', 'nb_mean_c_acctbal')}
   FROM pairs JOIN customer ON b = c_custkey GROUP BY 1""")
 def neighbor_mean(t: Tables):
-    return G.neighbor_mean(D.pairs(t), t.customer, "c_custkey", ["c_acctbal"])
+    return G.neighbor_mean(D.kept_pairs(t), t.customer, "c_custkey", ["c_acctbal"])
 
 
 @query("role_features", f"""WITH {D.PAIRS}, d AS ({DEGREES}),
@@ -190,7 +190,7 @@ def neighbor_mean(t: Tables):
   {r6('o2', 'r2_r1_deg_out')}, {r6('i2', 'r2_r1_deg_in')}, {r6('t2', 'r2_r1_deg_total')}
   FROM d LEFT JOIN r1 USING (a) LEFT JOIN r2 USING (a)""")
 def role_features(t: Tables):
-    return G.role_features(D.pairs(t))
+    return G.role_features(D.kept_pairs(t))
 
 
 # ---- places, time, amounts -----------------------------------------------------------------

@@ -94,20 +94,20 @@ def walks_sql(steps: int, per_node: int) -> str:
 
 @query("random_walks", walks_sql(STEPS, 2))
 def random_walks(t: Tables):
-    return T.random_walks(D.pairs(t), STEPS, 2).withColumn(
+    return T.random_walks(D.kept_pairs(t), STEPS, 2).withColumn(
         "path", F.array_join(F.transform("path", lambda n: n.cast("string")), ">"))
 
 
 @query("projected_embeddings")
 def projected(t: Tables):
-    return T.projected_embeddings(T.random_walks(D.pairs(t), STEPS, 2), 8).select(
+    return T.projected_embeddings(T.random_walks(D.kept_pairs(t), STEPS, 2), 8).select(
         "id", F.array_join(F.transform("embedding", lambda v: F.round(v, 4).cast("string")), ",")
         .alias("embedding"))
 
 
 @query("walk_embeddings")
 def embedded(t: Tables):
-    walks = T.random_walks(D.pairs(t), STEPS, 2)
+    walks = T.random_walks(D.kept_pairs(t), STEPS, 2)
     return T.walk_embeddings(walks, 8).select("id", F.size("embedding").alias("dims"))
 
 

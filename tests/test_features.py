@@ -105,7 +105,8 @@ def test_group_folds_and_leakage(spark):
     assert {r["fold"] for r in two} == {0, 1}
 
 
-def test_hot_keys_are_salted_without_changing_the_join(spark):
+def test_hot_keys_are_salted_without_changing_the_join(spark, monkeypatch):
+    monkeypatch.setattr(joins, "SMALL_ROWS", 100)
     big = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(
         F.col("id")).alias("k"))
     assert joins.hot_keys(big, "k") == [-1]
@@ -115,9 +116,17 @@ def test_hot_keys_are_salted_without_changing_the_join(spark):
         plain = big.join(lookup, "k", how)
         key = [F.count(F.lit(1)), F.sum("v"), F.count("v"), F.sum("id")]
         assert salted.columns == plain.columns
+        assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
         assert salted.agg(*key).first() == plain.agg(*key).first()
 
 
+def test_small_lookup_is_weighed(spark, monkeypatch):
+    df = spark.range(50).select("id", F.repeat(F.lit("x"), 100).alias("t"))
+    assert joins.is_small(df)
+    monkeypatch.setattr(joins, "SMALL_BYTES", 2000)
+    assert not joins.is_small(df) and joins.is_small(df.limit(3))
+
+
 def test_concat_in_parts(spark):
     df = spark.createDataFrame([(1, i, f"t{i}") for i in range(25)] + [(2, 0, None), (2, 1, "x")],
                                "k long, o long, t string")
