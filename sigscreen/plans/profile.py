@@ -20,6 +20,7 @@ MIN_KEY_DISTINCT_SHARE = 0.30
 SAMPLES, SAMPLE_WIDTH, SAMPLE_CUT = 3, 24, 21
 NO_SAMPLE = "—"
 SHORT = 32      # longer values are compared by md5
+BITS = 62       # columns per machine word in the containment masks
 
 PROFILE_SCHEMA = (
     "table string, column string, dtype string, row_count bigint, null_pct double, "
@@ -147,26 +148,35 @@ def join_keys(profiles: DataFrame) -> DataFrame:
 def key_containment(columns: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     """(from_key, to_key, distinct_from, shared, containment) for every ordered pair of columns.
 
-    Finds keys with different names. A value becomes one row with a flag per column, and
-    the pairs are sums over the flags: values shared by many columns make no extra rows.
+    Finds keys with different names. A value becomes one row with a bit per column, and
+    the pairs are sums over the bits: values shared by many columns make no extra rows.
     """
     names = list(columns)
+    words = range((len(names) - 1) // BITS + 1)
     values = None
     for i, (df, col) in enumerate(columns.values()):
-        part = df.select(F.lit(i).alias("c"), F.col(col).cast("string").alias("v")).where(
-            "v is not null")
+        bits = [F.lit(1 << i % BITS if i // BITS == w else 0).cast("bigint").alias(f"w{w}")
+                for w in words]
+        part = df.select(F.col(col).cast("string").alias("v"), *bits).where("v is not null")
         values = part if values is None else values.unionByName(part)
-    # Repeated values are merged on the map side, so one shuffle makes them distinct too.
-    flags = values.groupBy("v").agg(
-        *[F.max((F.col("c") == i).cast("int")).alias(f"f{i}") for i in range(len(names))])
+    # Repeated values are merged on the map side, so one shuffle makes them distinct too;
+    # then only the combinations of columns are left, which are few.
+    masks = values.groupBy("v").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in words]).groupBy(
+        *[f"w{w}" for w in words]).agg(F.count(F.lit(1)).alias("n"))
+
+    def held(*at: int):
+        every = F.lit(True)
+        for i in at:
+            every = every & (F.shiftright(f"w{i // BITS}", i % BITS).bitwiseAND(F.lit(1)) == 1)
+        return F.coalesce(F.sum(F.when(every, F.col("n"))), F.lit(0)).cast("bigint")
+
     pairs = [(i, j) for i in range(len(names)) for j in range(len(names)) if i != j]
-    one = flags.agg(
-        *[F.sum(f"f{i}").cast("bigint").alias(f"n{i}") for i in range(len(names))],
-        *[F.sum(F.col(f"f{i}") * F.col(f"f{j}")).cast("bigint").alias(f"p{i}_{j}")
-          for i, j in pairs])
+    one = masks.agg(*[held(i).alias(f"n{i}") for i in range(len(names))],
+                    *[held(i, j).alias(f"p{i}_{j}") for i, j in pairs if i < j])
     both = F.explode(F.array(*[F.struct(
         F.lit(names[i]).alias("from_key"), F.lit(names[j]).alias("to_key"),
-        F.col(f"n{i}").alias("distinct_from"), F.col(f"p{i}_{j}").alias("shared"))
+        F.col(f"n{i}").alias("distinct_from"),
+        F.col(f"p{min(i, j)}_{max(i, j)}").alias("shared"))
         for i, j in pairs]))
     return one.select(both.alias("_p")).select("_p.*").withColumn(
         "containment", F.try_divide("shared", "distinct_from"))
