@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sigscreen.llm import count, encode, near, windows
+from sigscreen.llm import count, decontaminate, encode, near, suffixes, windows
 from sigscreen.llm.corpus import reachable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,33 @@ WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_FOLD}, '[\x
 SELECT doc_id, len(sh)::bigint AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN m ON d = doc_id"""
 
 
+@query
+def op4_decontamination(spark, sf_dir):
+    return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+
+
+_WORDS = rf"list_filter(string_split_regex({_FOLD}, '[ -/:-`{-]+'), lambda x: x <> '')"
+ORACLES["op4_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+  b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+  bw AS (SELECT DISTINCT item_id, least(len(ws), 10) AS m, array_to_string(ws[i:i + 9], ' ') AS win
+    FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+  dw AS (SELECT doc_id, m, i, array_to_string(ws[i:i + m - 1], ' ') AS win FROM (SELECT doc_id, ws, m,
+    unnest(range(1, len(ws) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bw))),
+  hit AS (SELECT doc_id, i, dw.m, item_id FROM dw JOIN bw USING (m, win)),
+  word AS (SELECT doc_id, count(DISTINCT w) AS n FROM (SELECT doc_id, unnest(range(i, i + m)) AS w FROM hit) GROUP BY doc_id),
+  item AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id::varchar AS id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(ws)::bigint AS n_words, coalesce(word.n, 0) AS n_hit, coalesce(item.n, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(word.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)"""
+
+
+@query
+def op7_suffix_dedup(spark, sf_dir):
+    return suffixes.digests(table(spark, sf_dir, "documents"), length=400)
+
+
 @query
 def op8_repeated_windows(spark, sf_dir):
     return windows.digests(table(spark, sf_dir, "documents"), size=50)

@@ -128,27 +128,30 @@ def word_hashes(chunk: Chunk, words: Words, fold: bool = False, which: int = 0)
     return Poly(SYMBOLS[which][data], which).runs(words.starts, words.ends)
 
 
-def window_min(x: np.ndarray, size: int, pick=np.minimum) -> np.ndarray:
+def window_min(x: np.ndarray, size: int) -> np.ndarray:
     """The least value of every ``size`` neighbors, by doubling."""
     out, span = x, 1
     while span < size:
         step = min(span, size - span)
-        out = pick(out[:len(out) - step], out[step:])
+        out = np.minimum(out[:len(out) - step], out[step:])
         span += step
     return out
 
 
-def anchors(grams: np.ndarray, span: int) -> np.ndarray:
-    """Positions that hold the least value of some ``span`` neighbors.
+def anchors(grams: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, first, last): the windows of ``span`` neighbors that start at first..last have their least value at ``at``.
 
-    Every run of ``span`` values has an anchor, and equal runs have equal ones.
+    Ties go to the leftmost, so equal windows have their anchor at the same place inside them. A
+    value's low bits make room for its position; texts are shorter than 2**31.
     """
     if len(grams) < span:
-        return np.zeros(0, np.int64)
-    least = window_min(grams, span)
-    padded = np.zeros(len(grams) + span - 1, U)
-    padded[span - 1:span - 1 + len(least)] = least
-    return np.flatnonzero(window_min(padded, span, np.maximum) == grams)
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    low = U(31)
+    least = window_min((grams >> low) << low | np.arange(len(grams), dtype=U), span)
+    at = (least & U(2**31 - 1)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return at[first], first, np.append(first[1:], len(at)) - 1
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,27 +1,25 @@
 """Repeated passages by Rabin-Karp hashes of every fixed-length window of words.
 
 Every window is hashed, but windows that stand once need not travel. First the anchors of the
-half-length windows are counted in Spark: an anchor is the least hash among as many neighbors as make up a
-window, so each window holds one, and equal windows hold equal ones. Only windows around anchors
-that several documents share are then counted themselves, with 128-bit hashes and the least document of each.
+half-length windows are counted in Spark: the anchor of a window is the half-length window inside it
+with the least hash, so equal windows have equal anchors. Only windows whose anchor several
+documents share are then counted themselves, with 128-bit hashes and the least document of each.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigscreen.llm.corpus import LAST, beside, identified
-from sigscreen.llm.texts import Poly, anchors, chunks, find_words, merged, signed, word_hashes
+from sigscreen.llm.corpus import beside, identified
+from sigscreen.llm.texts import Poly, anchors, chunks, find_words, signed, word_hashes
 from sigscreen.runtime import cut_lineage
 
 
 def _anchor_rows(docs: DataFrame, size: int) -> DataFrame:
-    """(did, fp, at, gram) of the anchors of each text."""
+    """(did, fp, first, last, gram): anchors of each text, and the windows they stand for."""
     half = size // 2
 
     def run(batches):
@@ -30,28 +28,27 @@ def _anchor_rows(docs: DataFrame, size: int) -> DataFrame:
                 words = find_words(part)
                 poly = Poly(word_hashes(part, words))
                 grams = poly.windows(half)
-                at, row = [], []
+                at, first, last, row = [], [], [], []
                 for i in range(part.hi - part.lo):
                     lo, hi = words.first[i], words.first[i + 1]
                     if hi - lo >= size:
                         found = anchors(grams[lo:hi - half + 1], size - half + 1)
-                        at.append(found + lo)
-                        row.append(np.full(len(found), i))
+                        for to, x in zip((at, first, last), found):
+                            to.append(x)
+                        row.append(np.full(len(found[0]), i))
                 if not at:
                     continue
-                at, row = np.concatenate(at), np.concatenate(row)
+                at, first, last, row = map(np.concatenate, (at, first, last, row))
                 rows = [batch.column(j).slice(part.lo, part.hi - part.lo).take(pa.array(row)) for j in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [*rows, pa.array((at - words.first[row]).astype(np.int32)), pa.array(signed(grams[at]))],
-                    ["did", "fp", "at", "gram"])
+                    [*rows, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
+                     pa.array(signed(grams[at + words.first[row]]))], ["did", "fp", "first", "last", "gram"])
 
-    return docs.select("did", "fp", "text").mapInArrow(run, "did long, fp long, at int, gram long")
+    return docs.select("did", "fp", "text").mapInArrow(run, "did long, fp long, first int, last int, gram long")
 
 
 def _window_rows(docs: DataFrame, size: int) -> DataFrame:
-    """(did, fp, at, h1, h2) of the windows around the anchors that ``docs`` lists as array ``ats``."""
-    half = size // 2
-
+    """(did, fp, at, h1, h2) of the windows that ``docs`` lists as runs ``ats``."""
     def run(batches):
         for batch in batches:
             col = batch.column(2)
@@ -60,16 +57,11 @@ def _window_rows(docs: DataFrame, size: int) -> DataFrame:
                 polys = [Poly(word_hashes(part, words, which=k), k) for k in (0, 1)]
                 ats = batch.column(3).slice(part.lo, part.hi - part.lo).to_pylist()
                 start, row = [], []
-                for i, near in enumerate(ats):
-                    lo, hi = words.first[i], words.first[i + 1]
-                    near = np.array(near, np.int64)
-                    begin = np.maximum(near - (size - half), 0)
-                    end = np.minimum(near, hi - lo - size) + 1
-                    ok = end > begin
-                    begin, end = merged(begin[ok], end[ok])
-                    for b, e in zip(begin.tolist(), end.tolist()):
-                        start.append(np.arange(lo + b, lo + e))
-                        row.append(np.full(e - b, i))
+                for i, runs in enumerate(ats):
+                    lo = words.first[i]
+                    for x in runs:
+                        start.append(np.arange(lo + x["first"], lo + x["last"] + 1))
+                        row.append(np.full(x["last"] + 1 - x["first"], i))
                 if not start:
                     continue
                 start, row = np.concatenate(start), np.concatenate(row)
@@ -96,7 +88,7 @@ def _cut(docs: DataFrame, size: int) -> DataFrame:
                     lo, hi = words.first[i], words.first[i + 1]
                     cover = np.zeros(hi - lo + 1, np.int64)
                     if at:
-                        at = np.unique(np.array(at))
+                        at = np.array(at)
                         cover[at] += 1
                         cover[at + size] -= 1
                     keep = np.flatnonzero(np.cumsum(cover)[:-1] == 0) + lo
@@ -127,13 +119,12 @@ def repeated_windows(docs: DataFrame, size: int = 50) -> DataFrame:
     found = cut_lineage(_anchor_rows(docs, size))
     shared = found.groupBy("gram").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi")
     near = found.join(shared.select("gram"), "gram", "left_semi").groupBy("did", "fp").agg(
-        F.sort_array(F.collect_set("at")).alias("ats"))
+        F.collect_set(F.struct("first", "last")).alias("ats"))
     near = cut_lineage(near)
-    windows = cut_lineage(_window_rows(beside(docs, near, ["did", "fp"], "inner")
-                                       .dropDuplicates(["did", "fp"]), size))
+    windows = cut_lineage(_window_rows(beside(docs, near, ["did", "fp"], "inner"), size))
     first = windows.groupBy("h1", "h2").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi")
     flagged = windows.join(first.select("h1", "h2", "lo"), ["h1", "h2"]).where("did > lo").groupBy("did", "fp").agg(
-        F.collect_list("at").alias("flagged"))
+        F.collect_set("at").alias("flagged"))
     flagged = cut_lineage(flagged)
     return _cut(beside(docs, flagged, ["did", "fp"]), size)
 
