@@ -53,7 +53,7 @@ def op4_decontamination(spark, sf_dir):
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
 
 
-_WORDS = rf"list_filter(string_split_regex({_FOLD}, '[ -/:-`{-]+'), lambda x: x <> '')"
+_WORDS = rf"list_filter(string_split_regex({_FOLD}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 ORACLES["op4_decontamination"] = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
   b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
