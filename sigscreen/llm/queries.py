@@ -6,8 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from sigscreen.llm import count, decontaminate, encode, near, suffixes, windows
+from pyspark.sql import functions as F
+
+from sigscreen.llm import (
+    blocks,
+    count,
+    decontaminate,
+    encode,
+    language,
+    near,
+    neighbors,
+    suffixes,
+    toxicity,
+    windows,
+)
 from sigscreen.llm.corpus import reachable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +42,11 @@ def op1_bpe(spark, sf_dir):
     return encode.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op2_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op3_near_duplicates(spark, sf_dir):
     return near.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
@@ -70,6 +87,25 @@ SELECT doc_id, len(ws)::bigint AS n_words, coalesce(word.n, 0) AS n_hit, coalesc
 FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)"""
 
 
+@query
+def op5_token_blocks(spark, sf_dir):
+    return blocks.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op6_nearest(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbors.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20, relax=1.0)
+
+
+ORACLES["op6_nearest"] = """
+WITH v AS (SELECT vec_id, embedding::double[] AS e FROM embeddings),
+  s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::integer AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
 @query
 def op7_suffix_dedup(spark, sf_dir):
     return suffixes.digests(table(spark, sf_dir, "documents"), length=400)
@@ -97,3 +133,9 @@ SELECT w.doc_id, len(ws)::bigint AS n_words, len(ws)::bigint - coalesce(n, 0) AS
 @query
 def op9_token_counts(spark, sf_dir):
     return count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op10_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "lang_pred", "score", "rejected")
