@@ -26,7 +26,7 @@ from sigscreen.llm.texts import chunks
 from sigscreen.llm.tokenizer import read_file
 from sigscreen.runtime import cut_lineage
 
-BLOCK = 8192               # ids in a block
+BLOCK = 2048               # ids in a block
 LANES = 1024               # blocks coded side by side
 MAGIC = b"TIB1"
 SLOTS = 1 << 13            # contexts of a block's order-1 and order-2 tables
@@ -82,15 +82,17 @@ class Model:
 
     def digit(self, lane: np.ndarray, context: np.ndarray):
         """Cumulative frequencies of the next digit, scaled to 2**16."""
-        counts = self.digits[lane, context].astype(np.int64)
-        ends = np.cumsum(counts, axis=1)
-        return ends * 65536 // ends[:, -1:]
+        ends = np.cumsum(self.digits[lane, context], axis=1, dtype=np.float64)
+        ends = (ends * (65536 / ends[:, -1:])).astype(np.int32)
+        ends[:, -1] = 65536
+        return ends
 
     def count(self, lane: np.ndarray, context: np.ndarray, digit: np.ndarray) -> None:
         row = self.digits[lane, context]
         row[np.arange(len(lane)), digit] += 24
-        full = row.sum(axis=1, dtype=np.int64) > 8000
-        row[full] = row[full] // 2 + 1
+        full = row.sum(axis=1, dtype=np.int32) > 8000
+        if full.any():
+            row[full] = row[full] // 2 + 1
         self.digits[lane, context] = row
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigscreen.llm.components import components
-from sigscreen.llm.corpus import beside, by_key, identified
+from sigscreen.llm.corpus import LAST, beside, by_key, identified
 from sigscreen.llm.texts import SPACED, U, Poly, chunks, find_words, word_hashes
 from sigscreen.runtime import cut_lineage
 
@@ -227,7 +227,7 @@ def _set_links(percent: int):
     return links
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, keys: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of (doc_id, text).
 
     Words are runs of other than white space with A-Z in lower case; a set holds the distinct
@@ -235,8 +235,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     intersection >= ``percent`` x union are linked; component_id is the least doc_id reached over
     links. Texts without words have an empty set, stand alone, and keep their own id. Rows
     with a null doc_id take part; they get the least id of their component, or null where it has
-    none, and are never the kept one of several (kept = the row's id is the component's, nulls equal).
-    A repeated row gets the same result as the first. Other columns are left out.
+    none; kept says that the row's id is the component's, and of a component without ids one text is kept. A repeated row gets the same result as the first. Other columns are left out. With ``keys`` did and fp, which
+    identify the row as ``identified`` does, come along.
     """
     docs = identified(docs)
     base = cut_lineage(sketches(docs, size))
@@ -276,9 +276,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     # back to the rows: the least id of each component
     labelled = classes.join(found.toDF("c", "comp"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    least = labelled.groupBy("comp").agg(F.min("did").alias("least"))
+    least = labelled.groupBy("comp").agg(F.min(F.struct("did", "fp")).alias("least"))
     ids = cut_lineage(labelled.join(least, "comp").select("digest", "least"))
     out = base.drop("sketch").join(ids, "digest", "left")
-    own = F.coalesce("least", "did")
-    return out.select("doc_id", "n_shingles", F.when(own != 2**63 - 1, own).alias("component_id"),
-                      (own == F.col("did")).alias("kept"))
+    own = F.coalesce("least", F.struct("did", "fp"))
+    first = (own["did"] == F.col("did")) & ((own["did"] != LAST) | (own["fp"] == F.col("fp")))
+    return out.select("doc_id", *(["did", "fp"] if keys else []), "n_shingles",
+                      F.when(own["did"] != LAST, own["did"]).alias("component_id"), first.alias("kept"))
