@@ -1,15 +1,17 @@
 """Repeated passages by Rabin-Karp hashes of every fixed-length window of words.
 
 Every window is hashed, but windows that stand once need not travel. First the anchors of the
-half-length windows are counted in Spark: the anchor of a window is the half-length window inside it
-with the least hash, so equal windows have equal anchors. Only windows whose anchor several
-documents share are then counted themselves, with 128-bit hashes and the least document of each.
+quarter-length windows are counted in Spark: the anchor of a window is the one inside it with the
+least hash, so equal windows have equal anchors, and neighbors share theirs. Only runs of windows
+whose anchor several documents share go on. Equal runs are kept once, their windows
+are counted with the least document of each, and every copy of a run is told the outcome.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,61 +20,71 @@ from sigscreen.llm.texts import Poly, anchors, chunks, find_words, signed, word_
 from sigscreen.runtime import cut_lineage
 
 
+def _gram(size: int) -> int:
+    """The words of an anchor."""
+    return max(1, size // 4)
+
+
 def _anchor_rows(docs: DataFrame, size: int) -> DataFrame:
-    """(did, fp, first, last, gram): anchors of each text, and the windows they stand for."""
-    half = size // 2
+    """(did, fp, run, gram): anchors of each text, and the windows they stand for, first << 32 | last."""
+    part_size = _gram(size)
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch.column(2)):
                 words = find_words(part)
-                poly = Poly(word_hashes(part, words))
-                grams = poly.windows(half)
-                at, first, last, row = [], [], [], []
+                grams = Poly(word_hashes(part, words)).windows(part_size)
+                at, run, row = [], [], []
                 for i in range(part.hi - part.lo):
                     lo, hi = words.first[i], words.first[i + 1]
                     if hi - lo >= size:
-                        found = anchors(grams[lo:hi - half + 1], size - half + 1)
-                        for to, x in zip((at, first, last), found):
-                            to.append(x)
-                        row.append(np.full(len(found[0]), i))
+                        place, first, last = anchors(grams[lo:hi - part_size + 1], size - part_size + 1)
+                        at.append(place + lo)
+                        run.append(first << 32 | last)
+                        row.append(np.full(len(place), i))
                 if not at:
                     continue
-                at, first, last, row = map(np.concatenate, (at, first, last, row))
+                at, run, row = map(np.concatenate, (at, run, row))
                 rows = [batch.column(j).slice(part.lo, part.hi - part.lo).take(pa.array(row)) for j in (0, 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [*rows, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
-                     pa.array(signed(grams[at + words.first[row]]))], ["did", "fp", "first", "last", "gram"])
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(run), pa.array(signed(grams[at]))],
+                                                 ["did", "fp", "run", "gram"])
+
+    return docs.select("did", "fp", "text").mapInArrow(run, "did long, fp long, run long, gram long")
 
-    return docs.select("did", "fp", "text").mapInArrow(run, "did long, fp long, first int, last int, gram long")
 
+def _run_rows(docs: DataFrame, size: int) -> DataFrame:
+    """(did, fp, first, n, whole, hashes): the windows of each run that ``docs`` lists in ``runs``.
+
+    hashes has one per window; whole is the hash of all words of the run, so runs with the same whole, n and first hash are equal.
+    """
+    part_size = _gram(size)
 
-def _window_rows(docs: DataFrame, size: int) -> DataFrame:
-    """(did, fp, at, h1, h2) of the windows that ``docs`` lists as runs ``ats``."""
     def run(batches):
         for batch in batches:
-            col = batch.column(2)
-            for part in chunks(col):
+            for part in chunks(batch.column(2)):
                 words = find_words(part)
-                polys = [Poly(word_hashes(part, words, which=k), k) for k in (0, 1)]
-                ats = batch.column(3).slice(part.lo, part.hi - part.lo).to_pylist()
-                start, row = [], []
-                for i, runs in enumerate(ats):
-                    lo = words.first[i]
-                    for x in runs:
-                        start.append(np.arange(lo + x["first"], lo + x["last"] + 1))
-                        row.append(np.full(x["last"] + 1 - x["first"], i))
-                if not start:
+                poly = Poly(word_hashes(part, words))
+                other = Poly(word_hashes(part, words, which=1), 1)
+                listed = batch.column(3).slice(part.lo, part.hi - part.lo)
+                row = np.repeat(np.arange(len(listed)), pc.list_value_length(listed).to_numpy())
+                code = listed.flatten().to_numpy()
+                if not len(code):
                     continue
-                start, row = np.concatenate(start), np.concatenate(row)
+                base = words.first[row]
+                first, last = (code >> 32) + base, (code & 0xFFFFFFFF) + base
+                n = last - first + 1
+                ends = np.cumsum(n)
+                start = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(first, n)
+                hashes = signed(other.runs(start, start + size))
                 rows = [batch.column(j).slice(part.lo, part.hi - part.lo).take(pa.array(row)) for j in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [*rows, pa.array((start - words.first[row]).astype(np.int32)),
-                     *(pa.array(signed(p.runs(start, start + size))) for p in polys)],
-                    ["did", "fp", "at", "h1", "h2"])
+                    [*rows, pa.array((first - base).astype(np.int32)), pa.array(n.astype(np.int32)),
+                     pa.array(signed(poly.runs(first, last + size))),
+                     pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(hashes))],
+                    ["did", "fp", "first", "n", "whole", "hashes"])
 
-    return docs.select("did", "fp", "text", "ats").mapInArrow(
-        run, "did long, fp long, at int, h1 long, h2 long")
+    return docs.select("did", "fp", "text", "runs").mapInArrow(
+        run, "did long, fp long, first int, n int, whole long, hashes array<long>")
 
 
 def _cut(docs: DataFrame, size: int) -> DataFrame:
@@ -116,17 +128,23 @@ def repeated_windows(docs: DataFrame, size: int = 50) -> DataFrame:
     smaller than another, and a repeated row gets the same result. Other columns are left out.
     """
     docs = identified(docs)
-    found = cut_lineage(_anchor_rows(docs, size))
+    found = _anchor_rows(docs, size)
     shared = found.groupBy("gram").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi")
-    near = found.join(shared.select("gram"), "gram", "left_semi").groupBy("did", "fp").agg(
-        F.collect_set(F.struct("first", "last")).alias("ats"))
-    near = cut_lineage(near)
-    windows = cut_lineage(_window_rows(beside(docs, near, ["did", "fp"], "inner"), size))
-    first = windows.groupBy("h1", "h2").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi")
-    flagged = windows.join(first.select("h1", "h2", "lo"), ["h1", "h2"]).where("did > lo").groupBy("did", "fp").agg(
-        F.collect_set("at").alias("flagged"))
-    flagged = cut_lineage(flagged)
-    return _cut(beside(docs, flagged, ["did", "fp"]), size)
+    near = cut_lineage(found.join(shared.select("gram"), "gram", "left_semi").groupBy("did", "fp").agg(
+        F.collect_set("run").alias("runs")))
+    runs = cut_lineage(_run_rows(beside(docs, near, ["did", "fp"], "inner"), size))
+    # equal runs once, with the least document that has them
+    same = ["whole", "n", "h0"]
+    runs = runs.withColumn("h0", F.get("hashes", F.lit(0)))
+    distinct = cut_lineage(runs.groupBy(*same).agg(F.min("did").alias("did"), F.first("hashes").alias("hashes")))
+    windows = distinct.select(*same, "did", F.posexplode("hashes").alias("at", "h"))
+    first = windows.groupBy("h").agg(F.min("did").alias("least"))
+    leasts = cut_lineage(windows.select(*same, "at", "h").join(first, "h").groupBy(*same).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "least"))), lambda x: x["least"]).alias("leasts")))
+    flagged = runs.select("did", "fp", "first", *same).join(leasts, same).select(
+        "did", "fp", F.col("first"), F.posexplode("leasts").alias("at", "least")).where("did > least").groupBy("did", "fp").agg(
+        F.collect_set(F.col("first") + F.col("at")).alias("flagged"))
+    return _cut(beside(docs, cut_lineage(flagged), ["did", "fp"]), size)
 
 
 def digests(docs: DataFrame, size: int = 50) -> DataFrame:
