@@ -143,7 +143,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _bucket(table: pa.Table, length: int):
-    """Flagged runs (id, lo, hi) of a bucket, and (id, lo, hi, window) of its outer runs."""
+    """Flagged runs (id, lo, hi) of a bucket, and (id, lo, hi, window) of its outer runs; id is null where flagged."""
     size, ahead = _split(length)
     width = -(-length // 8) * 8
     after, after_len = _bytes_matrix(table.column("after"), width, True)
@@ -190,12 +190,16 @@ def _bucket(table: pa.Table, length: int):
     outer[:cuts[1] if len(cuts) > 1 else n] = True
     outer[cuts[-1]:] = True
     left = table.column("before").to_pylist()
-    out = []
+    out, told = [], set()
     for i in np.flatnonzero(outer).tolist():
         text, at = left[order[i]] + raw[order[i]], int(hi[i])
         for o in range(int(lo[i]), at + 1):
-            window = text[at - o:at - o + length]
-            out.append((ids[i].as_py(), o, o, hashlib.blake2b(window, digest_size=16).digest()))
+            mark = hashlib.blake2b(text[at - o:at - o + length], digest_size=16).digest()
+            if not flags[i, o]:
+                out.append((ids[i].as_py(), o, o, mark))
+            elif mark not in told:              # flagged already; it only has to be known to other buckets
+                told.add(mark)
+                out.append((None, o, o, mark))
         if len(out) >= 50_000:
             yield _outer_batch(out, names)
             out = []
@@ -268,7 +272,7 @@ def repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
     across = outer.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")
     flagged = (distinct.where("n > 1").select("id", "lo", "hi")
                .union(sorted_runs.where("window is null").select("id", "lo", "hi"))
-               .union(outer.join(across, "window", "left_semi").select("id", "lo", "hi")))
+               .union(outer.where("id is not null").join(across, "window", "left_semi").select("id", "lo", "hi")))
     gone = suffixes.select("did", "fp", "at", "id").join(flagged, "id").groupBy("did", "fp").agg(
         F.collect_set(F.struct((F.col("at") - F.col("hi")).alias("s"),
                                (F.col("at") - F.col("lo") + length).alias("e"))).alias("gone"))
