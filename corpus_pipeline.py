@@ -17,19 +17,16 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from sigscreen.llm import decontaminate, encode, language, near, suffixes  # noqa: E402
-from sigscreen.llm.corpus import beside, reachable, table  # noqa: E402
+from sigscreen.llm.corpus import LAST, beside, reachable, table  # noqa: E402
 from sigscreen.runtime import cut_lineage, shared_folder  # noqa: E402
 
 SIZE = 5                   # words in a near-duplicate shingle
 SAME_BYTES = 256           # a string of so many bytes that stands elsewhere goes
 TOKENIZER = "word_bpe_49k.json"
 
-_ID = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """With did and fp, as ``corpus.identified`` makes them, to join a stage's decisions to whole rows."""
-    return docs.withColumn("_did", _ID).withColumn(
+    return docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(
         "_fp", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
