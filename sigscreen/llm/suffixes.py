@@ -7,7 +7,7 @@ run stands once are dropped after a count.
 The rest travel with their leading bytes and with the few bytes that precede them. Spark samples
 splitters and partitions them by range; a bucket sorts its suffixes by multikey quicksort. Strings
 are equal when neighbors agree on the bytes after the anchor and hold equal bytes before it. The
-first and last run of a bucket may continue in the next one, so the strings of these runs are
+rows near either end of a bucket may share a string with the next one, so the strings that can are
 compared across buckets by a grouping on their hashes. Equal suffixes are counted, then kept once.
 """
 
@@ -143,7 +143,7 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _bucket(table: pa.Table, length: int):
-    """Flagged runs (id, lo, hi) of a bucket, and (id, lo, hi, window) of its outer runs; id is null where flagged."""
+    """Flagged runs (id, lo, hi) of a bucket, and (id, lo, hi, window) of what other buckets may hold; id is null where flagged."""
     size, ahead = _split(length)
     width = -(-length // 8) * 8
     after, after_len = _bytes_matrix(table.column("after"), width, True)
@@ -184,16 +184,18 @@ def _bucket(table: pa.Table, length: int):
     if len(row):
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(first.astype(np.int32)),
                                           pa.array(last.astype(np.int32)), none], names)
-    # the outer runs, for the comparison across buckets
-    cuts = np.flatnonzero(common < size)                        # row 0 is always a cut
-    outer = np.zeros(n, bool)
-    outer[:cuts[1] if len(cuts) > 1 else n] = True
-    outer[cuts[-1]:] = True
+    # For the comparison across buckets: what a row shares with a row of an earlier bucket it also shares
+    # with all rows above it here, and so downward. That bounds which of its strings can stand there.
+    least = np.full(n, length)
+    least[1:] = np.minimum.accumulate(common[1:])
+    upward = np.full(n, length)
+    upward[:-1] = np.minimum.accumulate(common[:0:-1])[::-1]
+    begin = np.maximum(lo, length - np.maximum(least, upward))
     left = table.column("before").to_pylist()
     out, told = [], set()
-    for i in np.flatnonzero(outer).tolist():
+    for i in np.flatnonzero(begin <= hi).tolist():
         text, at = left[order[i]] + raw[order[i]], int(hi[i])
-        for o in range(int(lo[i]), at + 1):
+        for o in range(int(begin[i]), at + 1):
             mark = hashlib.blake2b(text[at - o:at - o + length], digest_size=16).digest()
             if not flags[i, o]:
                 out.append((ids[i].as_py(), o, o, mark))
