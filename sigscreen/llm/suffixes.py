@@ -5,10 +5,11 @@ the string's length has the least hash, so equal strings have theirs at the same
 run stands once are dropped after a count.
 
 The rest travel with their leading bytes and with the few bytes that precede them. Spark samples
-splitters and partitions them by range; a bucket sorts its suffixes by multikey quicksort. Strings
-are equal when neighbors agree on the bytes after the anchor and hold equal bytes before it. The
-rows near either end of a bucket may share a string with the next one, so the strings that can are
-compared across buckets by a grouping on their hashes. Equal suffixes are counted, then kept once.
+splitters and partitions them by range of their leading run; a run that more than ``HOT`` different
+suffixes share is ranged by all its bytes, so it may fill many buckets. A bucket sorts its suffixes by multikey
+quicksort. Strings are equal when neighbors agree on the bytes after the anchor and hold equal bytes
+before it. Where a run is split, the strings that may stand in the next bucket as well are compared across
+buckets by a grouping on their hashes. Equal suffixes are counted, then kept once.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from sigscreen.llm.corpus import beside, identified
 from sigscreen.llm.texts import BASES, SYMBOLS, U, Poly, anchors, chunks, merged, mix, powers, signed
 from sigscreen.runtime import cut_lineage
 
+HOT = 20_000               # suffixes with one leading run that a bucket takes unsplit
+
 
 def _split(length: int) -> tuple[int, int]:
     """The length of an anchor's run, and the most bytes before it in its string."""
@@ -190,7 +193,8 @@ def _bucket(table: pa.Table, length: int):
     least[1:] = np.minimum.accumulate(common[1:])
     upward = np.full(n, length)
     upward[:-1] = np.minimum.accumulate(common[:0:-1])[::-1]
-    begin = np.maximum(lo, length - np.maximum(least, upward))
+    hot = table.column("hot").to_numpy(zero_copy_only=False)[order]
+    begin = np.where(hot, np.maximum(lo, length - np.maximum(least, upward)), length + 1)
     left = table.column("before").to_pylist()
     out, told = [], set()
     for i in np.flatnonzero(begin <= hi).tolist():
@@ -267,8 +271,13 @@ def repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
         if rows:
             yield from _bucket(pa.Table.from_batches(rows), length)
 
+    lead = F.substring("after", 1, _split(length)[0])
+    many = cut_lineage(distinct.groupBy(lead.alias("lead")).agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > HOT).select("lead", F.lit(True).alias("hot")))
+    dealt = beside(distinct.withColumn("lead", lead), many, "lead").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    deeper = [F.when(F.col("hot"), F.col(c)) for c in ("after", "before")]
     sorted_runs = cut_lineage(
-        distinct.repartitionByRange(parts, "after", "before").select("id", "lo", "hi", "before", "after")
+        dealt.repartitionByRange(parts, "lead", *deeper).select("id", "lo", "hi", "before", "after", "hot")
         .mapInArrow(run, "id binary, lo int, hi int, window binary"))
     outer = sorted_runs.where("window is not null")
     across = outer.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window")

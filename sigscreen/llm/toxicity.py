@@ -27,7 +27,7 @@ WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0
 LEADS = (3, 4, 5, 6)
 KINDS = len(LEADS) + 1
 BUCKETS = 1 << 18
-SAMPLE = 700               # training texts of either label
+SAMPLE = 500               # training texts of either label
 STRENGTH = 20.0            # log likelihood ratio that makes a feature evidence
 EVIDENCE = 20_000          # features kept as evidence, strongest first
 SEGMENT = 64               # words of a training sequence
