@@ -79,7 +79,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     ws = F.col("ws")
     same = F.filter("maybe", lambda c: (c["start"] + c["m"] <= F.size(ws)) &
                     (F.array_join(F.slice(ws, c["start"] + 1, c["m"]), " ") == c["win"]))
-    read = beside(docs, found, ["did", "fp"]).select(
+    read = docs.join(found, ["did", "fp"], "left").select(
         "doc_id", "did", "fp", words_of(F.col("text")).alias("ws"), "maybe").select(
         "doc_id", "did", "fp", F.size("ws").cast("long").alias("n_words"),
         F.coalesce(same, F.array().cast("array<struct<start:int,m:int,win:string>>")).alias("hits"))
@@ -90,7 +90,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     covered = F.array_distinct(F.flatten(F.transform(
         "hits", lambda c: F.sequence(c["start"], c["start"] + c["m"] - 1))))
     listed = F.coalesce("items", F.array().cast("array<string>"))
-    return beside(read, cut_lineage(items), ["did", "fp"]).select(
+    return read.join(cut_lineage(items), ["did", "fp"], "left").select(
         "doc_id", "did", "fp", "n_words", "hits", F.size(covered).cast("long").alias("n_hit"),
         F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"),

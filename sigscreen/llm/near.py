@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigscreen.llm.components import components
-from sigscreen.llm.corpus import LAST, beside, by_key, identified
+from sigscreen.llm.corpus import LAST, by_key, identified
 from sigscreen.llm.texts import SPACED, U, Poly, chunks, find_words, word_hashes
 from sigscreen.runtime import cut_lineage
 
@@ -118,7 +118,7 @@ def _close(k: int = K):
 def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(c, sketch) with the full sets of the classes that ``wanted`` lists, read from their texts."""
     wanted = cut_lineage(classes.join(wanted, "c").select("c", "did", "fp"))
-    texts = beside(docs, wanted, ["did", "fp"], "inner").drop("c")
+    texts = docs.join(wanted.drop("c"), ["did", "fp"])
     # equal rows may repeat a text
     sets = sketches(texts, size, whole=True).join(wanted, ["did", "fp"]).dropDuplicates(["c"])
     return cut_lineage(sets.select("c", "sketch"))

@@ -259,7 +259,7 @@ def repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
     often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     near = cut_lineage(found.join(often, "gram").groupBy("did", "fp").agg(
         F.collect_set(F.struct("at", "lo", "hi")).alias("ats")))
-    suffixes = cut_lineage(_suffix_rows(beside(docs, near, ["did", "fp"], "inner"), length))
+    suffixes = cut_lineage(_suffix_rows(docs.join(near, ["did", "fp"]), length))
     distinct = suffixes.groupBy("id").agg(
         F.count(F.lit(1)).alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
         F.first("before").alias("before"), F.first("after").alias("after"))
@@ -287,7 +287,7 @@ def repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
     gone = suffixes.select("did", "fp", "at", "id").join(flagged, "id").groupBy("did", "fp").agg(
         F.collect_set(F.struct((F.col("at") - F.col("hi")).alias("s"),
                                (F.col("at") - F.col("lo") + length).alias("e"))).alias("gone"))
-    return _cut(beside(docs, cut_lineage(gone), ["did", "fp"]))
+    return _cut(docs.join(cut_lineage(gone), ["did", "fp"], "left"))
 
 
 def digests(docs: DataFrame, length: int = 400) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigscreen.llm.corpus import beside, identified
+from sigscreen.llm.corpus import identified
 from sigscreen.llm.texts import Poly, anchors, chunks, find_words, signed, word_hashes
 from sigscreen.runtime import cut_lineage
 
@@ -132,7 +132,7 @@ def repeated_windows(docs: DataFrame, size: int = 50) -> DataFrame:
     shared = found.groupBy("gram").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi")
     near = cut_lineage(found.join(shared.select("gram"), "gram", "left_semi").groupBy("did", "fp").agg(
         F.collect_set("run").alias("runs")))
-    runs = cut_lineage(_run_rows(beside(docs, near, ["did", "fp"], "inner"), size))
+    runs = cut_lineage(_run_rows(docs.join(near, ["did", "fp"]), size))
     # equal runs once, with the least document that has them
     same = ["whole", "n", "h0"]
     runs = runs.withColumn("h0", F.get("hashes", F.lit(0)))
@@ -144,7 +144,7 @@ def repeated_windows(docs: DataFrame, size: int = 50) -> DataFrame:
     flagged = runs.select("did", "fp", "first", *same).join(leasts, same).select(
         "did", "fp", F.col("first"), F.posexplode("leasts").alias("at", "least")).where("did > least").groupBy("did", "fp").agg(
         F.collect_set(F.col("first") + F.col("at")).alias("flagged"))
-    return _cut(beside(docs, cut_lineage(flagged), ["did", "fp"]), size)
+    return _cut(docs.join(cut_lineage(flagged), ["did", "fp"], "left"), size)
 
 
 def digests(docs: DataFrame, size: int = 50) -> DataFrame:
