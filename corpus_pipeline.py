@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from sigscreen.llm import decontaminate, encode, language, near, suffixes  # noqa: E402
-from sigscreen.llm.corpus import LAST, beside, reachable, table  # noqa: E402
+from sigscreen.llm.corpus import LAST, reachable, table  # noqa: E402
 from sigscreen.runtime import cut_lineage, shared_folder  # noqa: E402
 
 SIZE = 5                   # words in a near-duplicate shingle
@@ -33,7 +33,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _decided(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """Rows of ``docs`` beside the decision on their id and text; one decision serves equal rows."""
     keys = decisions.withColumnsRenamed({"did": "_did", "fp": "_fp"}).dropDuplicates(["_did", "_fp"])
-    return beside(_keyed(docs), cut_lineage(keys), ["_did", "_fp"], "inner").drop("_did", "_fp")
+    return _keyed(docs).join(cut_lineage(keys), ["_did", "_fp"]).drop("_did", "_fp")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reachable(spark)
     kept = near.near_duplicates(docs, size=SIZE, percent=80, keys=True).where("kept")
     kept = cut_lineage(kept.groupBy(F.col("did").alias("_did"), F.col("fp").alias("_fp")).agg(F.count(F.lit(1)).alias("_n")))
-    rows = beside(_keyed(docs), kept, ["_did", "_fp"], "inner")
+    rows = _keyed(docs).join(kept, ["_did", "_fp"])
     again = rows.where("_n > 1").dropDuplicates(["_did", "_fp"])         # only rows that repeat are compared
     return rows.where("_n = 1").union(again).select(*docs.columns)
 
