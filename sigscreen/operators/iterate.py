@@ -49,7 +49,7 @@ def pagerank(edges: DataFrame, src: str, dst: str, rounds: int = 10,
     return ranks
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """(id, component): the smallest id of each component.
 
     Each round takes the smallest label among neighbors, hands it to everyone with the
@@ -66,7 +66,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     hubs = hot_keys(arcs, "b")
     labels = cut_lineage(nodes.withColumn("component", F.col("id")))
     crowded: list = []
-    for _ in range(max_rounds):
+    while True:
         state = labels.select(F.col("id").alias("b"), F.col("component").alias("_nb"))
         near = lookup_join(arcs, state, "b", "inner", hubs).groupBy(
             F.col("a").alias("id")).agg(F.min("_nb").alias("_nb"))
@@ -86,7 +86,6 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         crowded = hot_keys(labels, "component")
         if not changed:
             return labels
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
 def label_propagation(pairs: DataFrame, folds: DataFrame, id_col: str, label: str,

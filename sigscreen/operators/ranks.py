@@ -30,8 +30,10 @@ def class_auc(cells: DataFrame, groups: Sequence[str] = ("feature",)) -> DataFra
     out = ranked.groupBy(*groups, "y").agg(
         F.sum(F.col("rank") * F.col("n")).alias("s"), F.sum("n").alias("n_pos"),
         F.max("_all").alias("n"))
-    pos, rest = F.col("n_pos"), F.col("n") - F.col("n_pos")
-    auc = F.when(rest > 0, (F.col("s") - pos * (pos + 1) / 2) / (pos.cast("double") * rest))
+    # doubles: the products leave the range of a long past 3 x 10^9 rows of a class
+    pos = F.col("n_pos").cast("double")
+    rest = F.col("n") - F.col("n_pos")
+    auc = F.when(rest > 0, (F.col("s") - pos * (pos + 1) / 2) / (pos * rest))
     return out.select(*groups, "y", auc.alias("auc"), "n_pos", "n")
 
 

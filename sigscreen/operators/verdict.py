@@ -42,11 +42,11 @@ def verdicts(stats: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
 
     ``stats`` has feature, mi, mi_ratio, null_p95, best_auc, importance, coverage,
     stability_cv and redundant_with. A missing statistic triggers no rule, except that a
-    missing importance counts as 0.
+    missing importance counts as 0, and a missing MI does not beat the null.
     """
     importance = F.coalesce(F.col("importance"), F.lit(0.0))
     rules = [
-        (F.col("mi") <= F.col("null_p95"), "drop", F.lit(NO_SIGNAL)),
+        (F.coalesce(F.col("mi") <= F.col("null_p95"), F.col("mi").isNull()), "drop", F.lit(NO_SIGNAL)),
         (F.col("coverage") < limits.min_coverage, "drop", F.lit(TOO_SPARSE)),
         (F.col("best_auc") > limits.max_auc, "investigate", F.lit(TOO_STRONG)),
         (F.col("mi_ratio") > limits.max_mi_ratio, "investigate", F.lit(EXPLAINS_LABEL)),
@@ -61,7 +61,7 @@ def verdicts(stats: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
         chosen = F.when(test, F.struct(F.lit(recommend).alias("recommend"),
                                        reason.alias("reason"))).otherwise(chosen)
     return stats.withColumns({
-        "beats_null": F.col("mi") > F.col("null_p95"), "importance": importance, "_v": chosen,
+        "beats_null": F.when(F.col("mi").isNull(), False).otherwise(F.col("mi") > F.col("null_p95")), "importance": importance, "_v": chosen,
     }).withColumns({"recommend": F.col("_v.recommend"), "reason": F.col("_v.reason")}).select(
         *VERDICT_COLUMNS, "redundant_with")
 

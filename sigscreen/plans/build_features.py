@@ -84,6 +84,7 @@ def build_features(tables: Mapping[str, DataFrame], wiring: Wiring = Wiring()) -
     """Wide feature table with ``ref_ts``, one row per entity; the label is not in it."""
     w = wiring
     key = w.entity
+    tables = {name: C.clean_nan(df) for name, df in tables.items()}
     everyone = tables["entities"]
     people = dedup_key(everyone, [key], [c for c in everyone.columns if c != key] or [key])
     labels = dedup_key(tables["labels"].select(key, w.label), [key], [w.label])

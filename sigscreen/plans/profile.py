@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigscreen.functions.columns import TIME_FORMATS
+from sigscreen.functions.columns import clean_nan
 from sigscreen.sources.tables import read_any
 
 # Name parts that suggest a time, and the limits of a key column.
@@ -198,7 +199,7 @@ def profile(spark: SparkSession, refs: Sequence[str] | Mapping[str, DataFrame],
     else:
         for ref in refs:
             try:
-                tables[ref] = read_any(spark, ref, fmt)
+                tables[ref] = clean_nan(read_any(spark, ref, fmt))
             except AnalysisException as err:
                 failed.append((ref, None, None, None, None, None, None, False, False,
                                str(err).splitlines()[0]))

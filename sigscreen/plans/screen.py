@@ -23,7 +23,6 @@ from sigscreen.operators.verdict import (
 from sigscreen.runtime import cut_lineage, side_by_side
 
 ROW = "_row"
-KNN_ROWS = 200_000_000     # cells x shuffles up to which "auto" uses the nearest-neighbor estimate
 
 
 @dataclass
@@ -109,12 +108,12 @@ def _baseline(filled: DataFrame, id_col: str, label: str, group: str | None, num
 def screen(features: DataFrame, labels: DataFrame, id_col: str, label_col: str,
            time_col: str | None = None, group_col: str | None = None, sample: int | None = None,
            n_perm: int = 30, include: Sequence[str] | None = None, exclude: Sequence[str] = (),
-           thresholds: Thresholds = Thresholds(), seed: int = 0, estimator: str = "auto",
+           thresholds: Thresholds = Thresholds(), seed: int = 0, estimator: str = "knn",
            model: str | None = "forest", charts: bool = True, **model_settings) -> Screen:
     """Judge every feature column: keep, investigate or drop.
 
     All rows are used unless ``sample`` asks for a stratified sample of about that many.
-    ``estimator`` is "knn", "binned" or "auto"; MI and its null always use the same one.
+    ``estimator`` is "knn" or "binned", whatever the size; MI and its null always use the same one.
     ``model`` is "forest", "gbt" or None for no baseline.
     """
     rows = labeled_features(clean_nan(features), labels, id_col, label_col)
@@ -132,9 +131,6 @@ def screen(features: DataFrame, labels: DataFrame, id_col: str, label_col: str,
     if facts["classes"] < 2:
         raise ValueError("the label has fewer than 2 classes")
     numeric, categorical = I.split_kinds(rows, cols)
-    if estimator == "auto":
-        work = facts["rows"] * max(1, len(numeric)) * max(1, n_perm)
-        estimator = "knn" if work <= KNN_ROWS else "binned"
 
     # Codes serve as categories for MI too: a missing value is code 0, its own category.
     filled = cut_lineage(I.encode_features(rows, id_col, numeric, categorical,
@@ -191,9 +187,14 @@ def screen(features: DataFrame, labels: DataFrame, id_col: str, label_col: str,
 
     mi, p95, aucs, (redundant, rank_pairs), cv, (importance, confusion, f1, macro_auc) = \
         side_by_side(spark, [information, null, auc, redundancy, stable, baseline])
-    stats = [mi, p95, coverage(rows, cols), aucs, redundant, cv, importance]
-
-    table = cut_lineage(verdicts(_outer(stats), thresholds))
+    # every feature has a row: one of which no class keeps two rows has no estimate, and counts as MI 0
+    every = spark.createDataFrame([(c,) for c in cols], "feature string")
+    stats = _outer([every, mi, p95, coverage(rows, cols), aucs, redundant, cv, importance]).withColumns({
+        "null_p95": F.when(F.col("mi").isNull(), F.coalesce("null_p95", F.lit(0.0))).otherwise(F.col("null_p95")),
+        "mi_ratio": F.when(F.col("mi").isNull(), F.lit(0.0)).otherwise(F.col("mi_ratio")),
+        "mi": F.coalesce("mi", F.lit(0.0))})
+
+    table = cut_lineage(verdicts(stats, thresholds))
     summary = verdict_counts(table).select(
         F.lit(facts["rows"]).cast("bigint").alias("sample_rows"),
         F.lit(facts["classes"]).cast("bigint").alias("classes"),

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from sigscreen.functions.columns import clean_nan
 
 # What marks a reference as a path, and the table files in a folder.
 DATA_SUFFIXES = (".parquet", ".csv", ".tsv", ".json")
@@ -32,7 +29,10 @@ def infer_format(ref: str) -> str:
 def read_any(
     spark: SparkSession, ref: str, fmt: str | None = None, nrows: int | None = None
 ) -> DataFrame:
-    """Read a catalog table or a path. ``fmt`` overrides the suffix; ``nrows`` of 0 or None is all."""
+    """Read a catalog table or a path. ``fmt`` overrides the suffix; ``nrows`` of 0 or None is all.
+
+    NaN stays as it is, so that filters reach the scan; the plans map it to null where they use values.
+    """
     if not is_path(ref):
         df = spark.table(ref)
     else:
@@ -43,7 +43,6 @@ def read_any(
                 header=True, inferSchema=True, sep="\t" if ref.endswith(".tsv") else ","
             )
         df = reader.load(ref)
-    df = clean_nan(df)
     return df.limit(nrows) if nrows else df
 
 
@@ -55,18 +54,14 @@ def read_named(spark: SparkSession, source: str, name: str) -> DataFrame:
 
 
 def _names_in_folder(spark: SparkSession, folder: str) -> list[str]:
-    """Table paths directly under a folder. Only file names are listed, no content is read."""
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-        .select(F.col("path"))
-    )
-    tail = folder.rstrip("/").rsplit("/", 1)[-1]
-    child = F.regexp_extract("path", rf"/\Q{tail}\E/([^/]+)", 1)
-    suffix = "|".join(s.replace(".", r"\.") for s in FOLDER_SUFFIXES)
-    rows = listing.select(child.alias("child")).where(
-        F.col("child").rlike(f"({suffix})$")
-    ).distinct().orderBy("child").collect()
-    return [f"{folder.rstrip('/')}/{r.child}" for r in rows]
+    """Table paths directly under a folder, one level listed by its file system; none where it is missing."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    names = sorted(f.getPath().getName() for f in system.listStatus(path))
+    return [f"{folder.rstrip('/')}/{n}" for n in names if n.endswith(FOLDER_SUFFIXES)]
 
 
 def read_folder(
@@ -75,12 +70,7 @@ def read_folder(
     """Read every table file in the given folders or files; missing paths are skipped."""
     refs: list[str] = []
     for path in paths:
-        try:
-            found = [path] if path.endswith(FOLDER_SUFFIXES) else _names_in_folder(spark, path)
-        except AnalysisException as err:
-            if err.getCondition() != "PATH_NOT_FOUND":
-                raise
-            found = []
+        found = [path] if path.endswith(FOLDER_SUFFIXES) else _names_in_folder(spark, path)
         refs += [r for r in found if r not in refs]
     out = {}
     for ref in refs:

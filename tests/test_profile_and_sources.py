@@ -22,7 +22,7 @@ def test_formats_round_trip(spark, tmp_path):
     for name in ("t.json", "t.csv", "t.tsv", "t.parquet"):
         got = S.read_any(spark, f"{tmp_path}/{name}")
         assert {r["s"] for r in got.collect()} == {"a", "b"}, name
-    assert S.read_any(spark, f"{tmp_path}/t.parquet").where("d is null").count() == 1
+    assert S.read_any(spark, f"{tmp_path}/t.parquet").where("isnan(d)").count() == 1
     assert S.read_any(spark, f"{tmp_path}/t.parquet", nrows=1).count() == 1
     assert S.read_any(spark, f"{tmp_path}/t.csv", fmt="text").columns == ["value"]
     S.write_any(df.limit(1), f"{tmp_path}/t.parquet")       # overwrites
@@ -40,6 +40,17 @@ def test_folder_of_tables(spark, tmp_path):
         "a.parquet": 3, "b.csv": 1, "c.tsv": 2}
 
 
+def test_folder_name_twice_in_a_path(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/raw/raw/a.parquet")
+    assert len(S.read_folder(spark, [f"{tmp_path}/raw/raw"])) == 1
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, 1.5)], "i long, d double").write.parquet(f"{tmp_path}/t.parquet")
+    plan = S.read_any(spark, f"{tmp_path}/t.parquet").where("d > 1")._jdf.queryExecution().toString()
+    assert "GreaterThan(d" in plan
+
+
 def test_catalog_round_trip(spark, tmp_path):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS shop LOCATION '{tmp_path}/shop'")
     try:

@@ -153,3 +153,16 @@ def test_build_features_on_a_small_town(spark):
     assert (two["doc_present"], two["doc_len"], two["doc_flavor_top_city"]) == (1, 2, "city_12")
     assert one["doc_present"] == 0 and one["wx_home_region_temp"] == 21.0
     assert three["wx_home_region_temp"] is None and one["act_hour_std"] is None
+
+
+def test_every_feature_has_a_verdict(spark):
+    """A feature whose classes have one row each has no estimate, and is dropped, not lost."""
+    from sigscreen import screen
+
+    rows = [(i, float(i), float(i) if i < 2 else None, i % 3) for i in range(30)]
+    wide = spark.createDataFrame(rows, "id long, u double, sparse double, c long").withColumn(
+        "c", F.col("c").cast("string"))
+    labels = spark.createDataFrame([(i, f"k{i}") for i in range(30)], "id long, y string")
+    got = screen(wide, labels, "id", "y", n_perm=2, model=None, charts=False)
+    verdicts = {r["feature"]: r["recommend"] for r in got.verdicts.collect()}
+    assert set(verdicts) == {"u", "sparse", "c"} and verdicts["u"] == "drop"
