@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, keys: boo
     sets = _sets(near.select("c").distinct(), classes, docs, size)
     meeting = placed.join(near, ["hub", "c"]).join(sets.toDF("c", "of"), "c")
     more = _blocks(meeting, _set_links(percent), "a long, b long")
-    found = components(links.union(more))
+    found = components(found.toDF("a", "b").union(more))      # components so far are stars
 
     # back to the rows: the least id of each component
     labelled = classes.join(found.toDF("c", "comp"), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
