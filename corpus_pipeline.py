@@ -39,9 +39,7 @@ def _decided(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with enough confidence. Those without a letter, or rejected, go."""
     reachable(spark)
-    model = language.train(docs)
-    kept = language.identify(docs, model).where(~F.col("rejected")).select("did", "fp")
-    return _decided(docs, kept)
+    return language.recognized(docs, language.train(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

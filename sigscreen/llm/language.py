@@ -158,6 +158,19 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 12, r
     return Model(names, np.ascontiguousarray(flat.astype(np.float32)), bias, float(warm), least)
 
 
+def _told(model: Model, column: pa.Array):
+    """(lo, hi, languages, scores) of each chunk of a column of texts."""
+    for part in chunks(column):
+        n = part.hi - part.lo
+        known = np.array([bool(model.names) and has_letter(part, i) for i in range(n)])
+        pred, score = np.full(n, "und", object), np.zeros(n)
+        if known.any():
+            best, p = model.predict(part)
+            pred[known] = np.array(model.names, object)[best[known]]
+            score[known] = p[known]
+        yield part.lo, part.hi, pred, score
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, did, fp, held_out, lang_pred, score and rejected of each row of (doc_id, text[, lang]).
 
@@ -170,20 +183,28 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     names = ["doc_id", "did", "fp", "lang_pred", "score"]
 
     def run(batches):
-        m = sent.value
         for batch in batches:
-            for part in chunks(batch.column(3)):
-                n = part.hi - part.lo
-                known = np.array([bool(m.names) and has_letter(part, i) for i in range(n)])
-                pred, score = np.full(n, "und", object), np.zeros(n)
-                if known.any():
-                    best, p = m.predict(part)
-                    pred[known] = np.array(m.names, object)[best[known]]
-                    score[known] = p[known]
+            for lo, hi, pred, score in _told(sent.value, batch.column(3)):
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(j).slice(part.lo, n) for j in range(3)), pa.array(pred, pa.string()), pa.array(score)], names)
+                    [*(batch.column(j).slice(lo, hi - lo) for j in range(3)), pa.array(pred, pa.string()), pa.array(score)], names)
 
     out = identified(docs).select("doc_id", "did", "fp", "text").mapInArrow(
         run, "doc_id long, did long, fp long, lang_pred string, score double")
     return out.select("doc_id", "did", "fp", (remainder() == 2).alias("held_out"), "lang_pred", "score",
                       ((F.col("lang_pred") == "und") | (F.col("score") < model.least)).alias("rejected"))
+
+
+def recognized(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``identify`` does not reject. They pass by once and are not shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = sent.value
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            rows = batch.select(range(batch.num_columns - 1))
+            for lo, hi, pred, score in _told(m, texts):
+                yield rows.slice(lo, hi - lo).filter(pa.array((pred != "und") & (score >= m.least)))
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(*docs.columns, text).mapInArrow(run, docs.schema)
