@@ -185,8 +185,8 @@ def mi_numeric(cells: DataFrame, groups: Sequence[str] = (), k: int = NEIGHBORS,
     # The noise has spread any heavy value, so split points fall inside it too.
     splits = Splits(points, ["feature"], "x", parts)
     sizes = points.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("ny")).where("ny > 1")
-    # One row per feature, group and class.
-    points = points.join(F.broadcast(sizes), [*keys, "y"])
+    # One row per feature, group and class; Spark weighs it and picks the join.
+    points = points.join(sizes, [*keys, "y"])
 
     if splits.table is None:     # every feature fits one bucket
         near = points.withColumns({"_block": F.lit(0), "_own": F.lit(True), "_o": F.col("x")})

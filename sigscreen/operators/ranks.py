@@ -49,8 +49,8 @@ def kruskal_h(cells: DataFrame) -> DataFrame:
     counts = cells.where("x is not null").groupBy("feature", "x", "y").agg(
         F.count(F.lit(1)).alias("n"))
     large = counts.groupBy("feature", "y").agg(F.sum("n").alias("_ny")).where("_ny > 1")
-    # One row per feature and class.
-    ranked = midranks(counts.join(F.broadcast(large.drop("_ny")), ["feature", "y"]), "x",
+    # One row per feature and class; Spark weighs it and picks the join.
+    ranked = midranks(counts.join(large.drop("_ny"), ["feature", "y"]), "x",
                       ["feature"], Splits(cells, ["feature"], "x"))
     # Every row of a value carries its tie count t, so sum n (t^2 - 1) is sum (t^3 - t).
     by_class = ranked.groupBy("feature", "y").agg(
@@ -82,8 +82,8 @@ def spearman_pairs(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame
     """(a, b, rho) for every ordered pair of columns, each over the rows where both are present.
 
     A column is ranked once for each set of missing rows among the columns, since ranks
-    depend only on the rows left. The correlations are then aggregates over one wide row
-    per id: column pairs are never emitted as rows.
+    depend only on the rows left: a row is shuffled once per column and such set. The
+    correlations are then aggregates over one wide row per id.
     """
     cols = list(cols)
     masks = _null_masks(df, id_col, cols)

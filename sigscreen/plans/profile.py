@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigscreen.functions.columns import TIME_FORMATS
-from sigscreen.functions.columns import clean_nan
+from sigscreen.functions.columns import TIME_FORMATS, clean_nan
+from sigscreen.runtime import cut_lineage
 from sigscreen.sources.tables import read_any
 
 # Name parts that suggest a time, and the limits of a key column.
@@ -75,7 +75,7 @@ def _cells(df: DataFrame, first: int) -> DataFrame:
 def profile_columns(tables: Mapping[str, DataFrame], sample: int | None = None) -> DataFrame:
     """One row per column: type, rows, null share, distinct count, samples, time and key flags.
 
-    All columns of all tables go through one shuffle of value counts.
+    All columns of all tables go through one shuffle of value counts, written once.
     """
     spark = next(iter(tables.values())).sparkSession
     meta, cells = [], None
@@ -85,8 +85,8 @@ def profile_columns(tables: Mapping[str, DataFrame], sample: int | None = None)
         meta += [(len(meta) + i, name, f.name, f.dataType.simpleString(), _is_time_type(f.dataType),
                   _is_key_type(f.dataType), _time_by_name(f))
                  for i, f in enumerate(df.schema.fields)]
-    counts = cells.groupBy("c", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.max("bad").alias("bad"))
+    counts = cut_lineage(cells.groupBy("c", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.max("bad").alias("bad")))
     stats = counts.groupBy("c").agg(
         F.sum("n").alias("row_count"),
         F.sum(F.when(F.col("key").isNull(), F.col("n")).otherwise(0)).alias("_nulls"),

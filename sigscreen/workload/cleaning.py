@@ -13,10 +13,11 @@ from sigscreen.workload import data as D
 from sigscreen.workload.registry import Tables, md5_of, modal_sql, query, r6, unpivot_sql
 
 
-@query("dedup_rows", "SELECT DISTINCT md5(text) AS text_md5, lang FROM documents")
+@query("dedup_rows", """SELECT DISTINCT doc_id, md5(text) AS text_md5, lang, source, n_chars
+  FROM (SELECT * FROM documents UNION ALL SELECT * FROM documents)""")
 def dedup_rows(t: Tables):
-    return clean.dedup_rows(t.documents.select("text", "lang")).select(
-        F.md5("text").alias("text_md5"), "lang")
+    return clean.dedup_rows(t.documents.unionAll(t.documents)).select(
+        "doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
 
 
 @query("dedup_key", """SELECT o_custkey, o_orderkey, o_orderpriority FROM (SELECT *, row_number()

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sigscreen.sources.tables import read_named
+
 
 @dataclass(frozen=True)
 class Query:
@@ -26,7 +28,7 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return read_named(self.spark, self.folder, f"{name}.parquet")
 
 
 def query(name: str, sql: str | None = None):

@@ -158,7 +158,12 @@ def kruskal_h(t: Tables):
     return R.kruskal_h(item_cells(t))
 
 
-SPEARMAN = f"""WITH {D.CUSTOMER_NUMBERS}, c AS ({unpivot_sql('nums', D.NUMERIC, 'id', 'double')}),
+BANDED = ["spend_band", *D.NUMERIC]        # with a column that repeats another one in steps
+
+
+def spearman_sql(cols: list[str]) -> str:
+    return f"""WITH {D.CUSTOMER_NUMBERS}, banded AS (SELECT *, floor(spend / 1000)::double AS spend_band FROM nums),
+  c AS ({unpivot_sql('banded', cols, 'id', 'double')}),
   p AS (SELECT a.feature AS a, b.feature AS b, a.x AS xa, b.x AS xb FROM c a JOIN c b USING (id)
     WHERE a.feature <> b.feature AND a.x IS NOT NULL AND b.x IS NOT NULL),
   r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY xa)
@@ -168,16 +173,17 @@ SPEARMAN = f"""WITH {D.CUSTOMER_NUMBERS}, c AS ({unpivot_sql('nums', D.NUMERIC,
   s AS (SELECT a, b, corr(ra, rb) AS rho FROM r GROUP BY 1, 2)"""
 
 
-@query("spearman_pairs", f"{SPEARMAN} SELECT a, b, {r6('rho', 'rho')} FROM s")
+@query("spearman_pairs", f"{spearman_sql(D.NUMERIC)} SELECT a, b, {r6('rho', 'rho')} FROM s")
 def spearman_pairs(t: Tables):
     return R.spearman_pairs(D.customer_numbers(t), "id", D.NUMERIC)
 
 
-@query("spearman_redundancy", f"""{SPEARMAN} SELECT feature, redundant_with, {r6('rho', 'rho')}
+@query("spearman_redundancy", f"""{spearman_sql(BANDED)} SELECT feature, redundant_with, {r6('rho', 'rho')}
   FROM (SELECT a AS feature, b AS redundant_with, abs(rho) AS rho, row_number() OVER
     (PARTITION BY a ORDER BY round(abs(rho), 12) DESC, b) AS rk FROM s) WHERE rk = 1 AND rho > 0.9""")
 def spearman_redundancy(t: Tables):
-    return R.spearman_redundancy(R.spearman_pairs(D.customer_numbers(t), "id", D.NUMERIC))
+    rows = D.customer_numbers(t).withColumn("spend_band", F.floor(F.col("spend") / 1000).cast("double"))
+    return R.spearman_redundancy(R.spearman_pairs(rows, "id", BANDED))
 
 
 # ---- time ------------------------------------------------------------------------------------
