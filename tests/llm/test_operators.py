@@ -108,6 +108,11 @@ def test_language_on_held_out_rows(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !"), (None, "漢")], "doc_id long, text string")
     pred = {r.doc_id: r.lang_pred for r in language.identify(odd, model).collect()}
     assert [pred[i] for i in (1, 2, 3)] == ["und"] * 3 and pred[None] != "und"
+    wide = odd.select("*", F.lit(1).alias("did"), F.lit("x").alias("_text"))      # columns pass by, rejected rows go
+    told = language.identify(wide, model).where("not rejected").count()
+    kept = language.recognized(wide, model)
+    assert kept.columns == wide.columns and kept.count() == told and kept.where("doc_id in (1, 2, 3)").isEmpty()
+    assert language.recognized(wide.limit(0), model).isEmpty()
 
 
 def test_toxicity_on_held_out_rows(spark):
