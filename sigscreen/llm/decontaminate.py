@@ -75,11 +75,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
         "did", "fp", (F.col("pos") - F.col("off")).alias("start"), "m", "win")
     found = cut_lineage(found.groupBy("did", "fp").agg(F.collect_set(F.struct("start", "m", "win")).alias("maybe")))
 
-    # exact words at the place, and the counts of every text
+    # exact words at the place, and the counts of every text; each text is shuffled once, however few were found
     ws = F.col("ws")
     same = F.filter("maybe", lambda c: (c["start"] + c["m"] <= F.size(ws)) &
                     (F.array_join(F.slice(ws, c["start"] + 1, c["m"]), " ") == c["win"]))
-    read = docs.join(found, ["did", "fp"], "left").select(
+    read = docs.join(found.hint("merge"), ["did", "fp"], "left").select(
         "doc_id", "did", "fp", words_of(F.col("text")).alias("ws"), "maybe").select(
         "doc_id", "did", "fp", F.size("ws").cast("long").alias("n_words"),
         F.coalesce(same, F.array().cast("array<struct<start:int,m:int,win:string>>")).alias("hits"))
