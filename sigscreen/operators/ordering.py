@@ -11,8 +11,9 @@ sorted on its own, and the sizes of the earlier buckets are added as offsets.
   may hold any share of the rows. The points only balance the work: whatever they
   are, the numbers that come out are the same.
 
-Split points are metadata (at most ``MAX_SPLITS`` numbers per group) and are read
-once, so that all branches of a plan use the same buckets.
+Split points (at most ``MAX_SPLITS`` numbers for a group above a bucket's size, none for
+others) are written once, so that all branches of a plan use the same buckets. The driver
+learns only how many there are.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sigscreen.functions.columns import hash_text
+from sigscreen.operators.joins import SALTS, SMALL_BYTES
+from sigscreen.runtime import cut_lineage
 
 HASH_DIGITS = 3        # 4,096 buckets for an order by hash
 TIE_DIGITS = 2         # 256 buckets inside one heavy value
@@ -78,32 +81,36 @@ class Splits:
         found = seen.groupBy(*self.by).agg(
             F.count(F.lit(1)).alias("n"),
             F.expr(f"percentile_approx(_v, array({probs}), 5000)").alias("points"))
-        rows = []
-        for r in found.collect():
-            want = min(MAX_SPLITS, int(r["n"] / SKETCH_SHARE / (ROWS_PER_BUCKET * parts)))
-            if not want or not r["points"]:
-                continue
-            step = (MAX_SPLITS + 1) / (want + 1)
-            picked = {r["points"][int(i * step) - 1] for i in range(1, want + 1)}
-            rows.append((*[r[c] for c in self.by], sorted(picked)))
+        want = F.least(F.lit(MAX_SPLITS), F.floor(F.col("n") / F.lit(SKETCH_SHARE * ROWS_PER_BUCKET * parts)))
+        step = F.lit(MAX_SPLITS + 1.0) / (F.col("want") + 1)
+        picked = F.transform(F.sequence(F.lit(1), F.col("want")), lambda i: F.element_at(
+            "points", F.floor(i * step).cast("int")))
+        # only groups above a bucket's size have points; they stay in a table, which every branch reads
+        found = cut_lineage(found.withColumn("want", want.cast("int")).where("want > 0").select(
+            *self.by, F.array_sort(F.array_distinct(picked)).alias("_points")))
+        row = found.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_points")).alias("most")).first()
         self.table = None
-        if rows:
+        if row["n"]:
             # All lists are padded to one length, 2^n - 1, for a search of n steps.
-            self.steps = max(len(r[-1]) for r in rows).bit_length()
+            self.steps = row["most"].bit_length()
             size = 2**self.steps - 1
-            rows = [(*r[:-1], r[-1] + [float("inf")] * (size - len(r[-1]))) for r in rows]
-            fields = [f.simpleString().replace(":", " ", 1)
-                      for f in df.select(*self.by).schema.fields]
-            self.table = df.sparkSession.createDataFrame(
-                rows, ", ".join([*fields, "_points array<double>"]))
+            self.small = row["n"] * size * 8 <= SMALL_BYTES
+            self.table = found.withColumn("_points", F.concat("_points", F.array_repeat(
+                F.lit(float("inf")), F.lit(size) - F.size("_points"))))
 
     def bucketed(self, df: DataFrame, value: str, tie: Sequence[str] = ()) -> DataFrame:
         """Add ``_b`` (ordered bucket), ``_heavy`` (the bucket is one value) and ``_sub``."""
         if self.table is None:
             return df.withColumns({"_b": F.lit(0), "_heavy": F.lit(False), "_sub": F.lit("")})
         v = F.col(value).cast("double")
-        # The table holds one row per group, so its size is that of the feature list.
-        out = df.join(F.broadcast(self.table), self.by, "left").withColumn("_at", F.lit(0))
+        if self.small:
+            out = df.join(F.broadcast(self.table), self.by, "left")
+        else:                   # every listed group is large, so the rows of each are spread
+            salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
+            copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+            out = df.withColumn("_salt", salt).join(
+                self.table.select("*", copies), [*self.by, "_salt"], "left").drop("_salt")
+        out = out.withColumn("_at", F.lit(0))
         for step in reversed(range(self.steps)):
             # Number of split points below the value, one binary digit at a time.
             far = F.get("_points", F.col("_at") + (2**step - 1)) < v

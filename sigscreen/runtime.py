@@ -14,15 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the session names; made up only for a local session without any.
 
-    A local folder is not visible to other machines, so a cluster session that
-    names none is refused.
+    The setting alone is read where there is one, so that a remote session works too. A local folder is not
+    visible to other machines, so a cluster session that names none is refused.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sigscreen-checkpoint-"))
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sigscreen-checkpoint-"))
     return sc.getCheckpointDir()
 
 

@@ -134,6 +134,14 @@ def concat_text(t: Tables):
                         F.length("text").alias("chars"))
 
 
+@query("concat_text_by_key", f"""SELECT conv_id, 0::bigint AS part, md5(string_agg(text, ' ' ORDER BY turn,
+  {md5_of('conv_id', 'turn')})) AS text_md5, sum(length(text)) + count(*) - 1 AS chars
+  FROM conversations WHERE text IS NOT NULL GROUP BY 1""")
+def concat_text_by_key(t: Tables):
+    whole = counts.concat_text(t.conversations, "conv_id", "text", "turn", ["conv_id", "turn"])
+    return whole.select("conv_id", "part", F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
+
+
 @query("marker_counts", rf"""SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id,
   unnest(regexp_extract_all(text, '{D.WORDS}', 1)) AS word FROM documents) GROUP BY 1, 2""")
 def marker_counts(t: Tables):

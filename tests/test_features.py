@@ -135,6 +135,22 @@ def test_concat_in_parts(spark):
     assert " ".join(r["text"] for r in got[:3]) == " ".join(f"t{i}" for i in range(25))
 
 
+def test_concat_brings_no_keys_to_the_driver(spark, monkeypatch):
+    df = spark.range(100_000).select((F.col("id") % 50_000).alias("k"), F.col("id").alias("o"),
+                                     F.col("id").cast("string").alias("t"))
+    met, collect = [], type(df).collect
+
+    def counted(self):
+        rows = collect(self)
+        met.append(len(rows))
+        return rows
+    monkeypatch.setattr(type(df), "collect", counted)
+    whole = counts.concat_text(df, "k", "t", "o", ["k"])
+    assert sum(met) <= 2
+    assert whole.count() == 50_000
+    assert whole.where("k = 7").first()["text"] == "7 50007"
+
+
 def test_marker_block_equals_its_parts(spark):
     rows = [(1, "land_city_03 slang_city_03 cityname_city_09"), (1, "xteam_city_04"),
             (2, "no marker"), (3, "cityname_city_01 cityname_city_02"), (4, None)]
