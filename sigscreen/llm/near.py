@@ -102,8 +102,8 @@ def _rare_entries(classes: DataFrame) -> DataFrame:
 
 def _estimated(pairs: DataFrame, classes: DataFrame, k: int = K) -> DataFrame:
     """The pairs (a, b) whose union sketch leaves a similarity of 0.8 possible."""
-    side = classes.select("c", "n", "sketch")                    # joined in one way, however few the pairs are
-    both = pairs.join(side.toDF("a", "na", "sa").hint("merge"), "a").join(side.toDF("b", "nb", "sb").hint("merge"), "b")
+    side = classes.select("c", "n", "sketch")
+    both = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
     return both.where(_close()).select("a", "b")
 
 
@@ -118,7 +118,7 @@ def _close(k: int = K):
 def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(c, sketch) with the full sets of the classes that ``wanted`` lists, read from their texts."""
     wanted = cut_lineage(classes.join(wanted, "c").select("c", "did", "fp"))
-    texts = docs.join(wanted.drop("c").hint("merge"), ["did", "fp"])
+    texts = docs.join(wanted.drop("c").hint("merge"), ["did", "fp"])     # one plan, however few are wanted
     # equal rows may repeat a text
     sets = sketches(texts, size, whole=True).join(wanted, ["did", "fp"]).dropDuplicates(["c"])
     return cut_lineage(sets.select("c", "sketch"))
@@ -128,7 +128,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     ends = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
     sets = _sets(ends, classes, docs, size)
-    both = pairs.join(sets.toDF("b", "sb").hint("merge"), "b").join(sets.toDF("a", "sa").hint("merge"), "a")
+    both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * percent).select("a", "b")
 
