@@ -44,6 +44,17 @@ def test_value_positions_with_hot_value(spark, bucket_rows):
         assert [got[i] for _, _, i in mine] == list(range(1, len(mine) + 1))
 
 
+def test_positions_with_many_listed_groups(spark, monkeypatch):
+    monkeypatch.setattr(O, "ROWS_PER_BUCKET", 10)
+    monkeypatch.setattr(O, "SKETCH_SHARE", 1)
+    monkeypatch.setattr(O, "SMALL_BYTES", 0)         # the points are joined by salted group, not broadcast
+    df = spark.createDataFrame(_rows(), "id long, g string, x double")
+    got = O.value_positions(df, "x", ["id"], ["g"])
+    assert got.columns == ["id", "g", "x", "pos"] and got.count() == 400
+    for g, n in got.groupBy("g").agg(F.count_distinct("pos")).collect():
+        assert sorted(r["pos"] for r in got.where(F.col("g") == g).collect()) == list(range(1, n + 1))
+
+
 def test_hot_value_is_cut_into_sub_buckets(spark, monkeypatch):
     monkeypatch.setattr(O, "ROWS_PER_BUCKET", 10)
     monkeypatch.setattr(O, "SKETCH_SHARE", 1)
