@@ -1,12 +1,12 @@
 """Toxic spans by a linear-chain conditional random field.
 
-1. Subword features (the word, its leading 3 to 6 bytes) are counted over all labelled training texts,
-   by text and label. Those that stand almost only in toxic texts are the evidence.
-2. In a bounded sample (``SAMPLE``) of training texts the words of toxic texts that have such evidence are labelled
-   toxic, all others clean. On these token sequences a two-tag field is trained: hashed feature
-   weights and tag transitions, by gradient from the forward-backward algorithm.
+1. In a bounded sample (``SAMPLE``) of training texts, subword features (the word, its leading 3 to 8 bytes) of the toxic
+   ones are counted over all labelled training texts, by label.
+2. A word of a toxic text gets the expected toxic tag that its features have from the other texts, so that no bar
+   on size or share decides; the words of clean texts are clean. On these token sequences a two-tag field is
+   trained: hashed feature weights and tag transitions, by gradient from the forward-backward algorithm.
 3. Every text gets the marginal of the toxic tag at each word. Words of marginal 0.5 or more form the spans;
-   the score joins the marginals as independent evidence.
+   the marginals add up to the text's evidence, which a logistic curve fitted on the sample turns into the score.
 """
 
 from __future__ import annotations
@@ -24,12 +24,12 @@ from sigscreen.runtime import cut_lineage
 
 WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-LEADS = (3, 4, 5, 6)
+LEADS = (3, 4, 5, 6, 8)
 KINDS = len(LEADS) + 1
 BUCKETS = 1 << 18
 SAMPLE = 500               # training texts of either label
-STRENGTH = 20.0            # log likelihood ratio that makes a feature evidence
-EVIDENCE = 20_000          # features kept as evidence, strongest first
+PRIOR = -4.0               # log odds that a feature of a toxic text is a toxic one, before any count
+TIMES = 4                  # a feature counts so often in a text at most
 SEGMENT = 64               # words of a training sequence
 COUNTED = 8 << 20          # bytes of text whose features are counted together
 NOTED = 0.1                # marginals below do not add up in a score
@@ -47,32 +47,73 @@ def features(part: Chunk) -> tuple:
     return words, out + np.arange(KINDS, dtype=U) * U(0x9E3779B97F4A7C15)
 
 
-def _counts(docs: DataFrame) -> DataFrame:
-    """(feature, toxic, texts): in how many texts each feature stands, added up per chunk first."""
+def _counts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(feature, toxic, times): how often each feature of the sorted ``wanted`` stands in texts, ``TIMES`` a text at most.
+
+    toxic is the part in toxic texts. The row of a null feature has the words of all texts.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+
     def run(batches):
+        wanted = sent.value
         for batch in batches:
             label = batch.column(0).to_numpy(zero_copy_only=False)
             for part in chunks(batch.column(1), COUNTED):
                 words, feats = features(part)
-                doc = np.repeat(np.arange(part.hi - part.lo), np.diff(words.first))
-                values, index = np.unique(feats.ravel(), return_inverse=True)
-                pair = np.unique(index.astype(np.int64) * (part.hi - part.lo) + np.repeat(doc, KINDS))
-                at, doc = np.divmod(pair, part.hi - part.lo)
-                toxic = np.bincount(at, weights=label[part.lo:part.hi][doc] == 1, minlength=len(values))
+                n = part.hi - part.lo
+                doc = np.repeat(np.arange(n), np.diff(words.first))
+                mine = signed(feats).ravel()
+                at = np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)
+                hit = np.flatnonzero(wanted[at] == mine)
+                pair, times = np.unique(at[hit] * n + doc[hit // KINDS], return_counts=True)
+                values, doc_of = np.divmod(pair, n)
+                times = np.minimum(times, TIMES)
+                bad = label[part.lo:part.hi] == 1
+                found, index = np.unique(values, return_inverse=True)
+                toxic = np.bincount(index, weights=times * bad[doc_of], minlength=len(found))
+                every = np.bincount(index, weights=times, minlength=len(found))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(values)), pa.array(toxic.astype(np.int64)),
-                     pa.array(np.bincount(at, minlength=len(values)))], ["feature", "toxic", "texts"])
+                    [pa.array([*wanted[found].tolist(), None], pa.int64()),
+                     pa.array(np.append(toxic, bad[doc].sum()).astype(np.int64)),
+                     pa.array(np.append(every, len(doc)).astype(np.int64))], ["feature", "toxic", "times"])
+
+    return docs.select("toxic", "text").mapInArrow(run, "feature long, toxic long, times long")
 
-    return docs.select("toxic", "text").mapInArrow(run, "feature long, toxic long, texts long")
+
+def _own(feats: np.ndarray) -> np.ndarray:
+    """How often each feature of a text's words counts in it."""
+    _, index, times = np.unique(feats, return_inverse=True, return_counts=True)
+    return np.minimum(times, TIMES)[index].reshape(feats.shape)
+
+
+def _expected(toxic: np.ndarray, clean: np.ndarray, base: float) -> np.ndarray:
+    """P(a word of a toxic text is toxic) by the times that its features stand in other toxic and in clean texts.
+
+    A toxic feature has any toxic share from ``base`` to 1, each as likely; others have ``base``. Of what a toxic feature
+    has in toxic texts, a part is there by chance as in clean ones. The strongest feature of a word counts.
+    """
+    share = base + (1 - base) * np.arange(1, 65) / 65
+    pairs, index = np.unique(np.stack([toxic.ravel(), clean.ravel()], axis=1), axis=0, return_inverse=True)
+    fit = pairs[:, :1] * np.log(share / base) + pairs[:, 1:] * np.log((1 - share) / (1 - base))
+    top = fit.max(axis=1)
+    odds = PRIOR + top + np.log(np.exp(fit - top[:, None]).mean(axis=1))
+    by_chance = (pairs[:, 1] + 0.5) / (pairs[:, 0] + 0.5) * base / (1 - base)
+    p = np.clip(1 - by_chance, 0, 1) / (1 + np.exp(-np.clip(odds, -50, 50)))
+    return np.minimum(p[index.ravel()].reshape(toxic.shape).max(axis=1), 0.999)
 
 
 @dataclass
 class Field:
-    """weights: score of the toxic tag by feature bucket; start and step: log scores of tags."""
+    """weights: score of the toxic tag by feature bucket; start and step: log scores of tags.
+
+    scale and shift turn a text's evidence into the log odds that it is toxic.
+    """
     weights: np.ndarray
     bias: float
     start: np.ndarray
     step: np.ndarray
+    scale: float = 1.0
+    shift: float = 0.0
 
     def emissions(self, feats: np.ndarray) -> np.ndarray:
         return self.weights[bucket(feats)].sum(axis=1) + self.bias
@@ -100,6 +141,38 @@ class Field:
         return p[:, 1] / p.sum(axis=1)
 
 
+def evidence(p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sum of -log(1 - p) over a text's marginals of at least ``NOTED``, else that of its highest; 0 without words."""
+    n = len(first) - 1
+    doc = np.repeat(np.arange(n), np.diff(first))
+    top = np.zeros(n)
+    np.maximum.at(top, doc, p)
+    noted = p >= NOTED
+    total = np.bincount(doc[noted], weights=-np.log1p(-np.minimum(p[noted], 1 - 1e-12)), minlength=n)
+    return np.where(top >= NOTED, total, -np.log1p(-np.minimum(top, NOTED)))
+
+
+def logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+def _calibrate(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of the logistic curve through weighed texts with evidence ``x``, by Newton steps.
+
+    Labels count as if a further text of the other kind had been seen (Platt), and the scale is drawn to 1.
+    """
+    bad, good = (weight * toxic).sum(), (weight * (1 - toxic)).sum()
+    aim = np.where(toxic == 1, (bad + 1) / (bad + 2), 1 / (good + 2))
+    rows = np.stack([x, np.ones(len(x))], axis=1)
+    at = np.array([1.0, np.log((bad + 1) / (good + 1))])
+    for _ in range(50):
+        p = logistic(rows @ at)
+        slope = rows.T @ (weight * (aim - p)) - np.array([at[0] - 1, 0])
+        bend = (rows * (weight * p * (1 - p))[:, None]).T @ rows + np.diag([1, 1e-3])
+        at = at + np.clip(np.linalg.solve(bend, slope), -1, 1)
+    return max(float(at[0]), 1e-3), float(at[1])
+
+
 def _scan(f: np.ndarray, row: np.ndarray, width: int = 256) -> np.ndarray:
     """row f[0], row f[0] f[1], ... each scaled to sum 1."""
     n = len(f)
@@ -131,8 +204,9 @@ def bucket(feats: np.ndarray) -> np.ndarray:
     return (feats >> U(46)).astype(np.int64)
 
 
-def _fit(feats: np.ndarray, tags: np.ndarray, first: np.ndarray, rounds: int = 60, rate: float = 0.5) -> Field:
-    """Gradient ascent on the likelihood of the tags; the texts are cut into segments of ``SEGMENT`` words."""
+def _fit(feats: np.ndarray, tags: np.ndarray, first: np.ndarray, weight: np.ndarray, rounds: int = 60,
+         rate: float = 0.5) -> Field:
+    """Gradient ascent on the likelihood of the expected tags; the texts, each with a weight, are cut into segments of ``SEGMENT`` words."""
     cuts = np.unique(np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(first[:-1], first[1:])] + [first[-1:]]))
     size = np.diff(cuts)
     s = len(size)
@@ -144,11 +218,10 @@ def _fit(feats: np.ndarray, tags: np.ndarray, first: np.ndarray, rounds: int = 6
     index = index.reshape(buckets.shape)
     w, bias, start, step = np.zeros(len(used)), 0.0, np.zeros(2), np.zeros((2, 2))
     memory = [np.full(len(used), 1e-6), 1e-6, np.full(2, 1e-6), np.full((2, 2), 1e-6)]
-    seen_step = np.zeros((2, 2))
-    for i in range(2):
-        for j in range(2):
-            seen_step[i, j] = ((y[:, :-1] == i) & (y[:, 1:] == j) & real[:, 1:]).sum()
-    seen_start = np.bincount(y[:, 0], minlength=2)
+    both = np.stack([1 - y, y], axis=2)
+    counts = real * weight[np.searchsorted(first, cuts[:-1], "right") - 1][:, None]
+    seen_step = np.einsum("sti,stj->ij", both[:, :-1], both[:, 1:] * counts[:, 1:, None])
+    seen_start = (both[:, 0] * counts[:, :1]).sum(axis=0)
     for _ in range(rounds):
         score = w[index].sum(axis=1) + bias
         e = np.ones((s, SEGMENT, 2))
@@ -171,9 +244,10 @@ def _fit(feats: np.ndarray, tags: np.ndarray, first: np.ndarray, rounds: int = 6
         pair = fwd[:, :-1, :, None] * trans * (back * e)[:, 1:, None, :]
         pair /= pair.sum(axis=(2, 3), keepdims=True)
         miss = np.zeros(len(tags))
-        miss[at[real]] = (y - p[..., 1])[real]
+        miss[at[real]] = ((y - p[..., 1]) * counts)[real]
         grads = [np.bincount(index.ravel(), weights=np.repeat(miss, KINDS), minlength=len(used)) - 0.01 * w,
-                 miss.sum(), seen_start - p[:, 0].sum(axis=0), seen_step - (pair * real[:, 1:, None, None]).sum(axis=(0, 1))]
+                 miss.sum(), seen_start - (p[:, 0] * counts[:, :1]).sum(axis=0),
+                 seen_step - (pair * counts[:, 1:, None, None]).sum(axis=(0, 1))]
         moved = []
         for i, (value, g) in enumerate(zip((w, bias, start, step), grads)):
             memory[i] = memory[i] + g * g
@@ -187,21 +261,14 @@ def _fit(feats: np.ndarray, tags: np.ndarray, first: np.ndarray, rounds: int = 6
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """A field from the rows of (doc_id, text) whose label is known and that are not held out.
 
-    All of them are counted; the field is fitted on at most ``sample`` texts of either label, chosen by the
-    hash of their id. What reaches the driver is the evidence (at most ``EVIDENCE`` features) and the
-    sample's hashed features. A doc_id with several labels counts as toxic if one says so.
+    The field is fitted on at most ``sample`` texts of either label, chosen by the hash of their id, each of which stands
+    for as many as it was drawn from. The features of its toxic texts are counted over all rows. What reaches the driver is the
+    sample's hashed features and their counts. A doc_id with several labels counts as toxic if one says so.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 2)).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = cut_lineage(known)
     texts = beside(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), known, "doc_id", "inner")
-    counts = _counts(texts).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts"))
-    share = known.agg(F.avg("toxic")).first()[0] or 0.0
-    base = min(max(share, 1e-6), 1 - 1e-6)
-    own = F.col("toxic") / F.col("texts")
-    clean = F.when(own < 1, (F.col("texts") - F.col("toxic")) * F.log((1 - own) / (1 - base))).otherwise(0.0)
-    sure = counts.where(own >= 0.9).where(F.col("toxic") * F.log(own / base) + clean >= STRENGTH).orderBy(F.desc("toxic"), "feature").limit(EVIDENCE)
-    evidence = np.sort(np.array([r["feature"] for r in sure.select("feature").collect()], np.int64))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*by_hash).limit(sample).union(
         known.where("toxic = 0").orderBy(*by_hash).limit(sample))
@@ -220,20 +287,43 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     got = rows.select("text", "toxic").mapInArrow(run, "toxic int, feats binary").collect()
     got = sorted(((r["toxic"], bytes(r["feats"])) for r in got if r["feats"]))
     if not got:
-        return Field(np.zeros(BUCKETS), -20.0, np.zeros(2), np.zeros((2, 2)))
+        return Field(np.zeros(BUCKETS), -20.0, np.zeros(2), np.zeros((2, 2)), shift=-20.0)
     feats = [np.frombuffer(f, U).reshape(-1, KINDS) for _, f in got]
     first = np.append(0, np.cumsum([len(f) for f in feats]))
-    toxic = np.repeat([t for t, _ in got], np.diff(first))
-    feats = np.concatenate(feats)
-    tags = (np.isin(signed(feats), evidence).any(axis=1) & (toxic == 1)).astype(np.int64)
-    return _fit(feats, tags, first)
+    label = np.array([t for t, _ in got])
+    toxic = np.flatnonzero(label == 1)
+    wanted = signed(np.unique(np.concatenate([feats[i].ravel() for i in toxic]) if len(toxic) else np.zeros(0, U)))
+    wanted.sort()
+    tags = [np.zeros(len(f)) for f in feats]
+    if len(wanted):
+        counts = _counts(texts, wanted).groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("times").alias("times"))
+        table = counts.where("feature is null or toxic > 1").toArrow()      # one that stands once is known from no other text
+        key = table.column("feature")
+        bad, every = (table.column(c).to_numpy() for c in ("toxic", "times"))
+        total = key.is_null().to_numpy()
+        base = float(np.clip(bad[total].sum() / max(1, every[total].sum()), 1e-6, 1 - 1e-6))
+        place = np.searchsorted(wanted, key.drop_null().to_numpy())
+        seen, clean = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+        seen[place], clean[place] = bad[~total], (every - bad)[~total]
+        for i in toxic:
+            at = np.searchsorted(wanted, signed(feats[i]))
+            p = _expected(np.maximum(seen[at] - _own(feats[i]), 0), clean[at], base)
+            # some word of a toxic text is toxic
+            tags[i] = np.minimum(p / max(-np.expm1(np.log1p(-p).sum()), 1e-9), 1) if p.max() > 1e-6 else p
+    drawn = np.bincount(label, minlength=2)
+    there = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight = np.array([max(there.get(t, 0) / max(drawn[t], 1), 1.0) for t in (0, 1)])[label]
+    flat = np.concatenate(feats)
+    field = _fit(flat, np.concatenate(tags), first, weight)
+    field.scale, field.shift = _calibrate(evidence(field.marginals(field.emissions(flat), first), first), label, weight)
+    return field
 
 
 def score_texts(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, did, fp, score and spans (first and last byte + 1, highest marginal) of each row of (doc_id, text).
 
-    The score is 1 minus the product of (1 - marginal) over the words with a marginal of at least ``NOTED``, else the
-    highest marginal, and 0 for a null text or one without words. Repeated rows get a row each; other columns are left out.
+    The score is the chance that the text is toxic by its ``evidence``, and 0 for a null text or one without words.
+    Repeated rows get a row each; other columns are left out.
     """
     sent = docs.sparkSession.sparkContext.broadcast(field)
     names = ["doc_id", "did", "fp", "score", "spans"]
@@ -247,11 +337,8 @@ def score_texts(docs: DataFrame, field: Field) -> DataFrame:
                 p = field.marginals(field.emissions(feats), words.first)
                 n = part.hi - part.lo
                 doc = np.repeat(np.arange(n), np.diff(words.first))
-                top = np.zeros(n)
-                np.maximum.at(top, doc, p)
-                noted = p >= NOTED
-                rest = np.bincount(doc[noted], weights=np.log1p(-np.minimum(p[noted], 1 - 1e-12)), minlength=n)
-                score = np.where(np.bincount(doc[noted], minlength=n) > 0, -np.expm1(rest), top)
+                chance = logistic(field.scale * evidence(p, words.first) + field.shift)
+                score = np.where(np.diff(words.first) > 0, chance, 0.0)
                 spans = [[] for _ in range(n)]
                 hit = np.flatnonzero(p >= 0.5)
                 new = np.ones(len(hit), bool)

@@ -127,6 +127,20 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.score < 0.1 for r in toxicity.toxicity(odd, labels, none).collect())
 
 
+@pytest.mark.parametrize("size, least", [
+    ("sf0.001", {"en": 0.8}), ("sf0.01", {"en": 0.9, "es": 0.7}), ("sf0.1", {"en": 0.9, "de": 0.9, "fr": 0.9, "es": 0.9})])
+def test_toxic_texts_are_found_in_each_language_and_size(spark, size, least):
+    corpus.reachable(spark)
+    docs, labels = (corpus.table(spark, f"/root/testdata/{size}", t) for t in ("documents", "labels"))
+    got = toxicity.toxicity(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    rows = got.groupBy("lang", "toxic").agg(F.avg("predicted").alias("share"), F.count("*").alias("n")).collect()
+    print(size, sorted((r.lang, r.toxic, r.n, round(r.share, 3)) for r in rows))
+    found = {r.lang: r.share for r in rows if r.toxic == 1}
+    assert all(found[k] >= v for k, v in least.items()), found
+    clean = [(r.share, r.n) for r in rows if r.toxic == 0]
+    assert sum(a * n for a, n in clean) <= 0.03 * sum(n for _, n in clean)
+
+
 def test_forward_backward_by_blocks_equals_the_plain_recursion():
     rng = np.random.default_rng(0)
     field = toxicity.Field(np.zeros(1), 0.0, rng.normal(size=2), rng.normal(size=(2, 2)))
