@@ -21,7 +21,8 @@ from sigscreen.llm.corpus import LAST, reachable, table  # noqa: E402
 from sigscreen.runtime import cut_lineage, shared_folder  # noqa: E402
 
 SIZE = 5                   # words in a near-duplicate shingle
-SAME_BYTES = 256           # a string of so many bytes that stands elsewhere goes
+SAME_WORDS = 51            # a passage of so many words that stands elsewhere goes,
+SAME_BYTES = 256           # and one of so many bytes
 TOKENIZER = "word_bpe_49k.json"
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -53,9 +54,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings that also stand elsewhere; characters cut in two go whole. n_chars follows the text."""
+    """Documents without the passages that also stand elsewhere; characters cut in two go whole. n_chars follows the text."""
     reachable(spark)
-    cut = suffixes.repeated_bytes(docs, SAME_BYTES).where("n_removed > 0").select("did", "fp", "kept")
+    cut = suffixes.repeated_bytes(docs, 2 * SAME_WORDS - 1, (SAME_BYTES, SAME_WORDS)).where("n_removed > 0").select("did", "fp", "kept")
     cut = cut_lineage(cut.dropDuplicates(["did", "fp"]).withColumnsRenamed({"did": "_did", "fp": "_fp", "kept": "_kept"}))
     left = _keyed(docs).join(cut, ["_did", "_fp"], "left")
     clean = F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(F.col("_kept").cast("string"))), "�", "")

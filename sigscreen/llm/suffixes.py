@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigscreen.llm.corpus import beside, identified
-from sigscreen.llm.texts import BASES, SYMBOLS, U, Poly, anchors, chunks, merged, mix, powers, signed
+from sigscreen.llm.texts import BASES, SYMBOLS, U, Poly, anchors, chunks, find_words, merged, mix, powers, signed
 from sigscreen.runtime import cut_lineage
 
 HOT = 20_000               # suffixes with one leading run that a bucket takes unsplit
@@ -218,8 +218,18 @@ def _outer_batch(rows: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
 
-def _cut(docs: DataFrame) -> DataFrame:
-    """doc_id, did, fp, n_bytes, n_removed, n_spans and the remaining bytes, without the runs ``gone``."""
+def _enough(lo: np.ndarray, hi: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int,
+            enough: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the runs lo..hi those whose strings, started at every byte, cover so many bytes or whole words of ``starts`` and ``ends``."""
+    lo, hi = merged(lo, hi - length + 1)               # as starts of strings: a gap of one breaks a repeated passage
+    hi = hi + length - 1
+    whole = np.searchsorted(ends, hi, "right") - np.searchsorted(starts, lo)
+    keep = (hi - lo >= enough[0]) | (whole >= enough[1])
+    return merged(lo[keep], hi[keep])
+
+
+def _cut(docs: DataFrame, length: int, enough: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id, did, fp, n_bytes, n_removed, n_spans and the remaining bytes, without the runs ``gone`` that are long ``enough``."""
     names = ["doc_id", "did", "fp", "n_bytes", "n_removed", "n_spans", "kept"]
 
     def run(batches):
@@ -227,10 +237,16 @@ def _cut(docs: DataFrame) -> DataFrame:
             for part in chunks(batch.column(3)):
                 gone = batch.column(4).slice(part.lo, part.hi - part.lo).to_pylist()
                 total, removed, spans, kept = [], [], [], []
+                words = find_words(part) if enough else None
                 for i, runs in enumerate(gone):
                     text = part.data[part.offsets[i]:part.offsets[i + 1]].tobytes()
-                    lo, hi = merged(np.array([r["s"] for r in runs or ()], np.int64),
-                                    np.array([r["e"] for r in runs or ()], np.int64))
+                    lo, hi = (np.array([r[c] for r in runs or ()], np.int64) for c in ("s", "e"))
+                    if enough:
+                        own = slice(words.first[i], words.first[i + 1])
+                        lo, hi = _enough(lo, hi, words.starts[own] - part.offsets[i], words.ends[own] - part.offsets[i],
+                                         length, enough)
+                    else:
+                        lo, hi = merged(lo, hi)
                     edges = zip([0, *hi.tolist()], [*lo.tolist(), len(text)])
                     kept.append(b"".join([text[a:b] for a, b in edges]))
                     total.append(len(text))
@@ -245,7 +261,7 @@ def _cut(docs: DataFrame) -> DataFrame:
         run, "doc_id long, did long, fp long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 400, enough: tuple[int, int] | None = None) -> DataFrame:
     """doc_id, did, fp, n_bytes, n_removed, n_spans and kept (binary) of each row of (doc_id, text).
 
     Texts count as UTF-8 bytes; a null is empty. A byte goes if a string of ``length`` bytes (4 at least)
@@ -253,6 +269,9 @@ def repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
     judged on the input. n_spans counts the maximal removed runs. A row that stands twice is two
     texts, so both lose what they share. Shorter texts lose nothing. did and fp identify the row as ``identified``
     does. Other columns are left out.
+
+    ``enough`` (bytes, words) keeps all but the passages of at least so many bytes or whole words, words being
+    runs without white space; a passage is one in which a repeated string starts at each byte up to its last ``length``.
     """
     docs = identified(docs)
     found = _anchor_rows(docs, length)
@@ -287,7 +306,7 @@ def repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
     gone = suffixes.select("did", "fp", "at", "id").join(flagged, "id").groupBy("did", "fp").agg(
         F.collect_set(F.struct((F.col("at") - F.col("hi")).alias("s"),
                                (F.col("at") - F.col("lo") + length).alias("e"))).alias("gone"))
-    return _cut(docs.join(cut_lineage(gone), ["did", "fp"], "left"))
+    return _cut(docs.join(cut_lineage(gone), ["did", "fp"], "left"), length, enough)
 
 
 def digests(docs: DataFrame, length: int = 400) -> DataFrame:
