@@ -7,8 +7,6 @@ every join of edges to state.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,22 +147,12 @@ def random_walks(pairs: DataFrame, length: int = 4, per_node: int = 2,
     return walkers.select("id", "walk", "path")
 
 
-def walk_embeddings(walks: DataFrame, dim: int = 16, window: int = 2, max_nodes: int = 2_000_000,
+def walk_embeddings(walks: DataFrame, dim: int = 16, window: int = 2, max_nodes: int | None = None,
                     seed: int = 0) -> DataFrame:
-    """(id, embedding) of each node from its walks.
+    """(id, embedding) of each node from its walks: ``projected_embeddings`` at every size.
 
-    Word2Vec holds one vector per node on the driver, so it is used for at most
-    ``max_nodes`` nodes. Beyond that each node sums the random sign vectors of the
-    nodes it shares a walk window with, which needs only a groupBy.
+    ``max_nodes`` has no effect; it is left for callers that pass it.
     """
-    paths = walks.select(F.transform("path", lambda n: n.cast("string")).alias("path"))
-    nodes = walks.select("id").distinct()
-    if nodes.count() <= max_nodes:
-        model = Word2Vec(vectorSize=dim, windowSize=window, minCount=0, seed=seed, numPartitions=4,
-                         inputCol="path", outputCol="v").fit(paths)
-        # One row per node on the cluster side too.
-        return model.getVectors().select(
-            F.col("word").alias("id"), vector_to_array("vector").alias("embedding"))
     return projected_embeddings(walks, dim, window, seed)
 
 

@@ -105,10 +105,24 @@ def projected(t: Tables):
         .alias("embedding"))
 
 
-@query("walk_embeddings")
+def embeddings_sql(dim: int, window: int) -> str:
+    """One row per (id, dim): the mean sign of the nodes near a node on its walks."""
+    sign = f"CASE WHEN substr({md5_of('other', seed='0.X')}, 1, 1) < '8' THEN 1 ELSE -1 END".replace(
+        "'0.X'", "'0.' || dim")
+    return f"""WITH walks AS ({walks_sql(STEPS, 2)}),
+      steps AS (SELECT id AS start, walk, unnest(string_split(path, '>')) AS node,
+        generate_subscripts(string_split(path, '>'), 1) AS i FROM walks),
+      near AS (SELECT a.node AS id, b.node AS other, count(*) AS n FROM steps a JOIN steps b
+        ON a.start = b.start AND a.walk = b.walk AND abs(a.i - b.i) <= {window}
+        WHERE a.node <> b.node GROUP BY 1, 2)
+      SELECT id, dim::integer AS dim, {r6(f'sum(n * ({sign}))::double / sum(n)', 'value')}
+      FROM near, range({dim}) d(dim) GROUP BY id, dim"""
+
+
+@query("walk_embeddings", embeddings_sql(8, 2))
 def embedded(t: Tables):
     walks = T.random_walks(D.kept_pairs(t), STEPS, 2)
-    return T.walk_embeddings(walks, 8).select("id", F.size("embedding").alias("dims"))
+    return T.walk_embeddings(walks, 8).select("id", F.posexplode("embedding").alias("dim", "value"))
 
 
 @query("oof_centroids", f"""WITH f AS (SELECT vec_id, label, embedding, (row_number() OVER

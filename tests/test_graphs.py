@@ -111,3 +111,11 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     assert folder == spark.sparkContext.getCheckpointDir()
     df = cut_lineage(spark.range(5).withColumn("x", F.col("id") * 2))
     assert folder.split(":")[-1] in df.inputFiles()[0] and df.count() == 5
+
+
+def test_walk_embeddings_are_one_operator_at_every_size(spark):
+    edges = spark.createDataFrame([(i, (i + 1) % 12) for i in range(12)], "s long, r long")
+    walks = T.random_walks(pair_counts(edges, "s", "r"), 4, 3)
+    want = sorted(map(tuple, T.projected_embeddings(walks, 6).collect()))
+    for limit in (3, 2_000_000):
+        assert sorted(map(tuple, T.walk_embeddings(walks, 6, max_nodes=limit).collect())) == want
