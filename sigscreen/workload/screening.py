@@ -18,7 +18,7 @@ from sigscreen.workload.cleaning import SOURCE_PREDICTIONS, source_predictions
 from sigscreen.workload.registry import (
     Tables, knn_mi_ctes, md5_of, mi_sql, query, r6, unpivot_sql)
 
-PERMS = 5
+PERMS = 30
 CATS = ["n_name", "c_mktsegment"]
 ENTROPY = ("ent AS (SELECT ln(sum(n)::double) - sum(n*ln(n::double))/sum(n)::double AS h FROM "
            "(SELECT r_name, count(*) AS n FROM nf GROUP BY 1))")
@@ -282,12 +282,12 @@ def model_rows(t: Tables):
 
 @query("out_of_fold")
 def out_of_fold(t: Tables):
-    return B.out_of_fold(model_rows(t), trees=10, depth=4).select("id", "y", "prediction")
+    return B.out_of_fold(model_rows(t)).select("id", "y", "prediction")
 
 
 @query("permutation_importance")
 def permutation_importance(t: Tables):
-    return B.permutation_importance(model_rows(t), ["c_acctbal", *CATS], trees=10, depth=4)
+    return B.permutation_importance(model_rows(t), ["c_acctbal", *CATS])
 
 
 def _screen(t: Tables, exclude=()):
@@ -295,8 +295,7 @@ def _screen(t: Tables, exclude=()):
         t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").alias("since")),
         "id", "left")
     labels = D.nation_features(t).select("id", "r_name")
-    return screen(rows, labels, "id", "r_name", time_col="since", n_perm=PERMS, exclude=exclude,
-                  charts=False, trees=10, depth=4)
+    return screen(rows, labels, "id", "r_name", time_col="since", n_perm=PERMS, exclude=exclude)
 
 
 @query("screen")
