@@ -4,7 +4,7 @@ import hashlib
 import random
 import zlib
 
-import brute
+import plain
 import numpy as np
 import public_tokenizers
 import pytest
@@ -61,7 +61,7 @@ def test_blocks_round_trip_and_refuse_damage(docs):
 def test_repeated_bytes(docs, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
     got = sorted((bytes(r.kept), r.n_spans) for r in suffixes.repeated_bytes(docs, 40).collect())
-    assert got == sorted(brute.repeated_bytes([t for _, t in TEXTS], 40))
+    assert got == sorted(plain.repeated_bytes([t for _, t in TEXTS], 40))
 
 
 def test_repeated_windows(docs):
