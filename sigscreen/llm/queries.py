@@ -16,6 +16,7 @@ from sigscreen.llm import (
     language,
     near,
     neighbors,
+    pii,
     suffixes,
     toxicity,
     windows,
@@ -139,3 +140,52 @@ def op9_token_counts(spark, sf_dir):
 def op10_language(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents")).select(
         "doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query
+def op12_personal_data(spark, sf_dir):
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
+def _luhn(digits: str) -> str:
+    return (f"list_sum(list_transform(list_reverse(string_split({digits}, '')), lambda c, i: CASE WHEN i % 2 = 1 THEN c::int "
+            "ELSE 2 * c::int - 9 * (c::int > 4)::int END)) % 10 = 0")
+
+
+_SCORE = "\n".join(
+    f"WHEN kind = '{k}' THEN {pii.POINTS[k]} + {pii.CHECKED} * (kind IN ('card', 'iban'))::int "
+    f"+ {pii.FOR} * regexp_matches(near, '{pii.SPEAKS_FOR[k]}')::int - {pii.AGAINST} * regexp_matches(near, '{pii.SPEAKS_AGAINST}')::int"
+    for k in pii.KINDS)
+# gaps and matches in turn give each match its place
+ORACLES["op12_personal_data"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+  p(kind, k, pat) AS (VALUES ('email', 1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'),
+    ('ip', 2, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), ('card', 3, '[0-9]([\x20-]?[0-9])+'),
+    ('phone', 4, '\+[0-9][\x20().0-9-]+[0-9]'), ('iban', 5, '\b[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}\b'),
+    ('ssn', 6, '\b[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}\b')),
+  m AS (SELECT r, x, kind, k, string_split_regex(x, pat) AS gaps, regexp_extract_all(x, pat) AS hits FROM d, p),
+  h AS (SELECT r, x, kind, k, hits[i] AS hit, list_sum(list_transform(gaps[1:i], lambda g: length(g)))
+    + coalesce(list_sum(list_transform(hits[1:i - 1], lambda g: length(g))), 0) AS s
+    FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM m)),
+  w AS (SELECT *, regexp_replace(hit, '[^0-9]', '', 'g') AS digits FROM h),
+  part AS (SELECT r, x, parts[i] AS hit, s + coalesce(list_sum(list_transform(parts[1:i - 1], lambda g: length(g) + 1)), 0) AS s
+    FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i
+      FROM (SELECT r, x, s, string_split_regex(hit, '[ -]') AS parts FROM w WHERE kind = 'card' AND length(digits) > 19))),
+  c AS (
+    SELECT r, x, kind, k, hit, s, true AS base FROM w WHERE CASE kind WHEN 'email' THEN true
+      WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda q: length(ltrim(q, '0')) > 3
+        OR (length(ltrim(q, '0')) = 3 AND ltrim(q, '0') > '255'))) = 0
+      WHEN 'card' THEN length(digits) BETWEEN 12 AND 19 AND {_luhn("digits")}
+      WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15 ELSE false END
+    UNION ALL SELECT r, x, 'card', 3, hit, s, false FROM part
+      WHERE length(hit) BETWEEN 13 AND 19 AND hit[1] IN ('3', '4', '5', '6') AND {_luhn("hit")}
+    UNION ALL SELECT r, x, kind, k, hit, s, false FROM w WHERE kind = 'ssn' OR (kind = 'iban' AND list_reduce(list_prepend(0,
+      list_transform(string_split(replace(hit, ' ', '')[5:] || hit[1:4], ''), lambda q: CASE WHEN q BETWEEN '0' AND '9'
+        THEN q::int ELSE ascii(q) - 55 END)), lambda a, q: (CASE WHEN q > 9 THEN 100 ELSE 10 END * a + q) % 97) = 1)),
+  f AS (SELECT *, kind || ':' || s::bigint || ':' || (s + length(hit))::bigint AS shown FROM (SELECT *,
+    translate(x[greatest(s - {pii.NEARBY}, 0)::bigint + 1:s::bigint], '{_UPPER}', '{_LOWER}') AS near FROM c)
+    WHERE base OR CASE {_SCORE} END >= {pii.KEEP}),
+  a AS (SELECT r, {", ".join(f"count(*) FILTER (base AND kind = '{k}') AS n_{k}" for k in pii.KINDS[:4])},
+    string_agg(shown, ',' ORDER BY s, k) FILTER (base) AS b, string_agg(shown, ',' ORDER BY s, k) AS spans FROM f GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::bigint AS n_{k}" for k in pii.KINDS[:4])},
+  sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)"""
