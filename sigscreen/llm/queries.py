@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigscreen.llm import (
+    align,
     blocks,
     count,
     decontaminate,
@@ -189,3 +190,9 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FRO
     string_agg(shown, ',' ORDER BY s, k) FILTER (base) AS b, string_agg(shown, ',' ORDER BY s, k) AS spans FROM f GROUP BY r)
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::bigint AS n_{k}" for k in pii.KINDS[:4])},
   sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)"""
+
+
+@query
+def op13_token_alignment(spark, sf_dir):
+    return align.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                         public_tokenizers.path("piece_bpe_32k.model"))
