@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigscreen.functions.columns import digamma, hash_text, to_number, unit_interval, xlogx
-from sigscreen.operators.joins import lookup_join
+from sigscreen.operators.joins import SMALL_BYTES, lookup_join
 from sigscreen.operators.ordering import (
-    HASH_DIGITS, Splits, exact_quantiles, hash_positions, running_weights, value_positions)
+    HASH_DIGITS, ROWS_PER_BUCKET, Splits, exact_quantiles, hash_positions, running_totals, running_weights, value_positions)
+from sigscreen.runtime import cut_lineage
 
 NUMERIC_ABOVE = 10     # a numeric column with more distinct values is continuous
 NEIGHBORS = 3          # the usual k of the nearest-neighbor estimate
-MAX_CLASSES = 10_000   # a label with more classes is not a label
 BLOCK = 100_000        # rows per window block in the nearest-neighbor search
 
 
@@ -252,55 +252,53 @@ def binned_counts(cells: DataFrame, groups: Sequence[str] = (),
 # ---- permutation null -------------------------------------------------------------
 
 def permuted_labels(df: DataFrame, id_col: str, label: str, perms: int, seed: int = 0) -> DataFrame:
-    """Add (k, permuted label) rows for k = 1..perms; ids are unique and labels not null.
+    """Add (k, permuted label) rows for k = 1..perms; ids are unique and labels not null. Any number of classes.
 
-    In permutation k the rows are ordered by hash, and the classes take consecutive runs
-    of that order, each as long as the class is large. That is a uniform shuffle of the
-    labels, and it is decided by the hashes at the run ends alone. Those are found from
-    hash-prefix counts, so the rows themselves are never sorted or shuffled.
+    In permutation k the rows are ordered by hash, and the classes take consecutive runs of that order, each as long as the class is
+    large. That is a uniform shuffle of the labels, and it is decided by the hashes at the run ends alone. The ranks of all run ends
+    are looked for at once: running class sizes meet the running counts of hash prefixes, and only prefixes that hold
+    an end are sorted. A row finds its run by a prefix of its own hash, among the few ends that share it.
     """
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).limit(
-        MAX_CLASSES + 1).collect()
-    if len(sizes) > MAX_CLASSES:
-        raise ValueError(f"label has more than {MAX_CLASSES} classes")
-    ends, total = [], 0
-    for r in sizes[:-1]:
-        total += r["n"]
-        ends.append(total)
-
+    sizes = cut_lineage(df.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n")))
+    facts = sizes.agg(F.count(F.lit(1)).alias("classes"), F.sum("_n").alias("rows")).first()
+    classes, rows = facts["classes"], facts["rows"] or 0
+    coarse = 1                              # digits after which some 16 ends share a prefix,
+    while classes > 16 * 16**coarse:
+        coarse += 1
+    fine = max(coarse, HASH_DIGITS)         # and after which a prefix has few enough rows to sort
+    while rows > ROWS_PER_BUCKET * 16**fine:
+        fine += 1
     every = F.explode(F.sequence(F.lit(1), F.lit(perms))).alias("k")
-    hashed = df.select(id_col, every).select(id_col, "k", hash_text(seed, id_col, "k").alias("_h"))
-    prefix = F.substring("_h", 1, HASH_DIGITS)
-    # perms x 4,096 rows at most, whatever the table size.
-    sums: dict[int, list] = {}
-    for r in hashed.groupBy("k", prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy(
-            "k", "p").collect():
-        sums.setdefault(r["k"], []).append((r["p"], r["n"]))
-    wanted = []
-    for k, parts in sums.items():
-        before, i = 0, 0
-        for c, end in enumerate(ends):
-            while before + parts[i][1] < end:
-                before += parts[i][1]
-                i += 1
-            wanted.append((k, parts[i][0], end - before, c))
-    spark = df.sparkSession
-    want = spark.createDataFrame(wanted, "k int, p string, rank bigint, c int")
-    # Only the hash prefixes that hold a run end are sorted; each is 1/4,096 of the rows.
-    spots = F.broadcast(want.select("k", "p").distinct())
-    local = hashed.withColumn("p", prefix).join(spots, ["k", "p"]).withColumn(
-        "rank", F.row_number().over(W.partitionBy("k", "p").orderBy("_h")).cast("bigint"))
-    cuts: dict[int, list] = {k: [] for k in range(1, perms + 1)}
-    for r in local.join(F.broadcast(want), ["k", "p", "rank"]).select("k", "c", "_h").orderBy(
-            "k", "c").collect():
-        cuts[r["k"]].append(r["_h"])
-    cut_table = spark.createDataFrame(list(cuts.items()), "k int, _cuts array<string>")
-    names = F.array(*[F.lit(r[label]) for r in sizes])
-    out = df.select("*", every).join(F.broadcast(cut_table), "k")   # one row per permutation
-    h = hash_text(seed, id_col, "k")
-    past = F.size(F.filter("_cuts", lambda c: c < h))
-    return out.withColumn("_perm", F.get(names, past)).drop("_cuts", label).withColumnRenamed(
-        "_perm", label)
+    ends = running_totals(sizes, [], "_label", "_n", "_hi").select("_label", "_hi", every)
+
+    hashed = df.select(id_col, every).select("k", hash_text(seed, id_col, "k").alias("_h")).withColumn("_p", F.substring("_h", 1, fine))
+    counts = running_totals(hashed.groupBy("k", "_p").agg(F.count(F.lit(1)).alias("_n")), ["k"], "_p", "_n", "_upto")
+    # ranks are cut into stretches as long as a prefix is on average, so an end meets only the prefixes of its own stretch
+    stretch = max(1, -(-rows // 16**fine))
+    spans = counts.withColumn("_s", F.explode(F.sequence(F.expr(f"(_upto - _n) div {stretch}"), F.expr(f"(_upto - 1) div {stretch}"))))
+    wanted = ends.withColumn("_s", F.expr(f"(_hi - 1) div {stretch}")).join(spans, ["k", "_s"]).where(
+        (F.col("_hi") > F.col("_upto") - F.col("_n")) & (F.col("_hi") <= F.col("_upto"))).select(
+        "k", "_p", "_label", (F.col("_hi") - F.col("_upto") + F.col("_n")).alias("_rank"))
+    wanted = cut_lineage(wanted)
+    spots = wanted.select("k", "_p").distinct()
+    few = classes * perms * 64 <= SMALL_BYTES             # bytes that the ends, or the lookup below, can take
+    local = hashed.join(F.broadcast(spots) if few else spots, ["k", "_p"]).withColumn(
+        "_rank", F.row_number().over(W.partitionBy("k", "_p").orderBy("_h")).cast("bigint"))
+    cuts = local.join(F.broadcast(wanted) if few else wanted, ["k", "_p", "_rank"]).select(
+        "k", F.substring("_h", 1, coarse).alias("_p"), F.struct("_h", "_label").alias("_cut"))
+    cuts = cuts.groupBy("k", "_p").agg(F.array_sort(F.collect_list("_cut")).alias("_cuts"))
+    # past the last end of a prefix comes the run that ends first in a later one
+    grid = counts.select("k", F.substring("_p", 1, coarse).alias("_p")).distinct().join(cuts, ["k", "_p"], "left")
+    later = W.partitionBy("k").orderBy("_p").rowsBetween(1, W.unboundedFollowing)
+    lookup = cut_lineage(grid.select("k", "_p", "_cuts", F.first(F.get("_cuts", F.lit(0)), ignorenulls=True).over(later)["_label"].alias("_after")))
+
+    small = few and perms * 16**coarse * 64 <= SMALL_BYTES
+    out = df.select("*", every).withColumn("_h", hash_text(seed, id_col, "k")).withColumn("_p", F.substring("_h", 1, coarse))
+    out = out.join(F.broadcast(lookup) if small else lookup, ["k", "_p"])
+    ahead = F.filter("_cuts", lambda c: c["_h"] >= F.col("_h"))
+    found = F.when(F.size(ahead) > 0, F.get(ahead, F.lit(0))["_label"]).otherwise(F.col("_after"))
+    keep = [c for c in df.columns if c != label]
+    return out.select(*keep, "k", found.alias(label))
 
 
 def permutation_mi(df: DataFrame, id_col: str, label: str, numeric: Sequence[str],

@@ -49,6 +49,21 @@ def _offsets(rows: DataFrame, groups: Sequence[str], bucket: Sequence[str], weig
     return sizes.select(*groups, *bucket, *out)
 
 
+def running_totals(df: DataFrame, by: Sequence[str], order: str, weight: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``weight`` up to and with each row, in the order of a column of any type, within ``by``.
+
+    ``order`` is unique within ``by``. Rows are dealt by ranges of the order; a range is summed on its own, and the sums of the earlier
+    ranges, a few numbers per range, are added. The dealt rows are written, so that all that follows sees the same ranges.
+    """
+    by = list(by)
+    dealt = cut_lineage(df.repartitionByRange(*by, order).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy(*by, "_range").agg(F.sum(weight).alias("_sum"))
+    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*by, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_earlier"))
+    local = W.partitionBy(*by, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return dealt.join(sums, [*by, "_range"]).withColumn(name, F.col("_earlier") + F.sum(weight).over(local)).select(*df.columns, name)
+
+
 def hash_positions(df: DataFrame, ids: Sequence[str], groups: Sequence[str] = (),
                    seed: str | int = 0, name: str = "pos") -> DataFrame:
     """Add the 1-based position of each row in the md5 order of its ids, within ``groups``."""
@@ -177,6 +192,25 @@ def running_weights(counts: DataFrame, value: str, weight: str, groups: Sequence
     return out.select(*counts.columns, before, *[c for c in (tied, total) if c])
 
 
+def running_many(counts: DataFrame, value: str, weights: Sequence[str], groups: Sequence[str], splits: Splits) -> DataFrame:
+    """Add ``before_w`` and ``total_w`` for each weight column w: as ``running_weights``, with one sort for all of them.
+
+    A value is one row of its group.
+    """
+    groups = list(groups)
+    rows = splits.bucketed(counts, value)
+    sizes = rows.groupBy(*groups, "_b").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
+    group = W.partitionBy(*groups).orderBy("_b")
+    earlier, whole = group.rowsBetween(W.unboundedPreceding, -1), group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    sizes = sizes.select(*groups, "_b", *[F.coalesce(F.sum(f"_s_{w}").over(earlier), F.lit(0)).alias(f"_e_{w}") for w in weights],
+                         *[F.sum(f"_s_{w}").over(whole).alias(f"total_{w}") for w in weights])
+    local = W.partitionBy(*groups, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    out = rows.join(sizes, [*groups, "_b"]).select(
+        *counts.columns, *[(F.col(f"_e_{w}") + F.coalesce(F.sum(w).over(local), F.lit(0))).alias(f"before_{w}") for w in weights],
+        *[f"total_{w}" for w in weights])
+    return out
+
+
 def value_counts(df: DataFrame, groups: Sequence[str], value: str, name: str = "n") -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(
         F.count(F.lit(1)).alias(name))

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigscreen.functions.columns import to_number
-from sigscreen.operators.ordering import Splits, running_weights
+from sigscreen.operators.ordering import Splits, running_many, running_weights
+from sigscreen.runtime import cut_lineage
 
 MIN_AUC_VALUES = 20
 SALTS = 32
+CELLS = 500_000        # numbers in a block of rank vectors, about
 
 
 def midranks(counts: DataFrame, value: str, groups: Sequence[str],
@@ -81,53 +85,94 @@ def _null_masks(df: DataFrame, id_col: str, cols: Sequence[str]) -> dict[str, in
 def spearman_pairs(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
     """(a, b, rho) for every ordered pair of columns, each over the rows where both are present.
 
-    A column is ranked once for each set of missing rows among the columns, since ranks
-    depend only on the rows left: a row is shuffled once per column and such set. The
-    correlations are then aggregates over one wide row per id.
+    Columns that miss the same rows share a mask. A value's rank among the rows that a mask leaves follows from counts by value and
+    pattern of missing masks, so each cell is met once and gets its ranks under all masks as one array. Rows then become blocks of
+    rank vectors, and the products of two columns are sums of outer products of such blocks: a matrix of columns by
+    columns in each task, added up over the tasks. Nothing grows with the number of pairs but that matrix.
     """
     cols = list(cols)
     masks = _null_masks(df, id_col, cols)
-    sample = {m: next(c for c in cols if masks[c] == m) for m in set(masks.values())}
-    wide = df.select(F.col(id_col).alias("id"), *[to_number(c).alias(c) for c in cols])
-
-    def variants(c: str) -> list[int]:
-        """Masks that cut further rows from column c; its own ranks are variant 0."""
-        return [0] + [m for m in sample if m not in (0, masks[c])]
-
-    cells = F.explode(F.filter(F.array(*[
-        F.struct(F.lit(f"{i}_{m}").alias("f"),
-                 F.when(F.col(sample[m]).isNotNull() if m else F.lit(True), F.col(c)).alias("x"))
-        for i, c in enumerate(cols) for m in variants(c)]), lambda s: s["x"].isNotNull()))
-    long = wide.select("id", cells.alias("_c")).select("id", "_c.f", "_c.x")
-    counts = long.groupBy("f", "x").agg(F.count(F.lit(1)).alias("n"))
-    splits = Splits(long, ["f"], "x")
-    ranked = midranks(counts, "x", ["f"], splits).select("f", "x", "rank")
+    numbers = sorted(set(masks.values()))
+    sample = [next(c for c in cols if masks[c] == m) for m in numbers]      # a column that shows whether a mask misses a row
+    of = [numbers.index(masks[c]) for c in cols]
+    wide = df.select(F.col(id_col).alias("id"), *[to_number(c).alias(f"_x{i}") for i, c in enumerate(cols)])
+    there = F.array(*[F.col(f"_x{cols.index(c)}").isNotNull() for c in sample])
+    cells = wide.select("id", there.alias("there"), F.posexplode(F.array(*[f"_x{i}" for i in range(len(cols))])).alias("f", "x")).where(
+        "x is not null")
+
+    counted = [f"n{m}" for m in range(len(numbers))]
+    counts = cells.groupBy("f", "x").agg(*[F.sum(F.get("there", F.lit(m)).cast("bigint")).alias(c) for m, c in enumerate(counted)])
+    splits = Splits(cells, ["f"], "x")
+    ranked = running_many(counts, "x", counted, ["f"], splits)
+    # the mean rank is taken off at once, so that products are covariances
+    ranks = [F.col(f"before_{c}") + (F.col(c) + 1) / 2 - (F.col(f"total_{c}") + 1) / 2 for c in counted]
+    ranked = cut_lineage(ranked.select("f", "x", F.array(*[r.cast("double") for r in ranks]).alias("r"), F.array(*counted).alias("n")))
+    own = ranked.select("f", F.posexplode(F.arrays_zip("r", "n")).alias("m", "_v")).groupBy("f", "m").agg(
+        F.sum(F.col("_v.n") * F.col("_v.r") * F.col("_v.r")).alias("squares"))                # a row per column and mask
+
     # A value with a large share of the rows is a hot join key. It is a split point, so
     # both sides know it without counting, and its rows are spread by a salt.
     hot = F.col("_heavy")
-    left = splits.bucketed(long, "x").select("id", "f", "x", F.when(
+    left = splits.bucketed(cells, "x").select("id", "there", "f", "x", F.when(
         hot, F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0).alias("_salt"))
-    right = splits.bucketed(ranked, "x").select("f", "x", "rank", F.explode(F.when(
+    right = splits.bucketed(ranked, "x").select("f", "x", "r", F.explode(F.when(
         hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"))
-    names = [f"{i}_{m}" for i, c in enumerate(cols) for m in variants(c)]
-    ranks = left.join(right, ["f", "x", "_salt"]).groupBy("id").agg(*[
-        F.max(F.when(F.col("f") == f, F.col("rank"))).alias(f"r{f}") for f in names])
-
-    def rank_of(i: int, j: int) -> str:
-        m = masks[cols[j]]
-        return f"r{i}_{m if m not in (0, masks[cols[i]]) else 0}"
-
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    one = ranks.agg(*[
-        F.corr(F.when(F.col(rank_of(j, i)).isNotNull(), F.col(rank_of(i, j))),
-               F.when(F.col(rank_of(i, j)).isNotNull(), F.col(rank_of(j, i)))).alias(f"p{i}_{j}")
-        for i, j in pairs])
-    both = F.explode(F.array(*[
-        F.struct(F.lit(cols[a]).alias("a"), F.lit(cols[b]).alias("b"),
-                 F.col(f"p{i}_{j}").alias("rho"))
-        for i, j in pairs for a, b in ((i, j), (j, i))]))
-    return one.select(both.alias("_p")).select("_p.*").withColumn(
-        "rho", F.when(~F.isnan("rho"), F.col("rho")))
+    met = left.join(right, ["f", "x", "_salt"]).select(
+        F.xxhash64("id").alias("row"), F.hash("id").alias("other"), "f", F.transform("r", lambda v, m: F.when(F.get("there", m), v).otherwise(0.0)).alias("r"))
+
+    by_mask = [(m, np.flatnonzero(np.array(of) == m)) for m in range(len(numbers))]
+    size = max(1, CELLS // (len(cols) * len(numbers)))       # rows in a block
+
+    def outer(batches):
+        total, held, rows = np.zeros((len(cols), len(cols))), [], 0
+
+        def add():
+            row, other, f, r = (np.concatenate([h[i] for h in held]) for i in range(4))
+            new = np.append(True, (row[1:] != row[:-1]) | (other[1:] != other[:-1]))
+            at = np.cumsum(new) - 1
+            for lo in range(0, at[-1] + 1, size):
+                cut = slice(*np.searchsorted(at, (lo, lo + size)))
+                block = np.zeros((size, len(cols), len(numbers)))
+                block[at[cut] - lo, f[cut]] = r[cut]
+                for m, of_m in by_mask:
+                    for k, of_k in by_mask:
+                        total[np.ix_(of_m, of_k)] += block[:, of_m, k].T @ block[:, of_k, m]
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cut = [batch.column(i).to_numpy() for i in range(3)]
+            cut.append(batch.column(3).flatten().to_numpy().reshape(-1, len(numbers)))
+            if rows >= CELLS:                 # all cells of a row go into one block, so wait for the end of the last row
+                same = (cut[0] == last[0]) & (cut[1] == last[1])
+                end = len(same) if same.all() else int(same.argmin())
+                held.append([c[:end] for c in cut])
+                rows += end
+                if end < len(same):
+                    add()
+                    held, rows = [], 0
+                cut = [c[end:] for c in cut]
+            if len(cut[0]):
+                held.append(cut)
+                rows += len(cut[0])
+                last = cut[0][-1], cut[1][-1]
+        if held:
+            add()
+        a, b = np.triu_indices(len(cols), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(total[a, b])], ["i", "j", "s"])
+
+    sums = met.repartition("row").sortWithinPartitions("row", "other").mapInArrow(outer, "i long, j long, s double")
+    sums = sums.groupBy("i", "j").agg(F.sum("s").alias("s"))
+    names = df.sparkSession.createDataFrame([(i, c, m) for i, (c, m) in enumerate(zip(cols, of))], "i long, name string, mask int")
+    first = sums.join(F.broadcast(names.withColumnsRenamed({"name": "a", "mask": "mi"})), "i").join(
+        F.broadcast(names.withColumnsRenamed({"i": "j", "name": "b", "mask": "mj"})), "j")
+    own = F.broadcast(own)
+    both = first.join(own.select(F.col("f").alias("i"), F.col("m").alias("mj"), F.col("squares").alias("va")), ["i", "mj"]).join(
+        own.select(F.col("f").alias("j"), F.col("m").alias("mi"), F.col("squares").alias("vb")), ["j", "mi"])
+    rho = F.when((F.col("va") > 0) & (F.col("vb") > 0), F.col("s") / F.sqrt(F.col("va")) / F.sqrt(F.col("vb")))
+    return both.select(F.explode(F.array(F.struct("a", "b", rho.alias("rho")), F.struct(
+        F.col("b").alias("a"), F.col("a").alias("b"), rho.alias("rho")))).alias("_p")).select("_p.*")
 
 
 def spearman_redundancy(pairs: DataFrame, above: float = 0.9) -> DataFrame:

@@ -87,7 +87,8 @@ def _baseline(filled: DataFrame, id_col: str, label: str, group: str | None, num
     data = cut_lineage(data)
 
     def folds():
-        oof = cut_lineage(B.out_of_fold(data, "fold", model, seed=seed, **settings))
+        fixed = {} if model == "boosted" else {"seed": seed}           # boosting draws nothing at random
+        oof = cut_lineage(B.out_of_fold(data, "fold", model, len(numeric), **fixed, **settings))
         counts = oof.groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("n"))
         names = F.array(*[F.lit(c) for c in classes])
         confusion = confusion_matrix(oof.select(
@@ -98,8 +99,8 @@ def _baseline(filled: DataFrame, id_col: str, label: str, group: str | None, num
                 B.macro_auc(oof).first()["macro_auc"])
 
     def importance():
-        return cut_lineage(B.permutation_importance(data, [*numeric, *categorical], model,
-                                                    seed=seed, **settings))
+        return cut_lineage(B.permutation_importance(data, [*numeric, *categorical], model, seed=seed,
+                                                    numeric=len(numeric), **settings))
 
     (confusion, f1, auc), scores = side_by_side(data.sparkSession, [folds, importance])
     return scores, confusion, f1, auc
@@ -114,7 +115,7 @@ def screen(features: DataFrame, labels: DataFrame, id_col: str, label_col: str,
 
     All rows are used unless ``sample`` asks for a stratified sample of about that many.
     ``estimator`` is "knn" or "binned", whatever the size; MI and its null always use the same one.
-    ``model`` is "forest", "gbt" or None for no baseline.
+    ``model`` is "forest", "boosted", "gbt" or None for no baseline; ``model_settings`` go to it.
     """
     rows = labeled_features(clean_nan(features), labels, id_col, label_col)
     cols = _roles(rows, id_col, label_col, time_col, group_col, include, exclude)

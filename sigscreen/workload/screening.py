@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigscreen.operators import baseline as B
+from sigscreen.operators import boosting as X
 from sigscreen.operators import information as I
 from sigscreen.operators import ranks as R
 from sigscreen.operators.counts import coverage, label_entropy
@@ -290,6 +291,59 @@ def permutation_importance(t: Tables):
     return B.permutation_importance(model_rows(t), ["c_acctbal", *CATS])
 
 
+# ---- boosted trees ------------------------------------------------------------------------------
+
+BOOSTED = X.Settings(rounds=2, depth=2, bins=16)
+
+
+def boosted_sql(s: X.Settings) -> str:
+    """The fit of one model on nation_features, round by round and level by level; ends in (id, class, score)."""
+    ctes = [D.NATION_FEATURES, "cls AS (SELECT r_name, row_number() OVER (ORDER BY r_name) - 1 AS t, count(*) AS n FROM nf GROUP BY 1)",
+            f"""cut AS (SELECT list_distinct(quantile_cont(c_acctbal, [{', '.join(f'{i / s.bins}::double' for i in range(1, s.bins))}])) AS edges
+              FROM nf)""",
+            f"""levels AS (SELECT feature, x, row_number() OVER (PARTITION BY feature ORDER BY {md5_of('x')}) AS bin FROM (
+              {' UNION '.join(f"SELECT {i} AS feature, {c} AS x FROM nf" for i, c in enumerate(CATS, 1))}))""",
+            """cells AS MATERIALIZED (SELECT id, 0 AS feature, len(list_filter(edges, lambda e: e < c_acctbal)) AS bin FROM nf, cut
+              UNION ALL """ + " UNION ALL ".join(
+                f"SELECT id, {i}, bin FROM nf JOIN levels ON feature = {i} AND x = {c}" for i, c in enumerate(CATS, 1)) + ")",
+            """s0 AS (SELECT id, t, ln((n + 1)::double / ((SELECT count(*) FROM nf) + (SELECT count(*) FROM cls))) AS s,
+              (nf.r_name = cls.r_name)::int AS hit FROM nf, cls)"""]
+    for r in range(s.rounds):
+        ctes.append(f"""g{r} AS MATERIALIZED (SELECT id, t, s, hit, p - hit AS g, p * (1 - p) AS h FROM (
+            SELECT *, exp(s) / sum(exp(s)) OVER (PARTITION BY id) AS p FROM s{r}))""")
+        ctes.append(f"at{r}_0 AS (SELECT id, t, 1 AS node FROM g{r})")
+        for d in range(s.depth):
+            ctes += [
+                f"""st{r}_{d} AS MATERIALIZED (SELECT *, CASE WHEN feature = 0 THEN bin ELSE round(g / (h + {s.smooth}), {X.DIGITS}) END AS place
+                  FROM (SELECT t, node, feature, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM at{r}_{d} JOIN g{r} USING (id, t)
+                    JOIN cells USING (id) GROUP BY ALL))""",
+                f"""best{r}_{d} AS MATERIALIZED (SELECT t, node, feature, place, bin FROM (
+                  SELECT *, round(lg * lg / (lh + {s.l2}) + (ag - lg) * (ag - lg) / (ah - lh + {s.l2}) - ag * ag / (ah + {s.l2}), {X.DIGITS}) AS gain
+                  FROM (SELECT *, sum(g) OVER w AS lg, sum(h) OVER w AS lh, sum(n) OVER w AS ln, sum(g) OVER a AS ag, sum(h) OVER a AS ah,
+                      sum(n) OVER a AS an FROM st{r}_{d} WINDOW w AS (PARTITION BY t, node, feature ORDER BY place, bin),
+                      a AS (PARTITION BY t, node, feature)))
+                  WHERE gain > 0 AND ln >= {s.min_rows} AND an - ln >= {s.min_rows}
+                  QUALIFY row_number() OVER (PARTITION BY t, node ORDER BY gain DESC, feature, place, bin) = 1)""",
+                f"""at{r}_{d + 1} AS MATERIALIZED (SELECT a.id, a.t, 2 * a.node + coalesce((st.place, st.bin) > (b.place, b.bin), false)::int AS node
+                  FROM at{r}_{d} a LEFT JOIN best{r}_{d} b USING (t, node) LEFT JOIN cells c ON c.id = a.id AND c.feature = b.feature
+                  LEFT JOIN st{r}_{d} st ON st.t = a.t AND st.node = a.node AND st.feature = b.feature AND st.bin = c.bin)"""]
+        ctes.append(f"""s{r + 1} AS (SELECT id, t, s - {s.rate} * sum(g) OVER w / (sum(h) OVER w + {s.l2}) AS s, hit
+            FROM g{r} JOIN at{r}_{s.depth} USING (id, t) WINDOW w AS (PARTITION BY t, node))""")
+    return (f"WITH {', '.join(ctes)} SELECT id, r_name AS class, {r6('exp(s) / sum(exp(s)) OVER (PARTITION BY id)', 'score')} "
+            f"FROM s{s.rounds} JOIN cls USING (t)")
+
+
+@query("boosted_fit", boosted_sql(BOOSTED))
+def boosted_fit(t: Tables):
+    """Two rounds of trees of depth 2, and each customer's probability of each region by them."""
+    rows = I.encode_features(D.nation_features(t), "id", ["c_acctbal"], CATS, ["r_name"])
+    data, classes = B.assemble(rows, "r_name", ["c_acctbal"], CATS, ["id"])
+    trees, scored = X.fit(cut_lineage(data), 1, None, BOOSTED)
+    names = F.array(*[F.lit(c) for c in classes])
+    return scored.select("id", F.posexplode(X.probabilities("scores", trees.classes)).alias("t", "score")).select(
+        "id", F.get(names, F.col("t")).alias("class"), "score")
+
+
 def _screen(t: Tables, exclude=()):
     rows = D.customer_numbers(t).join(D.nation_features(t).select("id", "n_name"), "id").join(
         t.orders.groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").alias("since")),

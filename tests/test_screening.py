@@ -256,3 +256,47 @@ def test_quartiles_by_class(spark, bucket_rows):
         mine = x[y == r["y"]]
         for q in (25, 50, 75):
             assert r[f"q{q}"] == pytest.approx(np.percentile(mine, q))
+
+
+@pytest.mark.parametrize("cells", [R.CELLS, 900])
+def test_spearman_of_hundreds_of_columns(spark, monkeypatch, cells):
+    monkeypatch.setattr(R, "CELLS", cells)
+    rng = np.random.default_rng(12)
+    n, width = 150, 300 if cells == R.CELLS else 14
+    base = rng.normal(size=(n, 10))
+    patterns = [rng.random(n) < p for p in np.linspace(0, 0.6, 12)]              # 12 sets of missing rows, the first empty
+    table = np.round(base[:, rng.integers(0, 10, width)] + rng.normal(size=(n, width)), 1)
+    for j in range(width):
+        table[patterns[j % 12], j] = np.nan
+    cols = [f"c{j:03d}" for j in range(width)]
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in row]) for i, row in enumerate(table)],
+                               "id long, " + ", ".join(f"{c} double" for c in cols)).repartition(3)
+    got = {(r["a"], r["b"]): r["rho"] for r in R.spearman_pairs(df, "id", cols).collect()}
+    assert len(got) == width * (width - 1)
+    for i in rng.integers(0, width, 60):
+        for j in rng.integers(0, width, 3):
+            if i != j:
+                assert got[cols[i], cols[j]] == pytest.approx(brute.spearman(table[:, i], table[:, j]), abs=1e-9)
+
+
+def test_labels_of_very_many_classes_are_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    y = np.concatenate([np.arange(50_000), rng.integers(0, 50, 3000)])             # 50,000 classes, some of them large
+    df = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "id long, y int")
+    for rows in (100_000, 1):                # the prefixes that suffice, and longer ones
+        monkeypatch.setattr(I, "ROWS_PER_BUCKET", rows if rows > 1 else 5)
+        got = I.permuted_labels(df, "id", "y", 2, 3).collect()
+        assert len(got) == 2 * len(y)
+        for k in (1, 2):
+            order = sorted(range(len(y)), key=lambda i: hashlib.md5(f"{i}|{k}|3".encode()).hexdigest())
+            want = dict(zip(order, np.sort(y).tolist()))
+            assert {r["id"]: r["y"] for r in got if r["k"] == k} == want
+
+
+def test_labels_as_text_and_one_class(spark):
+    df = spark.createDataFrame([(i, "b" if i % 3 else "a") for i in range(40)], "id long, y string")
+    got = I.permuted_labels(df, "id", "y", 3).groupBy("k", "y").count().collect()
+    assert {(r["k"], r["y"]): r["count"] for r in got} == {(k, c): n for k in (1, 2, 3) for c, n in (("a", 14), ("b", 26))}
+    one = I.permuted_labels(df.withColumn("y", F.lit("a")), "id", "y", 2)
+    assert one.count() == 80 and one.where("y <> 'a' or y is null").count() == 0
+    assert I.permuted_labels(df.limit(0), "id", "y", 2).count() == 0
