@@ -5,8 +5,9 @@ sqrt(M - |x|^2), a query 0, M being the largest |x|^2 there. A tree node holds a
 distance to it; the triangle inequality tells which side cannot hold a nearer vector. The bound
 is relaxed by a factor: with 1 the search is exact, with more it skips sides that could only help a little.
 
-Shards and blocks of queries have a bounded size. Every block meets every shard, as a row of bytes, and
-yields the best of that shard for each query, so no list of pairs exists beyond k per query and shard.
+Shards and blocks of queries have a bounded size. Every block meets every shard, as a row of bytes, in waves of 1, 3, 12, 48 ...
+shards. A wave knows each query's k-th best so far and yields only what reaches it: some 4 k rows a query and wave
+are expected, however many shards the wave has.
 """
 
 from __future__ import annotations
@@ -87,8 +88,8 @@ def exact_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarray, k: int, relax: float):
-    """(query, vec_id, score) of the k best of the tree for each query, the query's own row left out."""
+def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarray, k: int, relax: float, bar: np.ndarray):
+    """(query, vec_id, score) of the k best of the tree for each query, the query's own row and scores under its ``bar`` left out."""
     points, place, lift = tree["points"], tree["place"], tree["lift"]
     wide, q = points.astype(np.float64), queries.astype(np.float64)
     top = float((wide * wide).sum(axis=1).max())
@@ -97,12 +98,13 @@ def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarr
     best = np.full((n, k), -np.inf)
     who = np.full((n, k), np.iinfo(np.int64).max)
     eps = 1e-9 * (1 + np.sqrt(length * top))
+    floor = bar.copy()
     seeded = np.full(n, -1)
 
     def visit(node: int, active: np.ndarray) -> None:
         members = place[tree["lo"][node]:tree["hi"][node]]
         near = q[active] @ wide[members].T
-        row, col = np.nonzero(near >= (best[active, -1] - eps[active])[:, None])
+        row, col = np.nonzero(near >= (floor[active] - eps[active])[:, None])
         if not len(row):
             return
         copies = np.diff(tree["first"])[members[col]]
@@ -112,6 +114,8 @@ def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarr
         row, score, ids = np.repeat(active[row], copies), np.repeat(score, copies), tree["ids"][start + inner]
         other = ids != query_ids[row]
         row, score, ids = row[other], score[other], ids[other]
+        if not len(row):
+            return
         hit = np.unique(row)
         row = np.concatenate([row, np.repeat(hit, k)])
         score = np.concatenate([score, best[hit].ravel()])
@@ -121,6 +125,7 @@ def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarr
         begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         at = begin[:, None] + np.arange(k)
         best[hit], who[hit] = score[at], ids[at]
+        floor[hit] = np.maximum(bar[hit], best[hit, -1])
 
     def distance(node: int, active: np.ndarray) -> np.ndarray:
         v = tree["node_point"][node]
@@ -146,19 +151,20 @@ def search(tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarr
                 visit(node, active)
             continue
         d, r = distance(node, active), tree["radius"][node]
-        reach = np.sqrt(np.maximum(length[active] + top - 2 * (best[active, -1] - 2 * eps[active]), 0)) / relax
+        reach = np.sqrt(np.maximum(length[active] + top - 2 * (floor[active] - 2 * eps[active]), 0)) / relax
         slack = 1e-9 * (1 + d)
         inside, outside = d - r <= reach + slack, r - d <= reach + slack
         todo += [(c, a) for c, a in ((tree["right"][node], active[outside]), (tree["left"][node], active[inside])) if len(a)]
-    row, col = np.nonzero(best > -np.inf)
+    row, col = np.nonzero((best > -np.inf) & (best >= bar[:, None]))
     return query_ids[row], who[row, col], best[row, col]
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, vec, dim) of the vectors that take part."""
+    """(vec_id, vec, dim) of the vectors that take part; single precision stays so, all else is taken as double."""
+    single = embeddings.schema["embedding"].dataType.elementType.typeName() == "float"
     v = F.col("vec")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vec")).where(
+    return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("vec")).where(
         F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0)).withColumn("dim", F.size("vec"))
 
 
@@ -168,7 +174,7 @@ def _packed(rows: DataFrame, key: str, pack) -> DataFrame:
         for group in by_key(batches, ["dim", key]):
             dim = group.column("dim")[0].as_py()
             flat = group.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-            data = pack(group.column("vec_id").to_numpy(), flat.astype(np.float32).reshape(-1, dim))
+            data = pack(group.column("vec_id").to_numpy(), flat.reshape(-1, dim))
             yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([group.column(key)[0].as_py()], pa.int64()),
                                               pa.array([data], pa.binary())], ["dim", key, "data"])
 
@@ -196,21 +202,38 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, relax: float
     may be found twice. With ``relax`` = 1 the answer is exact. Other columns are left out.
     """
     trees = cut_lineage(index(embeddings, k))
-    blocks = cut_lineage(_packed(_dealt(usable(queries).dropDuplicates(["vec_id"]), BLOCK, "block"), "block",
-                                 lambda ids, v: _bytes(ids=ids, vectors=v)))
-    shards = trees.groupBy("dim").agg(F.max("shard").alias("last"))
-    asked = blocks.join(F.broadcast(shards), "dim").select(
-        "dim", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("shard"), F.col("data").alias("asked"))
+    asked = usable(queries).dropDuplicates(["vec_id"])
+    dealt = cut_lineage(_dealt(asked, BLOCK, "block"))
+    blocks = cut_lineage(_packed(dealt, "block", lambda ids, v: _bytes(ids=ids, vectors=v)))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def run(batches):
         for batch in batches:
-            for tree, asked in zip(batch.column(0), batch.column(1)):
+            for tree, asked, bars in zip(*(batch.column(c) for c in range(3))):
                 q = _arrays(asked.as_py())
-                found = search(_arrays(tree.as_py()), q["ids"], q["vectors"], k, relax)
+                bar = np.full(len(q["ids"]), -np.inf)
+                place = {int(i): at for at, i in enumerate(q["ids"])}
+                for b in bars.as_py() or ():
+                    bar[place[b["query_id"]]] = b["bar"]
+                found = search(_arrays(tree.as_py()), q["ids"], q["vectors"], k, relax, bar)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
 
-    met = trees.join(asked, ["dim", "shard"]).select("data", "asked")
-    best = met.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+    last = trees.agg(F.max("shard")).first()[0]
+    best, lo, hi = None, 0, 1
+    while last is not None and lo <= last:
+        wave = blocks.withColumn("bars", F.lit(None).cast("array<struct<query_id:long,bar:double>>"))
+        if best is not None:
+            bars = best.groupBy("query_id").agg(F.min("score").alias("bar"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k)
+            bars = dealt.select("dim", "block", F.col("vec_id").alias("query_id")).join(bars, "query_id").groupBy("dim", "block").agg(
+                F.collect_list(F.struct("query_id", "bar")).alias("bars"))          # a block has some BLOCK queries
+            wave = blocks.join(bars, ["dim", "block"], "left")
+        wave = wave.select("dim", F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(min(hi - 1, last)).cast("long"))).alias("shard"),
+                           F.col("data").alias("asked"), "bars")
+        met = trees.where(F.col("shard").between(lo, hi - 1)).join(wave, ["dim", "shard"]).select("data", "asked", "bars")
+        found = met.mapInArrow(run, "query_id long, vec_id long, score double")
+        found = found if best is None else best.union(found)
+        best = cut_lineage(found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r"))
+        lo, hi = hi, 4 * hi
+    if best is None:
+        best = embeddings.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    return best.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "score")
