@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from sigscreen.llm import decontaminate, encode, language, near, suffixes  # noqa: E402
-from sigscreen.llm.corpus import LAST, reachable, table  # noqa: E402
+from sigscreen.llm.corpus import LAST, reachable, table, unused  # noqa: E402
 from sigscreen.runtime import cut_lineage, shared_folder  # noqa: E402
 
 SIZE = 5                   # words in a near-duplicate shingle
@@ -25,57 +25,65 @@ SAME_WORDS = 51            # a passage of so many words that stands elsewhere go
 SAME_BYTES = 256           # and one of so many bytes
 TOKENIZER = "word_bpe_49k.json"
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """With did and fp, as ``corpus.identified`` makes them, to join a stage's decisions to whole rows."""
-    return docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(
-        "_fp", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
-
-def _decided(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows of ``docs`` beside the decision on their id and text; one decision serves equal rows."""
-    keys = decisions.withColumnsRenamed({"did": "_did", "fp": "_fp"}).dropDuplicates(["_did", "_fp"])
-    return _keyed(docs).join(cut_lineage(keys), ["_did", "_fp"]).drop("_did", "_fp")
+def _keyed(docs: DataFrame, did: str, fp: str) -> DataFrame:
+    """With two more columns, as ``corpus.identified`` makes them, to join a stage's decisions to whole rows."""
+    return docs.withColumn(did, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn(
+        fp, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with enough confidence. Those without a letter, or rejected, go."""
+    """Documents whose language is told with enough confidence. Those without a letter, or rejected, go: null and empty texts too.
+
+    Rows with one text stay or go together, whatever their ids.
+    """
     reachable(spark)
     return language.recognized(docs, language.train(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the least id, and one row of it."""
+    """One document of each group of near duplicates: that with the least id, and one row of it.
+
+    Texts without words are near none, so they stay; of rows that agree in id and text one stays. A null id is the largest.
+    """
     reachable(spark)
+    did, fp, n = unused(docs, "did", "fp", "n")
     kept = near.near_duplicates(docs, size=SIZE, percent=80, keys=True).where("kept")
-    kept = cut_lineage(kept.groupBy(F.col("did").alias("_did"), F.col("fp").alias("_fp")).agg(F.count(F.lit(1)).alias("_n")))
-    rows = _keyed(docs).join(kept, ["_did", "_fp"])
-    again = rows.where("_n > 1").dropDuplicates(["_did", "_fp"])         # only rows that repeat are compared
-    return rows.where("_n = 1").union(again).select(*docs.columns)
+    kept = cut_lineage(kept.groupBy(F.col("did").alias(did), F.col("fp").alias(fp)).agg(F.count(F.lit(1)).alias(n)))
+    rows = _keyed(docs, did, fp).join(kept, [did, fp])
+    again = rows.where(F.col(n) > 1).dropDuplicates([did, fp])         # only rows that repeat are compared
+    return rows.where(F.col(n) == 1).union(again).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that also stand elsewhere; characters cut in two go whole. n_chars follows the text."""
+    """Documents without the passages that also stand elsewhere; characters cut in two go whole. n_chars follows the text.
+
+    All rows stay, null and empty texts as they are; a repeated row's text is all repeat, so nothing of it is left.
+    """
     reachable(spark)
+    did, fp, left = unused(docs, "did", "fp", "kept")
     cut = suffixes.repeated_bytes(docs, 2 * SAME_WORDS - 1, (SAME_BYTES, SAME_WORDS)).where("n_removed > 0").select("did", "fp", "kept")
-    cut = cut_lineage(cut.dropDuplicates(["did", "fp"]).withColumnsRenamed({"did": "_did", "fp": "_fp", "kept": "_kept"}))
-    left = _keyed(docs).join(cut, ["_did", "_fp"], "left")
-    clean = F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(F.col("_kept").cast("string"))), "�", "")
-    rows = left.withColumn("text", F.when(F.col("_kept").isNull(), F.col("text")).otherwise(clean))
+    cut = cut_lineage(cut.dropDuplicates(["did", "fp"]).select(F.col("did").alias(did), F.col("fp").alias(fp), F.col("kept").alias(left)))
+    rows = _keyed(docs, did, fp).join(cut, [did, fp], "left")
+    clean = F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(F.col(left).cast("string"))), "�", "")
+    rows = rows.withColumn("text", F.when(F.col(left).isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(
+        rows = rows.withColumn("n_chars", F.when(F.col(left).isNull(), F.col("n_chars")).otherwise(
             F.length("text")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item. Null and empty texts hold none; repeated rows stay or go together."""
     reachable(spark)
+    did, fp = unused(docs, "did", "fp")
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), size=10)
-    return _decided(docs, found.where(~F.col("contaminated")).select("did", "fp"))
+    clean = found.where(~F.col("contaminated")).select(F.col("did").alias(did), F.col("fp").alias(fp)).dropDuplicates([did, fp])
+    return _keyed(docs, did, fp).join(cut_lineage(clean), [did, fp]).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, the hashes of the ids and of the decoded text, and the ids."""
+    """doc_id, n_tokens, the hashes of the ids and of the decoded text, and the ids, of each row; a null or empty text has no ids."""
     reachable(spark)
     done = encode.encode(docs, public_tokenizers.path(TOKENIZER))
     return done.select(

@@ -32,6 +32,18 @@ def identified(docs: DataFrame) -> DataFrame:
              F.xxhash64("text").alias("fp"))
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``docs`` has, in whatever case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def is_small(df: DataFrame) -> bool:
     """Whether the rows, counted and weighed, are few enough to send to every executor."""
     width = F.lit(0)

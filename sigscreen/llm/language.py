@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +50,8 @@ def grams(part: Chunk) -> tuple[np.ndarray, np.ndarray]:
             code = code << np.uint32(8) | wide[j:j + len(code)]
         bucket = ((code * np.uint32(0x9E3779B1) + np.uint32(k * 0x85EBCA6B & 0xFFFFFFFF)) >> np.uint32(17)).astype(np.int32)
         codes.append(bucket)
-        rows.append(np.stack([start, np.maximum(start, np.minimum(start + size + 3 - k, len(code)))]))
+        begin = np.minimum(start, len(code))         # a last text without letters may lie past the last gram
+        rows.append(np.stack([begin, np.maximum(begin, np.minimum(start + size + 3 - k, len(code)))]))
     return codes, rows
 
 
@@ -120,8 +122,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 12, r
     """
     rows = docs.where((remainder() != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language)
+    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    hashed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash"))
+    # a language's least hashes lie below a share of the range that holds some four times as many rows as are wanted
+    share = cut_lineage(hashed.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * per_language + 100) / F.count(F.lit(1))).alias("share")))
+    below = hashed.join(share, "lang").where(F.col("hash").cast("double") <= F.lit(-2.0**63) + F.col("share") * F.lit(2.0**64))
+    chosen = below.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language)
     chosen = cut_lineage(chosen.select("doc_id", "lang", (F.pmod("at", F.lit(4)) != 0).alias("fit")).dropDuplicates(["doc_id"]))
     sample = beside(rows.drop("lang"), chosen, "doc_id", "inner")
     got = sorted(_bags(sample).collect(), key=lambda r: (r["lang"], len(r["buckets"]), r["buckets"]))
@@ -195,16 +201,17 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def recognized(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``identify`` does not reject. They pass by once and are not shuffled."""
+    """The rows of ``docs``, all columns, that ``identify`` does not reject. They pass by once and are not shuffled.
+
+    Null, empty and letterless texts are rejected; repeated rows stay or go together.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
     def run(batches):
         m = sent.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            rows = batch.select(range(batch.num_columns - 1))
-            for lo, hi, pred, score in _told(m, texts):
-                yield rows.slice(lo, hi - lo).filter(pa.array((pred != "und") & (score >= m.least)))
+            for lo, hi, pred, score in _told(m, pc.cast(batch.column(at), pa.string())):
+                yield batch.slice(lo, hi - lo).filter(pa.array((pred != "und") & (score >= m.least)))
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(*docs.columns, text).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
