@@ -45,6 +45,27 @@ def test_folder_name_twice_in_a_path(spark, tmp_path):
     assert len(S.read_folder(spark, [f"{tmp_path}/raw/raw"])) == 1
 
 
+def test_folders_are_listed_without_the_driver_context(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(type(spark), "sparkContext", property(lambda s: pytest.fail("a remote session has no context")))
+    spark.range(3).repartition(2).write.parquet(f"{tmp_path}/deep er/a.parquet")
+    (tmp_path / "deep er" / "b.json").write_text('{"x": 1}')
+    (tmp_path / "deep er" / "empty").mkdir()
+    for folder in (f"{tmp_path}/deep er", f"{tmp_path}/deep er/", f"file:{tmp_path}/deep er"):
+        assert [p.rsplit("/", 1)[1] for p in S.read_folder(spark, [folder])] == ["a.parquet"]
+    assert S.read_folder(spark, [f"{tmp_path}/deep er/empty", f"{tmp_path}/none"]) == {}
+
+
+def test_written_files_are_in_order(spark, tmp_path):
+    df = spark.range(5000).select(F.pmod(F.hash("id"), F.lit(100_000)).alias("id"), F.lit("x").alias("v")).repartition(4)
+    S.write_any(df, f"{tmp_path}/sorted.parquet", sort_by="id")
+    files = sorted(p for p in (tmp_path / "sorted.parquet").iterdir() if p.suffix == ".parquet")
+    ids = [[r["id"] for r in spark.read.parquet(str(p)).collect()] for p in files]
+    flat = [i for part in ids for i in part]
+    assert flat == sorted(flat) and len(flat) == 5000
+    S.write_any(df, f"{tmp_path}/two.parquet", sort_by=["v", "id"])
+    assert S.read_any(spark, f"{tmp_path}/two.parquet").count() == 5000
+
+
 def test_filters_reach_the_scan(spark, tmp_path):
     spark.createDataFrame([(1, 1.5)], "i long, d double").write.parquet(f"{tmp_path}/t.parquet")
     plan = S.read_any(spark, f"{tmp_path}/t.parquet").where("d > 1")._jdf.queryExecution().toString()
