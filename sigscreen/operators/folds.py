@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigscreen.operators.ordering import hash_positions, value_positions
+from sigscreen.operators.ordering import hash_positions
+from sigscreen.runtime import cut_lineage
 
 UNLABELED = -1
 
@@ -23,19 +26,47 @@ def stratified_folds(entities: DataFrame, id_col: str, label: str, k: int = 5,
     return labeled.unionByName(rest)
 
 
+def lightest_runs(sizes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, first, last, folds): where the groups first..last of a size go, one after the other, each to the fold with the fewest rows.
+
+    ``sizes`` lists (size, number of groups). Groups go by size, the largest first; ties go to the lowest fold. A fold that lies far behind takes
+    many groups at once, and level folds take turns, so the work is a few steps per size, however many groups there are.
+    """
+    loads = [0] * k
+    runs = []
+    for size, groups in sorted(sizes, reverse=True):
+        at = 1
+        while at <= groups:
+            order = sorted(range(k), key=lambda f: (loads[f], f))
+            # folds that are level take turns, and stand as before after each, until the last of them has passed the next fold
+            turn = [f for f in order if (loads[f], f) < (loads[order[0]] + size, order[0])]
+            n = groups - at + 1
+            if len(turn) < k:
+                last, ahead = turn[-1], order[len(turn)]
+                gap = loads[ahead] - loads[last]
+                n = min(n, len(turn) * (gap // size + 1 if last < ahead else -(-gap // size)))
+            for i, f in enumerate(turn):
+                loads[f] += size * (n // len(turn) + (i < n % len(turn)))
+            runs.append((size, at, at + n - 1, turn))
+            at += n
+    return runs
+
+
 def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """(group, n, fold): groups are dealt to at most ``k`` folds, the largest first.
+    """(group, n, fold): groups are dealt to at most ``k`` folds, the largest first, each to the fold with the fewest rows so far.
 
-    The order runs back and forth (0..k-1, then k-1..0), which keeps the sizes close.
+    Which fold takes the how-manieth group of a size follows from the sizes and how many groups have each: at most the root of
+    twice the number of rows. Groups of one size are taken in hash order, by their position in it.
     """
-    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    ranked = value_positions(sizes.withColumn("_neg", -F.col("n")), "_neg", [group], name="_pos")
-    # One row, joined on a constant: the number of folds in use.
-    n_groups = sizes.agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("_k"), F.lit(0).alias("_one"))
-    ranked = ranked.withColumn("_one", F.lit(0)).join(F.broadcast(n_groups), "_one")
-    step, at = F.floor((F.col("_pos") - 1) / F.col("_k")), (F.col("_pos") - 1) % F.col("_k")
-    fold = F.when(step % 2 == 0, at).otherwise(F.col("_k") - 1 - at)
-    return ranked.select(group, F.col("n").cast("bigint"), fold.cast("int").alias("fold"))
+    sizes = cut_lineage(df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n")))
+    seen = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("groups")).collect()
+    runs = lightest_runs([(r["n"], r["groups"]) for r in seen], min(k, sum(r["groups"] for r in seen)) or 1)
+    dealt = df.sparkSession.createDataFrame(runs, "n long, _first long, _last long, _folds array<int>")
+    ranked = hash_positions(sizes, [group], ["n"], 0, "_pos")
+    # a few rows per size: never more than some times the root of the table's rows
+    out = ranked.join(F.broadcast(dealt), "n").where(F.col("_pos").between(F.col("_first"), F.col("_last")))
+    turn = ((F.col("_pos") - F.col("_first")) % F.size("_folds")).cast("int")
+    return out.select(group, F.col("n").cast("bigint"), F.get("_folds", turn).alias("fold"))
 
 
 def holdout(df: DataFrame, id_col: str, label: str, share: float = 0.3,

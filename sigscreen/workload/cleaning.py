@@ -196,15 +196,18 @@ def stratified_folds(t: Tables):
     return D.folds(t)
 
 
-GROUP_FOLDS = f"""g AS (SELECT c_nationkey, count(*) AS n, row_number() OVER
-    (ORDER BY count(*) DESC, {md5_of('c_nationkey')}, c_nationkey) - 1 AS p
-    FROM customer GROUP BY 1),
-  gf AS (SELECT c_nationkey, n, CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS fold
-    FROM g)"""
+# one group after the other to the fold with the fewest rows
+GROUP_FOLDS = f"""RECURSIVE g AS (SELECT c_nationkey, count(*) AS n, row_number() OVER
+    (ORDER BY count(*) DESC, {md5_of('c_nationkey')}, c_nationkey) AS p FROM customer GROUP BY 1),
+  gf AS (SELECT 0::bigint AS p, NULL::integer AS c_nationkey, 0::bigint AS n, 0::bigint AS fold,
+      list_transform(range(least(5, (SELECT count(*) FROM g))), lambda f: 0::bigint) AS loads
+    UNION ALL SELECT g.p, g.c_nationkey, g.n, list_position(loads, list_min(loads)) - 1,
+      list_transform(loads, lambda l, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN l + g.n ELSE l END)
+    FROM gf JOIN g ON g.p = gf.p + 1)"""
 
 
 @query("group_folds", f"WITH {GROUP_FOLDS} SELECT c_nationkey::bigint AS c_nationkey, n, "
-       "fold::bigint AS fold FROM gf")
+       "fold::bigint AS fold FROM gf WHERE p > 0")
 def group_folds(t: Tables):
     return folds.group_folds(t.customer, "c_nationkey")
 

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -105,6 +106,30 @@ def test_group_folds_and_leakage(spark):
     assert {r["fold"] for r in two} == {0, 1}
 
 
+def test_groups_go_to_the_lightest_fold():
+    r = random.Random(1)
+    for _ in range(1500):
+        k, sizes = r.randint(1, 6), {r.choice([1, 1, 2, 3, 5, 8, 50, 1000]): r.randint(1, 40) for _ in range(r.randint(0, 5))}
+        got = {}
+        for size, first, last, turn in folds.lightest_runs(list(sizes.items()), k):
+            got |= {(size, p): turn[(p - first) % len(turn)] for p in range(first, last + 1)}
+        loads = [0] * k
+        for size in sorted(sizes, reverse=True):
+            for p in range(1, sizes[size] + 1):
+                fold = loads.index(min(loads))
+                assert got[size, p] == fold
+                loads[fold] += size
+        assert len(got) == sum(sizes.values())
+    assert len(folds.lightest_runs([(1, 10**12), (10**8, 1), (7, 10**6)], 5)) < 20
+
+
+def test_one_giant_group_leaves_the_rest_level(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 700, -1).otherwise(F.col("id")).alias("g"))
+    sizes = sorted(r["n"] for r in folds.group_folds(df, "g").groupBy("fold").agg(F.sum("n").alias("n")).collect())
+    assert sizes == [75, 75, 75, 75, 700]
+    assert folds.group_folds(df.limit(0), "g").count() == 0
+
+
 def test_hot_keys_are_salted_without_changing_the_join(spark, monkeypatch):
     monkeypatch.setattr(joins, "SMALL_ROWS", 100)
     big = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, -1).otherwise(
