@@ -21,7 +21,8 @@ MIN_KEY_DISTINCT_SHARE = 0.30
 SAMPLES, SAMPLE_WIDTH, SAMPLE_CUT = 3, 24, 21
 NO_SAMPLE = "—"
 SHORT = 32      # longer values are compared by md5
-BITS = 62       # columns per machine word in the containment masks
+SKETCH_BITS = 12   # log2 of a distinct sketch's registers: 1.6 % off on average
+KEPT = 1024        # hashes in a column's containment sketch
 
 PROFILE_SCHEMA = (
     "table string, column string, dtype string, row_count bigint, null_pct double, "
@@ -75,12 +76,13 @@ def _cells(df: DataFrame, first: int) -> DataFrame:
 def profile_columns(tables: Mapping[str, DataFrame], sample: int | None = None) -> DataFrame:
     """One row per column: type, rows, null share, distinct count, samples, time and key flags.
 
+    With ``sample`` each table counts with that many of its rows, drawn at random.
     All columns of all tables go through one shuffle of value counts, written once.
     """
     spark = next(iter(tables.values())).sparkSession
     meta, cells = [], None
     for name, df in tables.items():
-        part = _cells(df.limit(sample) if sample else df, len(meta))
+        part = _cells(random_sample(df, sample) if sample else df, len(meta))
         cells = part if cells is None else cells.unionByName(part)
         meta += [(len(meta) + i, name, f.name, f.dataType.simpleString(), _is_time_type(f.dataType),
                   _is_key_type(f.dataType), _time_by_name(f))
@@ -146,41 +148,82 @@ def join_keys(profiles: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("table")).alias("tables")).where(F.size("tables") > 1)
 
 
-def key_containment(columns: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+def distinct_sketches(df: DataFrame, cols: Sequence[str], part: str | None = None) -> DataFrame:
+    """(column, part, sketch, nulls, rows): what a table or a part of it adds to the distinct counts of its columns.
+
+    Stored sketches of parts unite (``united_distinct``), so a part that is added later is the only one that is read.
+    A sketch is some 2,500 bytes however many values it has seen.
+    """
+    cells = df.select(F.lit(part).alias("part"), F.posexplode(F.array(*[F.expr(_value(df.schema[c])) for c in cols])).alias("i", "v"))
+    names = F.get(F.array(*[F.lit(c) for c in cols]), F.col("i")).alias("column")
+    return cells.groupBy("part", names).agg(
+        F.hll_sketch_agg("v", F.lit(SKETCH_BITS)).alias("sketch"), F.count(F.when(F.col("v").isNull(), 1)).alias("nulls"),
+        F.count(F.lit(1)).alias("rows"))
+
+
+def united_distinct(sketches: DataFrame) -> DataFrame:
+    """(column, approx_distinct, nulls, rows) over all parts whose sketches are given."""
+    return sketches.groupBy("column").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("approx_distinct"), F.sum("nulls").alias("nulls"), F.sum("rows").alias("rows"))
+
+
+def random_sample(df: DataFrame, rows: int, by: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """Exactly ``rows`` rows drawn evenly (all, if fewer): those with the least hash of the columns ``by``, or of the whole row.
+
+    Each task keeps its least hashes, so no more than ``rows`` rows of a task travel; the same rows come whatever the partitions.
+    """
+    values = [F.coalesce(F.expr(_value(df.schema[c])), F.lit("")) for c in by or df.columns]
+    return df.withColumn("_hash", F.md5(F.concat_ws("|", *values, F.lit(str(seed))))).orderBy("_hash").limit(rows).drop("_hash")
+
+
+def key_containment(columns: Mapping[str, tuple[DataFrame, str]], at_least: float = 0.0) -> DataFrame:
     """(from_key, to_key, distinct_from, shared, containment) for every ordered pair of columns.
 
-    Finds keys with different names. A value becomes one row with a bit per column, and
-    the pairs are sums over the bits: values shared by many columns make no extra rows.
+    Finds keys with different names. A value becomes the set of columns it stands in, and values of one set become a count; a set is then
+    taken apart into its pairs, so a pair costs what its columns share and columns apart cost nothing. With ``at_least``, only pairs
+    whose containment reaches it come back, and sketches of each column's ``KEPT`` least hashes keep pairs that cannot
+    from being counted: a pair is counted unless its estimate lies far below, some eight standard errors.
     """
     names = list(columns)
-    words = range((len(names) - 1) // BITS + 1)
+    tables: dict[int, tuple[DataFrame, list[tuple[int, str]]]] = {}
+    for i, (df, col) in enumerate(columns.values()):            # columns of one table are read together
+        tables.setdefault(id(df), (df, []))[1].append((i, col))
     values = None
-    for i, (df, col) in enumerate(columns.values()):
-        bits = [F.lit(1 << i % BITS if i // BITS == w else 0).cast("bigint").alias(f"w{w}")
-                for w in words]
-        part = df.select(F.col(col).cast("string").alias("v"), *bits).where("v is not null")
+    for df, own in tables.values():
+        cells = df.select(F.posexplode(F.array(*[F.col(col).cast("string") for _, col in own])).alias("at", "v")).where("v is not null")
+        part = cells.select("v", F.get(F.array(*[F.lit(i) for i, _ in own]), F.col("at")).alias("c"))
         values = part if values is None else values.unionByName(part)
     # Repeated values are merged on the map side, so one shuffle makes them distinct too;
-    # then only the combinations of columns are left, which are few.
-    masks = values.groupBy("v").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in words]).groupBy(
-        *[f"w{w}" for w in words]).agg(F.count(F.lit(1)).alias("n"))
-
-    def held(*at: int):
-        every = F.lit(True)
-        for i in at:
-            every = every & (F.shiftright(f"w{i // BITS}", i % BITS).bitwiseAND(F.lit(1)) == 1)
-        return F.coalesce(F.sum(F.when(every, F.col("n"))), F.lit(0)).cast("bigint")
-
-    pairs = [(i, j) for i in range(len(names)) for j in range(len(names)) if i != j]
-    one = masks.agg(*[held(i).alias(f"n{i}") for i in range(len(names))],
-                    *[held(i, j).alias(f"p{i}_{j}") for i, j in pairs if i < j])
-    both = F.explode(F.array(*[F.struct(
-        F.lit(names[i]).alias("from_key"), F.lit(names[j]).alias("to_key"),
-        F.col(f"n{i}").alias("distinct_from"),
-        F.col(f"p{min(i, j)}_{max(i, j)}").alias("shared"))
-        for i, j in pairs]))
-    return one.select(both.alias("_p")).select("_p.*").withColumn(
-        "containment", F.try_divide("shared", "distinct_from"))
+    # then only the sets of columns are left, which are few.
+    held = cut_lineage(values.groupBy("v").agg(F.sort_array(F.collect_set("c")).alias("cs")))
+    sets = cut_lineage(held.groupBy("cs").agg(F.count(F.lit(1)).alias("n")))
+    sizes = sets.select(F.explode("cs").alias("c"), "n").groupBy("c").agg(F.sum("n").alias("distinct_from"))
+    pairs = sets.where(F.size("cs") > 1).select(F.explode("cs").alias("i"), "cs", "n").select("i", F.explode("cs").alias("j"), "n").where("i <> j")
+    if at_least > 0:
+        pairs = pairs.join(F.broadcast(_likely_pairs(held, sizes, at_least)), ["i", "j"])       # pairs of columns
+    shared = pairs.groupBy("i", "j").agg(F.sum("n").alias("shared"))
+    spark = held.sparkSession
+    known = spark.createDataFrame(list(enumerate(names)), "i int, from_key string")
+    every = known.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)))).where("i <> j")
+    every = every.join(F.broadcast(known.withColumnsRenamed({"i": "j", "from_key": "to_key"})), "j")
+    out = every.join(F.broadcast(sizes.withColumnRenamed("c", "i")), "i", "left").join(shared, ["i", "j"], "left").select(
+        "from_key", "to_key", F.coalesce("distinct_from", F.lit(0)).alias("distinct_from"), F.coalesce("shared", F.lit(0)).alias("shared"))
+    out = out.withColumn("containment", F.try_divide("shared", "distinct_from"))
+    return out.where(F.col("containment") >= at_least) if at_least > 0 else out
+
+
+def _likely_pairs(held: DataFrame, sizes: DataFrame, at_least: float) -> DataFrame:
+    """(i, j) of columns whose containment of i in j may reach ``at_least``, by the hashes of i's sketch that j holds."""
+    cells = held.select(F.xxhash64("v").alias("h"), F.explode("cs").alias("c"), "cs")
+    # a column's least hashes lie below a share of the range that holds some twice as many as are kept
+    share = sizes.select("c", F.least(F.lit(1.0), F.lit(2.0 * KEPT + 100) / F.col("distinct_from")).alias("share"))
+    near = cells.join(F.broadcast(share), "c").where(F.col("h").cast("double") <= F.lit(-2.0**63) + F.col("share") * F.lit(2.0**64))
+    kept = near.withColumn("r", F.row_number().over(W.partitionBy("c").orderBy("h"))).where(F.col("r") <= KEPT)
+    total = F.count(F.lit(1)).over(W.partitionBy("c"))
+    found = kept.withColumn("all", total).select(F.col("c").alias("i"), F.explode("cs").alias("j"), "all").groupBy("i", "j", "all").agg(
+        F.count(F.lit(1)).alias("seen"))
+    slack = 8 * F.sqrt(F.lit(at_least * (1 - at_least)) / F.col("all")) + F.lit(1e-9)
+    return found.where((F.col("i") != F.col("j")) & (F.col("seen") / F.col("all") >= F.lit(at_least) - slack)).select("i", "j")
 
 
 def profile(spark: SparkSession, refs: Sequence[str] | Mapping[str, DataFrame],

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigscreen.plans import profile as P
-from sigscreen.workload.registry import Tables, query, r6
+from sigscreen.runtime import cut_lineage
+from sigscreen.workload.registry import Tables, md5_of, query, r6
 
 # The tables and column types that the profile is checked on; arrays are left to the unit tests.
 SCHEMAS = {
@@ -116,3 +117,39 @@ def key_containment(t: Tables):
     return P.key_containment({n: (getattr(t, table), col) for n, (table, col) in KEYS.items()})
 
 
+SKETCHED = ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"]
+
+
+@query("distinct_sketches", "SELECT c AS \"column\", n AS rows, true AS close FROM (VALUES " + ", ".join(
+    f"('{c}')" for c in SKETCHED) + ") v(c), (SELECT count(*) AS n FROM lineitem)")
+def distinct_sketches(t: Tables):
+    """Sketches of the years of lineitem, united, beside the exact counts: each within 5 percent."""
+    years = F.year("l_shipdate")
+    parts = [P.distinct_sketches(t.lineitem.where(w), SKETCHED, name) for name, w in (
+        ("early", years < 1995), ("late", years >= 1995), ("undated", F.col("l_shipdate").isNull()))]
+    stored = cut_lineage(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    exact = t.lineitem.agg(*[F.count_distinct(c).alias(c) for c in SKETCHED]).unpivot([], SKETCHED, "column", "exact")
+    return P.united_distinct(stored).join(F.broadcast(exact), "column").select(
+        "column", "rows", (F.abs(F.col("approx_distinct") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
+
+
+SAMPLED = ["o_orderkey", "o_custkey", "o_orderstatus"]
+
+
+@query("profile_sample", f"""SELECT {', '.join(SAMPLED)} FROM orders
+  ORDER BY {md5_of(*SAMPLED)} LIMIT 1000""")
+def profile_sample(t: Tables):
+    return P.random_sample(t.orders.select(*SAMPLED), 1000)
+
+
+CONTAINED = 0.5
+
+
+@query("key_containment_at_least", "WITH v AS (" + " UNION ALL ".join(
+    f"SELECT DISTINCT '{n}' AS c, {col}::varchar AS v FROM {t}" for n, (t, col) in KEYS.items())
+    + f"""), n AS (SELECT c, count(*) AS n FROM v GROUP BY 1)
+  SELECT a.c AS from_key, b.c AS to_key, n.n AS distinct_from, count(*) AS shared, {r6('count(*)::double / n.n', 'containment')}
+  FROM v a JOIN v b USING (v) JOIN n ON n.c = a.c WHERE a.c <> b.c GROUP BY 1, 2, 3 HAVING count(*)::double / n.n >= {CONTAINED}""")
+def contained_keys(t: Tables):
+    """The pairs worth a look, with sketches ahead of the exact counts."""
+    return P.key_containment({n: (getattr(t, table), col) for n, (table, col) in KEYS.items()}, CONTAINED)

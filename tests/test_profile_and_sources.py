@@ -127,3 +127,42 @@ def test_containment_finds_renamed_keys(spark):
         "p": (people, "person_id"), "s": (edges, "src_id"), "d": (edges, "dst_id")}).collect()}
     assert got["s", "p"] == 1.0 and got["p", "s"] == 0.5 and got["s", "d"] == 0.0
     assert got["d", "p"] == pytest.approx(5 / 30)
+
+
+def test_containment_of_five_hundred_columns(spark, monkeypatch):
+    sets = {f"k{i}": {v + 40 * (i % 50) for v in range(100) if v % (i % 9 + 1) == 0} for i in range(500)}
+    rows = spark.createDataFrame([[v + 40 * (i % 50) if v % (i % 9 + 1) == 0 else None for i in range(500)] for v in range(100)],
+                                 ", ".join(f"k{i} long" for i in range(500)))
+    columns = {f"k{i}": (rows, f"k{i}") for i in range(500)}
+    got = {(r["from_key"], r["to_key"]): (r["distinct_from"], r["shared"]) for r in P.key_containment(columns).collect()}
+    assert len(got) == 500 * 499
+    for a, b in (("k0", "k1"), ("k3", "k400"), ("k17", "k67"), ("k499", "k449"), ("k6", "k56")):
+        assert got[a, b] == (len(sets[a]), len(sets[a] & sets[b]))
+    monkeypatch.setattr(P, "KEPT", 30)             # sketches far smaller than the columns
+    some = {n: columns[n] for n in list(columns)[::10]}
+    got = {(r["from_key"], r["to_key"]): r["shared"] for r in P.key_containment(some, 0.6).collect()}
+    want = {(a, b): len(sets[a] & sets[b]) for a in some for b in some if a != b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a])}
+    assert got == want and len(want) > 20
+    none = spark.createDataFrame([(None,)], "k string")
+    assert [(r["shared"], r["containment"]) for r in P.key_containment({"a": (none, "k"), "b": (none, "k")}).collect()] == [(0, None)] * 2
+
+
+def test_sketches_of_parts_unite(spark):
+    parts = [spark.range(lo, hi).select("id", (F.col("id") % 7).cast("string").alias("few"), F.lit(None).cast("int").alias("none"))
+             for lo, hi in ((0, 6000), (4000, 12_000))]
+    stored = P.distinct_sketches(parts[0], ["id", "few", "none"], "a").unionByName(P.distinct_sketches(parts[1], ["id", "few", "none"], "b"))
+    got = {r["column"]: r for r in P.united_distinct(stored).collect()}
+    assert got["id"]["approx_distinct"] == pytest.approx(12_000, rel=0.05) and got["id"]["rows"] == 14_000
+    assert got["few"]["approx_distinct"] == 7 and got["none"]["approx_distinct"] == 0 and got["none"]["nulls"] == 14_000
+
+
+def test_a_sample_has_its_size_and_repeats(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 10 > 0, F.col("id") % 50).alias("v"))
+    first = sorted(r["id"] for r in P.random_sample(df, 700).collect())
+    assert len(first) == 700 == len(set(first))
+    assert first == sorted(r["id"] for r in P.random_sample(df.repartition(9), 700).collect())
+    assert first != sorted(r["id"] for r in P.random_sample(df, 700, seed=1).collect())
+    assert 250 < sum(i < 2500 for i in first) < 450                     # not the first rows
+    assert P.random_sample(df, 9000).count() == 5000
+    repeated = df.select(F.lit(1).alias("x"))
+    assert P.random_sample(repeated, 30).count() == 30
