@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from sigscreen.llm.texts import chunks
 from sigscreen.llm.tokenizer import Tokenizer, cached, read_file
 
-KNOWN_WORDS = 1_000_000     # counts a worker remembers; past this it starts anew
+KNOWN = 64 << 20            # bytes of words whose counts a task remembers, their tables counted in; past this it starts anew
+WORD = 150                  # bytes that a word takes beside its own characters
 
 
 def count_merged(symbols: list[int], merges: dict) -> int:
@@ -62,11 +63,17 @@ class Counts(dict):
     def __init__(self, text: str):
         super().__init__()
         self.tok = Tokenizer(text)
+        self.held = 0
 
     def __missing__(self, word: str) -> int:
+        self.held += len(word) + WORD
         n = self[word] = count_merged(self.tok.symbols(word), self.tok.merges)
         return n
 
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
+
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row of (doc_id, text).
@@ -83,8 +90,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
         for batch in batches:
             col = batch.column(1)
             for part in chunks(col):
-                if len(counts) > KNOWN_WORDS:
-                    counts.clear()
+                if counts.held > KNOWN:
+                    counts.forget()
                 get = counts.__getitem__
                 n = [sum(map(get, words(t))) if t else 0
                      for t in col.slice(part.lo, part.hi - part.lo).to_pylist()]

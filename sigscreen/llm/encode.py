@@ -1,9 +1,9 @@
 """BPE encoding and decoding by an index of pair occurrences.
 
-The distinct words of a batch stand in one array of symbols. An index maps each adjacent pair that
+The distinct words of a block of text stand in one array of symbols. An index maps each adjacent pair that
 can merge to its positions. The active ranks are applied in ascending order: all occurrences of a
 pair merge at once, left to right, and the lists of the pairs beside them are updated. Words are
-encoded once per worker while the bounded table of known words lasts.
+encoded once per task while the table of known words, bounded in bytes, lasts; it goes when the task ends.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from sigscreen.llm.texts import chunks
 from sigscreen.llm.tokenizer import Tokenizer, cached, read_file
 
-KNOWN_WORDS = 800_000      # words a worker remembers; past this it starts anew
-BLOCK = 8 << 20            # bytes of text whose new words are merged together
+KNOWN = 96 << 20           # bytes of words that a task remembers, their tables counted in; past this it starts anew
+WORD = 300                 # bytes that a word takes beside its own characters
+BLOCK = 2 << 20            # bytes of text whose new words are merged together
 
 
 class PairIndex:
@@ -111,6 +112,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
+        self.held = 0
         self.known: dict[str, int] = {}
         self.shown: list[str] = []               # each word's tokens joined by one space
         self.ids = np.zeros(0, np.int64)
@@ -119,6 +121,7 @@ class Encoder:
     def learn(self, words: list[str]) -> None:
         ids, sizes = self.pairs.encode([self.tok.symbols(w) for w in words])
         base = len(self.known)
+        self.held += sum(map(len, words)) + WORD * len(words)
         self.known.update(zip(words, range(base, base + len(words))))
         ends = np.cumsum(sizes)
         name = self.tok.names
@@ -134,7 +137,7 @@ class Encoder:
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """The ids of all texts in one array, where each text starts in it, and the texts' words."""
         split = [self.tok.words(t) for t in texts]
-        if len(self.known) > KNOWN_WORDS:
+        if self.held > KNOWN:
             self.forget()
         new = set().union(*split).difference(self.known) if split else ()
         if new:
@@ -168,19 +171,23 @@ def encode(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
 
     def run(batches):
         enc = encoder(file.value)
-        for batch in batches:
-            col = batch.column(1)
-            for part in chunks(col, BLOCK):
-                texts = [t or "" for t in col.slice(part.lo, part.hi - part.lo).to_pylist()]
-                flat, ends, split = enc.texts(texts)
-                out = [batch.column(0).slice(part.lo, part.hi - part.lo),
-                       pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)),
-                                                pa.array(flat.astype(np.int32)))]
-                if decode:
-                    known, shown = enc.known.__getitem__, enc.shown.__getitem__
-                    out.append(pa.array([" ".join(map(shown, map(known, w))) for w in split],
-                                        pa.string()))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "decoded"][:len(out)])
+        enc.forget()
+        try:
+            for batch in batches:
+                col = batch.column(1)
+                for part in chunks(col, BLOCK):
+                    texts = [t or "" for t in col.slice(part.lo, part.hi - part.lo).to_pylist()]
+                    flat, ends, split = enc.texts(texts)
+                    out = [batch.column(0).slice(part.lo, part.hi - part.lo),
+                           pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)),
+                                                    pa.array(flat.astype(np.int32)))]
+                    if decode:
+                        known, shown = enc.known.__getitem__, enc.shown.__getitem__
+                        out.append(pa.array([" ".join(map(shown, map(known, w))) for w in split],
+                                            pa.string()))
+                    yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "decoded"][:len(out)])
+        finally:
+            enc.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 

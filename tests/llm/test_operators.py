@@ -35,6 +35,15 @@ def test_ids_and_counts_are_those_of_the_library(docs):
     want = [(i, library.encode(t or "", add_special_tokens=False).ids) for i, t in TEXTS]
     want = sorted(map(str, ((i, ids, library.decode(ids, skip_special_tokens=False)) for i, ids in want)))
     assert got == want
+    for known in (0, 1 << 30):                                            # words forgotten at each block, or never
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(encode, "KNOWN", known)
+            patch.setattr(encode, "BLOCK", 64)
+            patch.setattr(count, "KNOWN", known)
+            enc = encode.Encoder(open(WORD, encoding="utf-8").read())
+            for _, t in TEXTS:
+                flat, ends, _ = enc.texts([t or "", PROSE])
+                assert flat[:ends[1]].tolist() == library.encode(t or "", add_special_tokens=False).ids
     back = encode.decode(encode.encode(docs, WORD), WORD)
     assert sorted(r.decoded for r in back.collect()) == sorted(r.decoded for r in encode.encode(docs, WORD).collect())
     library = Tokenizer.from_file(BYTE)
@@ -178,6 +187,38 @@ def test_nearest_against_all_pairs(spark):
     assert len(got) == 15 * 20
 
 
+def test_nearest_of_lone_vectors_and_doubles(spark, monkeypatch):
+    lone = spark.createDataFrame([(20, [1.0, 2.0]), (40, [3.0])], "vec_id long, embedding array<float>")
+    assert neighbors.nearest(lone, lone).count() == 0                     # nothing but the query's own row of its length
+    exact = [(0, [1.0, 1.0]), (1, [0.05, 0.0]), (2, [0.05 + 1e-12, 0.0]), (3, [1e200, 0.0]), (4, [-1.0, 0.5])]
+    df = spark.createDataFrame(exact, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in neighbors.nearest(df, df.where("vec_id = 0"), k=4).orderBy("rank").collect()]
+    assert got == [(3, 1e200), (2, 0.05 + 1e-12), (1, 0.05), (4, -0.5)]
+    assert neighbors.nearest(df.limit(0), df).count() == neighbors.nearest(df, df.limit(0)).count() == 0
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(neighbors, "SHARD", 10)                           # many shards and waves, one query in a block
+    monkeypatch.setattr(neighbors, "BLOCK", 1)
+    v = np.round(rng.normal(size=(170, 3)), 1)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in neighbors.nearest(df, df.where("vec_id % 17 = 0"), k=6).collect())
+    want = []
+    for q in range(0, 170, 17):
+        order = sorted((-sum(a * b for a, b in zip(v[q], x)), i) for i, x in enumerate(v) if i != q)
+        want += [(q, r, i) for r, (_, i) in enumerate(order[:6], 1)]
+    assert got == want
+
+
+@pytest.mark.parametrize("relax", [1.2, 1.5])
+def test_recall_of_a_relaxed_search(spark, relax):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    asked = df.where("vec_id % 20 = 0")
+    exact = {(r.query_id, r.vec_id) for r in neighbors.nearest(df, asked, k=20).collect()}
+    found = {(r.query_id, r.vec_id) for r in neighbors.nearest(df, asked, k=20, relax=relax).collect()}
+    recall = len(exact & found) / len(exact)
+    print(f"recall at relax {relax}: {recall:.3f}")
+    assert recall >= 0.9
+
+
 def test_anchors_are_the_leftmost_least():
     x = np.random.default_rng(3).integers(0, 6, 200, dtype=np.uint64) << np.uint64(40)
     at, first, last = texts.anchors(x, 7)
