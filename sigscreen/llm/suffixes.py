@@ -18,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,13 +73,14 @@ def _suffix_rows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in chunks(batch.column(2)):
-                ats = batch.column(3).slice(part.lo, part.hi - part.lo).to_pylist()
+                ats = batch.column(3).slice(part.lo, part.hi - part.lo)
                 did, fp = (batch.column(j).slice(part.lo, part.hi - part.lo).to_pylist() for j in (0, 1))
+                places = [ats.flatten().field(c).to_numpy() for c in ("at", "lo", "hi")]
+                ends = np.append(0, np.cumsum(pc.list_value_length(ats).to_numpy()))
                 out = []
-                for i, places in enumerate(ats):
+                for i in range(len(ats)):
                     text = part.data[part.offsets[i]:part.offsets[i + 1]].tobytes()
-                    for x in places:
-                        at, lo, hi = x["at"], x["lo"], x["hi"]
+                    for at, lo, hi in zip(*(c[ends[i]:ends[i + 1]].tolist() for c in places)):
                         before, after = text[at - hi:at], text[at:at + length - lo]
                         mark = hashlib.blake2b(b"%d:%d:" % (lo, hi) + before + after, digest_size=16).digest()
                         out.append((did[i], fp[i], at, mark, lo, hi, before, after))
