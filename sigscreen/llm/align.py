@@ -14,8 +14,8 @@ import hashlib
 import io
 import os
 import re
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -30,74 +30,134 @@ from sigscreen.llm.tokenizer import byte_letters, cached, read_file
 from sigscreen.runtime import cut_lineage
 
 BLOCK = 2 << 20            # bytes of text in a block, about; a longer text is a block of its own
-PIECE = 1 << 16            # bytes after which a long text is cut, at a space between two ASCII letters
+KNOWN = 96 << 20           # bytes of pieces that a task remembers, their tables counted in; past this it starts anew
+PIECE = 280                # bytes that a piece takes beside its own characters
+SOME = 20_000              # pieces encoded in one call
 SPACE = "▁"
 
 
+class Table:
+    """Ids of known pieces of text on one side, in one array."""
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], names: list[bytes], joined: bool):
+        self.encode, self.names, self.joined = encode, names, joined       # joined: new pieces go through as one text, which is faster
+        self.sizes = np.array([len(n) for n in names])
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids, self.start, self.size = (np.zeros(0, np.int64) for _ in range(3))
+
+    def learn(self, pieces: list[str]) -> np.ndarray:
+        """Which of the new pieces have tokens of just a space and their own bytes."""
+        found = self.together(pieces) or self.one_by_one(pieces)
+        ids, size, good = found
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, ids])
+        return good
+
+    def together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """The ids of pieces joined by spaces, their number per piece, and True each; None if some piece or token does not fit."""
+        if not self.joined or any(p[0].isspace() or p[-1].isspace() for p in pieces):
+            return None
+        whole = " ".join(pieces)
+        ids = self.encode([whole])[0]
+        if b"".join(map(self.names.__getitem__, ids)) != b" " + whole.encode():
+            return None
+        ids = np.array(ids, np.int64)
+        ends = np.cumsum(self.sizes[ids])
+        own = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in pieces), np.int64, len(pieces)))
+        last = np.searchsorted(ends, own)
+        if not np.array_equal(ends[last], own):
+            return None
+        return ids, np.diff(last, prepend=-1), np.ones(len(pieces), bool)
+
+    def one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = self.encode(pieces)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        good = [b"".join(map(self.names.__getitem__, ids)) == b" " + p.encode() for p, ids in zip(pieces, found)]
+        return np.fromiter(chain.from_iterable(found), np.int64, int(size.sum())), size, np.array(good, bool)
+
+    def tokens(self, at: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces ``at`` in turn, and their number per text."""
+        size = self.size[at]
+        ends = np.cumsum(size)
+        flat = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - (ends - size), size)]
+        return flat, np.bincount(text, size, texts).astype(np.int64)
+
+
 class Sides:
-    """Both tokenizers, built on each worker from the contents of their files."""
+    """Both tokenizers, built on each worker from the contents of their files.
+
+    A text is encoded piece by piece, cut at single spaces between other than white space: there neither side has a token that goes on.
+    A piece is encoded once while the table of known pieces, bounded in bytes, lasts.
+    """
 
     def __init__(self, files: tuple[str, bytes]):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"        # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(files[0])
-        self.a.encode_special_tokens = True
+        a = Tokenizer.from_str(files[0])
+        a.encode_special_tokens = True
+        b = sentencepiece.SentencePieceProcessor(model_proto=files[1])
+        pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
         byte_of = {c: i for i, c in enumerate(byte_letters())}
-        names = {i: t for t, i in self.a.get_vocab(with_added_tokens=True).items()}
-        self.bytes_a = [bytes(map(byte_of.__getitem__, t)) if all(c in byte_of for c in t) else t.encode()
-                        for t in (names.get(i, "") for i in range(max(names) + 1))]
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=files[1])
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        names = {i: t for t, i in a.get_vocab(with_added_tokens=True).items()}
+        bytes_a = [bytes(map(byte_of.__getitem__, t)) if all(c in byte_of for c in t) else t.encode()
+                   for t in (names.get(i, "") for i in range(max(names) + 1))]
+        bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         # without a token that goes on past a space, what stands before a space has no part in what follows
         self.apart = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
-        self.size_a, self.size_b = (np.array([len(t) for t in table]) for table in (self.bytes_a, self.bytes_b))
+        self.odd = re.compile(r"\s\s|\A\s|\s\Z").search
+        self.lone = re.compile(r"(?<=\S) (?=\S)").split
+        self.a = Table(lambda own: [e.ids for e in a.encode_batch_fast([" " + p for p in own], add_special_tokens=False)], bytes_a, self.apart)
+        self.b = Table(lambda own: b.encode(own, num_threads=1), bytes_b, False)
         self.shown = [np.array([f"{i}{mark}" for i in range(len(table))], object)
-                      for table, marks in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for mark in marks]
-
-    def pieces(self, text: str) -> list[str]:
-        """The text, or what stands between some of its spaces: each side's tokens are those of the pieces in order."""
-        if len(text) <= PIECE or not self.apart:
+                      for table, marks in ((bytes_a, ",|"), (bytes_b, ",;")) for mark in marks]
+        self.forget()
+
+    def forget(self) -> None:
+        self.held = 0
+        self.known: dict[str, int] = {}
+        self.good = np.zeros(0, bool)
+        self.a.forget()
+        self.b.forget()
+
+    def split(self, text: str) -> list[str]:
+        if not self.apart:
             return [text]
-        out, at = [], 0
-        cut = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
-        while m := cut.search(text, at + PIECE):
-            out.append(text[at:m.start()])
-            at = m.end()
-        return [*out, text[at:]]
+        return self.lone(text) if self.odd(text) else text.split(" ")
+
+    def learn(self, pieces: list[str]) -> None:
+        plain = [p for p in pieces if not (p[0].isspace() or p[-1].isspace())]
+        edged = [p for p in pieces if p[0].isspace() or p[-1].isspace()]
+        groups = [x[lo:lo + SOME] for x in (plain, edged) for lo in range(0, len(x), SOME)]
+        for some in groups:                            # the library's results are large
+            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
+            self.held += sum(map(len, some)) + PIECE * len(some)
+            self.good = np.concatenate([self.good, self.a.learn(some) & self.b.learn(some)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of side A of all texts in one array and their number per text; the same of side B.
 
         A text has none if either side's bytes are not a space and the text.
         """
-        split = [self.pieces(t) if t else [] for t in texts]
-        owner = np.repeat(np.arange(len(texts)), [len(p) for p in split])
+        if self.held > KNOWN:
+            self.forget()
+        split = [self.split(t) if t else [] for t in texts]
         pieces = list(chain.from_iterable(split))
-        a, b, good = [], [], np.ones(len(texts), bool)
-        lo = 0
-        while lo < len(pieces):                    # the library's results are large: some pieces at a time
-            hi, held = lo, 0
-            while hi < len(pieces) and held < 4 * PIECE:
-                held += len(pieces[hi])
-                hi += 1
-            some = [" " + p for p in pieces[lo:hi]]
-            found = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)], self.b.encode(pieces[lo:hi], num_threads=1)
-            for ids, table, out in zip(found, (self.bytes_a, self.bytes_b), (a, b)):
-                for k, (text, own) in enumerate(zip(some, ids)):
-                    if b"".join(map(table.__getitem__, own)) != text.encode():
-                        good[owner[lo + k]] = False
-                out += [np.array(own, np.int64) for own in ids]
-            lo = hi
-        keep = good[owner]
-        out = []
-        for ids in (a, b):
-            sizes = np.array([len(i) for i in ids], np.int64) * keep
-            out += [np.concatenate([i for i, k in zip(ids, keep) if k] or [np.zeros(0, np.int64)]),
-                    np.bincount(owner, sizes, len(texts)).astype(np.int64)]
-        return tuple(out)
+        text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, split), np.int64, len(split)))
+        at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            unknown = [pieces[i] for i in new.tolist()]
+            self.learn(list(dict.fromkeys(unknown)))
+            at[new] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(new))
+        bad = np.bincount(text, ~self.good[at], len(texts)) > 0
+        if bad.any():
+            at, text = at[~bad[text]], text[~bad[text]]
+        return (*self.a.tokens(at, text, len(texts)), *self.b.tokens(at, text, len(texts)))
 
 
 def read_files(path_a: str, path_b: str) -> tuple[str, bytes]:
@@ -111,7 +171,7 @@ class Aligned:
     def __init__(self, sides: Sides, texts: list[str]):
         self.a, self.n_a, self.b, self.n_b = sides.encode(texts)
         doc = np.arange(len(texts))
-        size_a, size_b = sides.size_a[self.a], sides.size_b[self.b]
+        size_a, size_b = sides.a.sizes[self.a], sides.b.sizes[self.b]
         end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)           # both sides of a text have as many bytes
         left = pd.DataFrame({"start": end_a - size_a, "doc": np.repeat(doc, self.n_a), "a": np.arange(len(self.a))})
         right = pd.DataFrame({"start": end_b - size_b, "doc": np.repeat(doc, self.n_b), "b": np.arange(len(self.b))})
@@ -156,12 +216,15 @@ def _blocks(docs: DataFrame, files, schema: str, make) -> DataFrame:
     def run(batches):
         sides = cached(files.value, Sides)
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            col = batch.column(1)
-            for part in chunks(col, BLOCK):
-                size = part.hi - part.lo
-                yield make(number, batch.column(0).slice(part.lo, size), Aligned(sides, col.slice(part.lo, size).to_pylist()))
-                number += 1
+        try:
+            for batch in batches:
+                col = batch.column(1)
+                for part in chunks(col, BLOCK):
+                    size = part.hi - part.lo
+                    yield make(number, batch.column(0).slice(part.lo, size), Aligned(sides, col.slice(part.lo, size).to_pylist()))
+                    number += 1
+        finally:
+            sides.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
