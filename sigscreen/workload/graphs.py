@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sigscreen.operators import factors as X
 from sigscreen.operators import iterate as T
 from sigscreen.operators.folds import stratified_folds
 from sigscreen.operators.vectors import oof_centroids
+from sigscreen.runtime import cut_lineage
 from sigscreen.workload import data as D
 from sigscreen.workload.registry import Tables, md5_of, query, r6
 
@@ -137,3 +139,44 @@ def embedded(t: Tables):
 def centroids(t: Tables):
     folds = stratified_folds(t.embeddings, "vec_id", "label").select("vec_id", "fold")
     return oof_centroids(t.embeddings.join(folds, "vec_id"), "vec_id", "embedding", "label")
+
+
+WINDOW, SHIFT = 2, 1.5
+
+
+def pmi_sql() -> str:
+    return f"""walks AS ({walks_sql(STEPS, 2)}),
+      steps AS (SELECT id AS start, walk, unnest(string_split(path, '>')) AS node,
+        generate_subscripts(string_split(path, '>'), 1) AS at FROM walks),
+      near AS (SELECT a.node AS i, b.node AS j, count(*) AS n FROM steps a JOIN steps b
+        ON a.start = b.start AND a.walk = b.walk AND abs(a.at - b.at) <= {WINDOW} WHERE a.node <> b.node GROUP BY 1, 2),
+      s AS (SELECT i, sum(n)::double AS s FROM near GROUP BY 1),
+      pmi AS (SELECT i, j, v FROM (SELECT near.i, near.j, ln(n::double * (SELECT sum(n) FROM near)::double / (a.s * b.s)) - ln({SHIFT}::double) AS v
+        FROM near JOIN s a ON a.i = near.i JOIN s b ON b.i = near.j) WHERE v > 0)"""
+
+
+def walk_matrix(t: Tables):
+    return X.shifted_pmi(X.cooccurrences(T.random_walks(D.kept_pairs(t), STEPS, 2), WINDOW), SHIFT)
+
+
+@query("walk_pmi", f"WITH {pmi_sql()} SELECT i, j, {r6('v', 'v')} FROM pmi")
+def walk_pmi(t: Tables):
+    return walk_matrix(t)
+
+
+@query("walk_factors", f"""WITH {pmi_sql()} SELECT {r6('sum(v * v)', 'norm')}, true AS upright, true AS exact, true AS gains FROM pmi""")
+def walk_factors(t: Tables):
+    """The factors of the walks' matrix: unit vectors at right angles, whose error is what their eigenvalues do not hold."""
+    entries = cut_lineage(walk_matrix(t))
+    found, values = X.factorise(entries, 8)
+    facts = X.rebuilt(entries, cut_lineage(found), values)
+    return facts.select("norm", (F.col("apart") < 1e-6).alias("upright"),
+                        (F.abs(F.col("error") - (F.col("norm") - F.col("held"))) < 1e-6 * F.col("norm")).alias("exact"),
+                        (F.col("error") < F.col("norm")).alias("gains"))
+
+
+# Eigenvectors are SQL's to check only by what they rebuild, as above; the tests compare them with a dense decomposition.
+@query("learned_embeddings")
+def learned(t: Tables):
+    found = X.learned_embeddings(T.random_walks(D.kept_pairs(t), STEPS, 2), 8, WINDOW, SHIFT)
+    return found.select("id", F.posexplode("embedding").alias("dim", "value"))
