@@ -7,8 +7,8 @@
 3. Each list is first a star around its most copied class. Pairs whose union sketch estimates
    enough overlap are confirmed on the full sets, and the links give components.
 4. Where members of a list still lie in several components, those outside the star's component
-   meet the rest, in blocks of at most some ``BLOCK`` x ``BLOCK`` rows per task step, first by sketches, then by
-   full sets. A block yields rows or links that join components, never its pairs. Pairs inside
+   meet the rest, if there is another component among sizes near theirs, in blocks of at most some ``BLOCK`` x ``BLOCK`` rows per task step,
+   first by sketches, then by full sets. A block yields rows or links that join components, never its pairs. Pairs inside
    one component need no check, so a large group of copies costs about one pair per member.
 
 A pair at the limit is missed if the sketches share fewer than ``T`` values: for k = 48 a chance
@@ -18,6 +18,7 @@ under 1e-8 at similarity 0.8, falling fast above. Sets of up to 38 shingles are
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -135,23 +136,43 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
 
 # ---- blocks: members of a hub's lists against those outside its component ------------
 
+def _comparable(placed: DataFrame, percent: int) -> DataFrame:
+    """The rows (hub, c, n, comp, out) that may have a partner: of another component, of a size within ``percent``, one of the two out.
+
+    Sizes fall into bands as wide as two similar sets can be apart, so partners lie in one band or in neighboring ones.
+    """
+    width = 1.001 * math.log(100 / percent) if percent < 100 else 1e-6
+    banded = placed.withColumn("band", F.floor(F.ln("n") / F.lit(width)))
+    about = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
+    here = banded.groupBy("hub", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("out").alias("out"))
+    open_bands = here.select("hub", about, "lo", "hi", "out").groupBy("hub", "band").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("out").alias("any")).where(F.col("any") & (F.col("lo") != F.col("hi")))
+    return banded.join(open_bands.select("hub", "band"), ["hub", "band"], "left_semi").drop("band")
+
+
 def _blocks(rows: DataFrame, step, schema: str) -> DataFrame:
     """Run ``step`` on every block of rows (hub, c, n, comp, out, of): the out ones against all.
 
-    The rows of a hub are dealt into blocks by their class, so no task step holds more than one block.
+    The rows of a hub are dealt into blocks by their class, so no task step holds more than one block. Where
+    one block holds them all, each is sent once.
     """
     sizes = rows.groupBy("hub").agg(F.ceil(F.count_if("out") / BLOCK).alias("oi"),
                                     F.ceil(F.count(F.lit(1)) / BLOCK).alias("mj")).where("oi > 0")
     dealt = rows.join(cut_lineage(sizes), "hub").withColumn("x", F.xxhash64("c"))
     row = ["hub", "c", "n", "comp", "out", "of"]
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    members = dealt.select(*row, F.lit(False).alias("asks"), upto("oi").alias("i"), F.pmod("x", "mj").alias("j"))
-    asking = dealt.where("out").select(*row, F.lit(True).alias("asks"), F.pmod("x", "oi").alias("i"), upto("mj").alias("j"))
+    members = dealt.select(*row, F.lit(False).alias("asks"), upto("oi").alias("i"), F.pmod("x", "mj").alias("j"), (F.col("mj") == 1).alias("alone"))
+    asking = dealt.where("out and mj > 1").select(*row, F.lit(True).alias("asks"), F.pmod("x", "oi").alias("i"), upto("mj").alias("j"),
+                                                  F.lit(False).alias("alone"))
     key = ["hub", "i", "j"]
 
     def run(batches):
         for block in by_key(batches, key):
             asks = block.column("asks").to_numpy(zero_copy_only=False)
+            if block.column("alone")[0].as_py():
+                left = np.flatnonzero(block.column("out").to_numpy(zero_copy_only=False))
+                block = pa.concat_tables([block, block.take(pa.array(left))])
+                asks = np.arange(len(block)) >= len(asks)
             if asks.any() and not asks.all():
                 yield from step(block, np.flatnonzero(asks), np.flatnonzero(~asks))
 
@@ -238,6 +259,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, keys: boo
     none; kept says that the row's id is the component's, and of a component without ids one text is kept. A repeated row gets the same result as the first. Other columns are left out. With ``keys`` did and fp, which
     identify the row as ``identified`` does, come along.
     """
+    if not 80 <= percent <= 100:
+        raise ValueError("sketches of this length find similarities from 80 percent on")
     docs = identified(docs)
     base = cut_lineage(sketches(docs, size))
     full = base.where("n_shingles > 0")
@@ -265,10 +288,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, keys: boo
     placed = placed.select("hub", "c", "n", F.coalesce("comp", "c").alias("comp"),
                            (F.coalesce("comp", "c") != F.coalesce("hub_comp", "hub")).alias("out"))
     placed = cut_lineage(placed.where(F.col("out") | (F.col("c") != F.col("hub"))).distinct())
-    groups = placed.groupBy("hub").agg(F.count_if("out").alias("outs")).where("outs > 0")
-    meeting = placed.join(groups.select("hub"), "hub", "left_semi")
-    near = cut_lineage(_blocks(meeting.join(classes.select("c", F.col("sketch").alias("of")), "c"), _sketch_flags,
-                               "hub long, c long").distinct())
+    placed = cut_lineage(_comparable(placed, percent))
+    # half of each value is enough to count what two sketches share
+    halves = classes.select("c", F.transform("sketch", lambda v: v.bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("of"))
+    near = cut_lineage(_blocks(placed.join(halves, "c"), _sketch_flags, "hub long, c long").distinct())
     sets = _sets(near.select("c").distinct(), classes, docs, size)
     meeting = placed.join(near, ["hub", "c"]).join(sets.toDF("c", "of"), "c")
     more = _blocks(meeting, _set_links(percent), "a long, b long")

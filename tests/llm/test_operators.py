@@ -97,6 +97,41 @@ def test_near_duplicates_of_odd_rows(docs):
     assert near.near_duplicates(docs.limit(0), 2).count() == 0
 
 
+@pytest.mark.parametrize("block", [near.BLOCK, 4])
+def test_near_duplicates_in_crowded_lists(spark, monkeypatch, block):
+    """Over 128 texts share their rare words; some are near each other in chains, in copies, or not at all."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    corpus.reachable(spark)
+    r = random.Random(12)
+    common = [f"q{i}" for i in range(12)]
+    texts = []
+    for i in range(45):
+        own = [f"w{r.randint(0, 30)}" for _ in range(r.choice([6, 30, 60]))]
+        for _ in range(3):
+            words = common + own
+            for _ in range(r.randint(0, max(1, len(words) // 12))):
+                words[r.randrange(len(words))] = f"x{r.randint(0, 10**6)}"
+            texts.append(" ".join(words))
+    texts += [" ".join(common)] * 3 + [texts[0]] * 2
+    sets = [{tuple(t.split()[i:i + 2]) for i in range(len(t.split()) - 1)} for t in texts]
+    assert sum(("q0", "q1") in s for s in sets) > 110
+    least = list(range(len(texts)))
+    changed = True
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    while changed:
+        changed = False
+        for i, j in pairs:
+            if least[i] != least[j]:
+                least[i] = least[j] = min(least[i], least[j])
+                changed = True
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near.near_duplicates(df, 2).collect()}
+    assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, least))}
+    assert 10 < len(set(least)) < 130
+    with pytest.raises(ValueError):
+        near.near_duplicates(df, 2, percent=60)
+
+
 def test_contamination_of_odd_rows(spark, docs):
     bench = spark.createDataFrame([(1, " ".join(PROSE.split()[5:25])), (2, "ONE"), (3, None), (4, ""), (None, "lone words")],
                                   "item_id long, text string")
