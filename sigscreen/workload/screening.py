@@ -368,3 +368,95 @@ def rescreened(t: Tables):
     first = _screen(t).verdicts
     cut = [r["feature"] for r in first.where("recommend = 'investigate'").collect()]
     return rescreen_diff(first, _screen(t, cut).verdicts)
+
+
+# ---- the whole screen, checked ---------------------------------------------------------------------
+
+# One planted feature for each outcome: (name, SQL over customer, nation and the date of the first order; numbers first).
+NUMBERS = {
+    "region_number": "n_regionkey * 1000 + c_custkey % 100",                                            # an AUC near 1
+    "seldom": "CASE WHEN c_custkey % 8 = 0 THEN n_regionkey * 1000 + c_custkey % 101 END",              # mostly missing
+    "hint": "n_regionkey * 10 + c_custkey % 61",                                                        # two that say the same
+    "hint_again": "2 * (n_regionkey * 10 + c_custkey % 61) + c_custkey % 2",
+    "fades": "CASE WHEN since < '1995-03-01' THEN n_regionkey * 120 ELSE 0 END + (c_custkey * 7919) % 613",   # early customers only
+}
+KINDS = {
+    "nation": "n_name",                                                                                 # settles the label
+    "segment": "c_mktsegment",                                                                          # noise
+    "some_nation": "CASE WHEN c_custkey % 3 = 0 THEN n_name ELSE 'other' END",                          # honest signal
+    "faint": "CASE WHEN c_custkey % 100 = 0 THEN r_name ELSE c_mktsegment END",                          # hardly any
+}
+
+
+def planted(t: Tables):
+    """(id, r_name, since, features) of all customers."""
+    since = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("since"))
+    place = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = t.customer.join(place, F.col("c_nationkey") == F.col("n_nationkey")).join(since, "c_custkey", "left")
+    return rows.select(F.col("c_custkey").alias("id"), "r_name", "since", *[F.expr(f"CAST({e} AS DOUBLE)").alias(c) for c, e in NUMBERS.items()],
+                       *[F.expr(e).alias(c) for c, e in KINDS.items()])
+
+
+def screen_sql() -> str:
+    """All statistics of the planted features, and the verdicts by the rules; ends in ``table_of``."""
+    nums, cats = list(NUMBERS), list(KINDS)
+    return f"""WITH b AS MATERIALIZED (SELECT c_custkey AS id, r_name, since, {', '.join(f'({e})::double AS {c}' for c, e in NUMBERS.items())},
+      {', '.join(f'{e} AS {c}' for c, e in KINDS.items())} FROM customer JOIN nation ON c_nationkey = n_nationkey
+      JOIN region ON n_regionkey = r_regionkey LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS since FROM orders GROUP BY 1) o ON o_custkey = c_custkey),
+    ent AS (SELECT ln(sum(n)::double) - sum(n*ln(n::double))/sum(n)::double AS h FROM (SELECT count(*) AS n FROM b GROUP BY r_name)),
+    rawc AS MATERIALIZED ({unpivot_sql('b', nums, 'id, r_name AS y, since', 'double')}),
+    fillc AS MATERIALIZED (SELECT feature, id, y, coalesce(x, median(x) OVER (PARTITION BY feature)) AS x FROM rawc),
+    kinds AS MATERIALIZED ({unpivot_sql('b', cats, 'id, r_name AS y', 'varchar')}),
+    kc AS (SELECT feature, x, y, count(*) AS n FROM kinds GROUP BY ALL),
+    mis AS MATERIALIZED ((WITH {knn_mi_ctes('fillc')} SELECT feature, mi FROM knn) UNION ALL ({mi_sql('kc')})),
+    {permuted_sql('b', 'r_name', PERMS)},
+    pcells AS MATERIALIZED (SELECT k, feature, id, perm.y, x FROM fillc JOIN perm USING (id)),
+    pkinds AS (SELECT k, feature, x, perm.y, count(*) AS n FROM kinds JOIN perm USING (id) GROUP BY ALL),
+    nulls AS MATERIALIZED (SELECT feature, quantile_cont(mi, 0.95) AS null_p95 FROM ((WITH {knn_mi_ctes('pcells', 'k, feature')} SELECT k, feature, mi FROM knn)
+      UNION ALL ({mi_sql('pkinds', 'k, feature')})) GROUP BY 1),
+    best AS MATERIALIZED (WITH cells AS (SELECT * FROM rawc), {RANKED}, {AUCS} SELECT feature,
+      CASE WHEN max(n) >= 20 THEN greatest(0.5, max(greatest(auc, 1 - auc))) END AS best_auc FROM aucs GROUP BY 1),
+    rhos AS MATERIALIZED (WITH p AS (SELECT a.feature AS a, b.feature AS b, a.x AS xa, b.x AS xb FROM rawc a JOIN rawc b USING (id)
+        WHERE a.feature <> b.feature AND a.x IS NOT NULL AND b.x IS NOT NULL),
+      r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY xa) + (count(*) OVER (PARTITION BY a, b, xa) - 1) / 2.0::double AS ra,
+        rank() OVER (PARTITION BY a, b ORDER BY xb) + (count(*) OVER (PARTITION BY a, b, xb) - 1) / 2.0::double AS rb FROM p)
+      SELECT a AS feature, b AS redundant_with, abs(rho) AS rho, row_number() OVER (PARTITION BY a ORDER BY round(abs(rho), 12) DESC, b) AS rk
+      FROM (SELECT a, b, corr(ra, rb) AS rho FROM r GROUP BY 1, 2)),
+    cut AS MATERIALIZED ({slices_sql('b', 'id', 'since', 'id, r_name AS y')}),
+    good AS (SELECT slice FROM cut GROUP BY 1 HAVING count(*) >= 50 AND count(DISTINCT y) > 1),
+    scells AS MATERIALIZED (SELECT slice, feature, id, cut.y, coalesce(x, median(x) OVER (PARTITION BY slice, feature), 0) AS x FROM rawc
+      JOIN cut USING (id) JOIN good USING (slice)),
+    skinds AS (SELECT slice, feature, x, cut.y, count(*) AS n FROM kinds JOIN cut USING (id) JOIN good USING (slice) GROUP BY ALL),
+    cvs AS MATERIALIZED (SELECT feature, abs(stddev_samp(mi) / (avg(mi) + 1e-9::double)) AS cv
+      FROM ((WITH {knn_mi_ctes('scells', 'slice, feature')} SELECT slice, feature, mi FROM knn) UNION ALL ({mi_sql('skinds', 'slice, feature')}))
+      GROUP BY 1 HAVING count(*) > 1),
+    there AS (SELECT feature, avg((x IS NOT NULL)::int) AS coverage FROM (SELECT feature, x::varchar AS x FROM rawc UNION ALL SELECT feature, x FROM kinds) GROUP BY 1),
+    facts AS (SELECT feature, mi, mi / h AS ratio, null_p95, best_auc, coverage, cv, CASE WHEN rho > 0.9 THEN redundant_with END AS twin
+      FROM mis JOIN nulls USING (feature) JOIN there USING (feature) LEFT JOIN best USING (feature) LEFT JOIN cvs USING (feature)
+      LEFT JOIN (SELECT * FROM rhos WHERE rk = 1) USING (feature), ent),
+    table_of AS (SELECT feature, CASE WHEN mi <= null_p95 THEN 'no signal over null' WHEN coverage < 0.2 THEN 'too sparse'
+      WHEN best_auc > 0.97 THEN 'suspiciously strong — check leakage' WHEN ratio > 0.8 THEN 'explains most of the label — check leakage'
+      WHEN twin IS NOT NULL THEN 'redundant with ' || twin WHEN cv > 1 THEN 'unstable over time'
+      WHEN mi < null_p95 * 1.5 THEN 'weak incremental value' ELSE 'beats null, contributes in model' END AS reason, * EXCLUDE (feature) FROM facts),
+    judged AS (SELECT *, CASE WHEN reason IN ('no signal over null', 'too sparse') THEN 'drop' WHEN reason LIKE 'beats%' THEN 'keep'
+      ELSE 'investigate' END AS recommend FROM table_of)"""
+
+
+def screened_planted(t: Tables):
+    rows = planted(t)
+    return screen(rows.drop("r_name"), rows.select("id", "r_name"), "id", "r_name", time_col="since", n_perm=PERMS, model=None, charts=False)
+
+
+@query("screen_verdicts", f"""{screen_sql()} SELECT feature, recommend, reason, {r6('mi', 'mi')}, {r6('ratio', 'mi_ratio')},
+  {r6('null_p95', 'null_p95')}, mi > null_p95 AS beats_null, {r6('best_auc', 'best_auc')}, 0.0::double AS importance,
+  {r6('coverage', 'coverage')}, {r6('cv', 'stability_cv')} FROM judged""")
+def screen_verdicts(t: Tables):
+    """The screen without a model over features planted for each of its eight outcomes."""
+    return screened_planted(t).verdicts
+
+
+@query("screen_counts", f"""{screen_sql()} SELECT (SELECT count(*) FROM b) AS sample_rows, (SELECT count(DISTINCT r_name) FROM b) AS classes,
+  count(*) AS features, NULL::double AS macro_f1, NULL::double AS macro_auc, count(*) FILTER (recommend = 'keep') AS keep,
+  count(*) FILTER (recommend = 'investigate') AS investigate, count(*) FILTER (recommend = 'drop') AS drop FROM judged""")
+def screen_counts(t: Tables):
+    return screened_planted(t).summary

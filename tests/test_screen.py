@@ -166,3 +166,15 @@ def test_every_feature_has_a_verdict(spark):
     got = screen(wide, labels, "id", "y", n_perm=2, model=None, charts=False)
     verdicts = {r["feature"]: r["recommend"] for r in got.verdicts.collect()}
     assert set(verdicts) == {"u", "sparse", "c"} and verdicts["u"] == "drop"
+
+
+def test_every_outcome_occurs_in_the_checked_screen():
+    import duckdb
+
+    from sigscreen.workload import QUERIES
+
+    con = duckdb.connect()
+    for t in ("customer", "nation", "region", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    reasons = {r[0].split(" with ")[0] for r in con.execute(f"SELECT reason FROM ({QUERIES['screen_verdicts'].sql})").fetchall()}
+    assert len(reasons) == 8
