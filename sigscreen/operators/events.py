@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sigscreen.functions.columns import days_between, norm_category, xlogx
 from sigscreen.operators.counts import category_counts, summarise_counts
 from sigscreen.operators.joins import lookup_join
+from sigscreen.runtime import cut_lineage
 
 
 def fact_dim_join(fact: DataFrame, dim: DataFrame, key: str, cols: Sequence[str],
@@ -46,6 +47,18 @@ def modal_merchant(fact: DataFrame, dim: DataFrame, entity: str, key: str, place
     return modal_place(fact, clean, entity, key, "_place", top, frac, hot=hot)
 
 
+def merchant_blocks(fact: DataFrame, dim: DataFrame, entity: str, key: str, place: str, flag: str, pattern: str, prefix: str = "city_",
+                    width: int = 2, hot: list | None = None) -> list[DataFrame]:
+    """``modal_merchant`` and the share of visits whose merchant has the flag, from one count of visits and one join."""
+    clean = dim.select(key, norm_category(place, pattern, prefix, width).alias("_place"), F.col(flag).alias("_flag"))
+    placed = cut_lineage(lookup_join(category_counts(fact, entity, key), clean, key, "inner", hot).groupBy(entity, "_place", "_flag").agg(
+        F.sum("n").alias("n")))
+    named = placed.where("_place is not null").groupBy(entity, "_place").agg(F.sum("n").alias("n"))
+    share = F.sum(F.when(F.col("_flag"), F.col("n")).otherwise(0)) / F.sum("n")
+    return [summarise_counts(named, entity, "_place", "merch_modal_city", "merch_top_frac"),
+            placed.where("_flag is not null").groupBy(entity).agg(share.alias("merch_online_frac"))]
+
+
 def bool_share(df: DataFrame, key: str, flag: str, name: str) -> DataFrame:
     """Share of true among the non-null flags."""
     return df.groupBy(key).agg(F.avg(F.col(flag).cast("double")).alias(name))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sigscreen.operators.counts import entropy_of, summarise_counts
 from sigscreen.operators.joins import lookup_join
+from sigscreen.runtime import cut_lineage
 
 
 def pair_counts(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -132,11 +133,11 @@ def role_features(pairs: DataFrame, rounds: int = 2, hot: list | None = None) ->
 
     Column ``r2_r1_deg_out`` is the mean over neighbors of their mean neighbor out-degree.
     """
-    frame = pairs.groupBy("a").agg(*_degree_columns())
+    frame = cut_lineage(pairs.groupBy("a").agg(*_degree_columns()))
     cols = [c for c in frame.columns if c != "a"]
     last = cols
     for i in range(1, rounds + 1):
         means = neighbor_mean(pairs, frame, "a", last, f"r{i}_", hot)
-        frame = frame.join(means, "a", "left")
+        frame = cut_lineage(frame.join(means, "a", "left"))        # it stands twice in the next round's plan
         last = [f"r{i}_{c}" for c in last]
     return frame

@@ -241,10 +241,13 @@ def bin_edges(cells: DataFrame, bins: int = 32) -> DataFrame:
 
 
 def binned_counts(cells: DataFrame, groups: Sequence[str] = (),
-                  bins: int = 32) -> DataFrame:
-    """Contingency table of quantile bins; ``mi_discrete`` of it is the large-data estimate."""
+                  bins: int = 32, edges: DataFrame | None = None) -> DataFrame:
+    """Contingency table of quantile bins; ``mi_discrete`` of it is the large-data estimate.
+
+    ``edges`` of ``bin_edges`` save a pass where they are known, as under label shuffles, which leave values as they are.
+    """
     # One short array per feature.
-    rows = cells.join(F.broadcast(bin_edges(cells, bins)), "feature")
+    rows = cells.join(F.broadcast(bin_edges(cells, bins) if edges is None else edges), "feature")
     b = F.size(F.filter("edges", lambda e: e < F.col("x"))).cast("string")
     return rows.groupBy(*groups, "feature", b.alias("x"), "y").agg(F.count(F.lit(1)).alias("n"))
 
@@ -312,8 +315,11 @@ def permutation_mi(df: DataFrame, id_col: str, label: str, numeric: Sequence[str
         parts.append(mi_discrete(category_counts(shuffled, label, categorical, ["k"]), ["k"]))
     if numeric:
         cells = numeric_cells(shuffled, id_col, label, numeric, ["k"])
-        parts.append(mi_numeric(cells, ["k"], parts=perms) if estimator == "knn"
-                     else mi_discrete(binned_counts(cells, ["k"]), ["k"]))
+        if estimator == "knn":
+            parts.append(mi_numeric(cells, ["k"], parts=perms))
+        else:
+            edges = cut_lineage(bin_edges(numeric_cells(df, id_col, label, numeric)))
+            parts.append(mi_discrete(binned_counts(cells, ["k"], edges=edges), ["k"]))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

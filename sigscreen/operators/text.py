@@ -9,6 +9,7 @@ from sigscreen.functions import columns as C
 from sigscreen.operators.clean import dedup_key
 from sigscreen.operators.counts import (
     entropy_of, marker_counts, mode_by_key, summarise_counts, top_category)
+from sigscreen.runtime import cut_lineage
 
 
 def text_marker_profile(df: DataFrame, key: str, text: str, pattern: str = C.MARKER_PATTERN,
@@ -92,18 +93,20 @@ def doc_block(spine: DataFrame, docs: DataFrame, key: str, text: str,
               prefix: str = "city_") -> DataFrame:
     """Per spine entity: has a document, its length in tokens, top marker, mention count.
 
-    A row-wise plan over one document per entity: the counts come from arrays inside
-    the row, so documents are never shuffled beyond the join.
+    One document per entity is kept, and what is needed of its text is taken from the row at once; texts travel no
+    further, and the three answers come from the short table that is left.
     """
     docs = dedup_key(docs.select(key, text), [key], [text])
-    facts = docs.select(
-        key, F.lit(1).alias("doc_present"), F.size(C.tokens(text)).cast("bigint").alias("doc_len"))
-    top = summarise_counts(marker_counts(docs, key, text, marker, "_m", prefix), key, "_m",
-                           "doc_flavor_top_city")
-    said = marker_counts(docs, key, text, mention, "_m", prefix).groupBy(key).agg(
-        F.sum("n").cast("bigint").alias("doc_n_city_mentions"))
-    out = spine.join(facts, key, "left").join(top, key, "left").join(said, key, "left")
-    return out.withColumn("doc_present", F.coalesce("doc_present", F.lit(0)))
+    facts = cut_lineage(docs.select(
+        key, F.size(C.tokens(text)).cast("bigint").alias("doc_len"), F.regexp_extract_all(text, F.lit(marker), F.lit(1)).alias("_marks"),
+        F.size(F.regexp_extract_all(text, F.lit(mention), F.lit(1))).cast("bigint").alias("_said")))
+    marks = facts.select(key, F.explode("_marks").alias("_m")).groupBy(key, F.concat(F.lit(prefix), F.col("_m")).alias("_m")).agg(
+        F.count(F.lit(1)).alias("n"))
+    top = summarise_counts(marks, key, "_m", "doc_flavor_top_city")
+    own = facts.select(key, F.lit(1).alias("doc_present"), "doc_len", F.when(F.col("_said") > 0, F.col("_said")).alias("doc_n_city_mentions"))
+    out = spine.join(own, key, "left").join(top, key, "left")
+    return out.select(*spine.columns, F.coalesce("doc_present", F.lit(0)).alias("doc_present"), "doc_len", "doc_flavor_top_city",
+                      "doc_n_city_mentions")
 
 
 __all__ = ["doc_block", "entropy_of", "marker_block", "message_counts", "mode_by_key",

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from sigscreen.functions import columns as C
 from sigscreen.operators.clean import dedup_key, dedup_rows
-from sigscreen.operators.events import (
-    bool_share, fact_dim_join, hour_stats, modal_merchant, modal_place)
+from sigscreen.operators.events import fact_dim_join, hour_stats, merchant_blocks, modal_place
 from sigscreen.operators.folds import stratified_folds
 from sigscreen.operators.graph import graph_block, oof_neighbor_labels, pair_counts
 from sigscreen.operators.text import doc_block, marker_block, message_counts, text_style
@@ -113,11 +112,8 @@ def build_features(tables: Mapping[str, DataFrame], wiring: Wiring = Wiring()) -
         blocks.append(modal_place(tables["pings"], tables["towers"], key, w.tower, w.region,
                                   "tower_modal_region", "tower_top_frac", "tower_entropy"))
     if "transactions" in tables and "merchants" in tables:
-        tx, merchants = tables["transactions"], tables["merchants"]
-        blocks.append(modal_merchant(tx, merchants, key, w.merchant, w.merchant_city,
-                                     w.city_pattern, w.city_prefix))
-        blocks.append(bool_share(fact_dim_join(tx, merchants, w.merchant, [w.online], "left"),
-                                 key, w.online, "merch_online_frac"))
+        blocks += merchant_blocks(tables["transactions"], tables["merchants"], key, w.merchant, w.merchant_city, w.online,
+                                  w.city_pattern, w.city_prefix)
     if "app_events" in tables:
         blocks.append(hour_stats(tables["app_events"], key, w.event_ts))
     if "devices" in tables:

@@ -291,15 +291,17 @@ def feature_tables(t: Tables) -> dict:
     shipped = D.shipments(t).select(F.col("id").alias("person_id"),
                                     F.col("l_suppkey").alias("tower_id"),
                                     F.col("l_partkey").alias("merchant_id"))
+    # a number in the label names its region
     known = D.known_segments(t).where("label is not null").select(
-        F.col("id").alias("person_id"), F.col("label").alias("home_city"))
+        F.col("id").alias("person_id"), F.concat("label", F.lit("_"), F.length("label").cast("string")).alias("home_city"))
     return {
         "entities": people.join(first, "person_id", "left"),
         "labels": known,
         "messages": t.events.select(
             F.col("user_id").alias("sender_id"), "ts", F.col("event_type").alias("lang"),
             F.get_json_object("props", "$.k").cast("bigint").alias("recipient_id"),
-            F.col("props").alias("text")),
+            F.concat(F.lit("the "), "event_type", F.lit(" "), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"),
+                     F.when(F.col("user_id") % 3 == 0, " le ").otherwise(" der "), "event_type").alias("text")),
         "docs": t.documents.select(F.col("doc_id").alias("person_id"),
                                    F.col("text").alias("doc_text")),
         "pings": shipped.select("person_id", "tower_id"),
@@ -314,6 +316,9 @@ def feature_tables(t: Tables) -> dict:
                                      F.col("c_nationkey").alias("battery")),
         "ip": t.customer.select(F.col("c_custkey").alias("person_id"),
                                 F.col("c_mktsegment").alias("ip_city")),
+        "weather": t.supplier.select(
+            F.concat(F.lit("metro_"), F.floor(F.col("s_nationkey") / 5).cast("string")).alias("region_code"),
+            F.col("s_acctbal").alias("temp_c")),
     }
 
 
@@ -321,7 +326,8 @@ FEATURE_WIRING = Wiring(city_pattern=r"(?:brand#|city )(\d+)", marker_pattern=D.
                         mention_pattern=D.NUMBERS, city_prefix="city_",
                         reference_time=D.REFERENCE_TIME)
 MESSAGES = """messages AS (SELECT DISTINCT user_id AS src,
-    (json_extract_string(props, '$.k'))::bigint AS dst, ts, event_type, props AS text FROM events),
+    (json_extract_string(props, '$.k'))::bigint AS dst, ts, event_type, 'the ' || event_type || ' '
+      || lpad((event_id % 1000)::varchar, 3, '0') || CASE WHEN user_id % 3 = 0 THEN ' le ' ELSE ' der ' END || event_type AS text FROM events),
   ends AS (SELECT src AS a, dst AS b, 1 AS o, 0 AS i FROM messages
     UNION ALL SELECT dst, src, 0, 1 FROM messages),
   pairs AS MATERIALIZED (SELECT a, b, sum(o)::bigint AS out_n, sum(i)::bigint AS in_n
@@ -345,13 +351,14 @@ MESSAGES = """messages AS (SELECT DISTINCT user_id AS src,
   firsts AS (SELECT o_custkey, min(o_orderdate) AS signup FROM orders GROUP BY 1),
   dmc AS ({matches_sql('documents', 'doc_id', 'text', D.WORDS, 'city_')}),
   dsc AS ({matches_sql('documents', 'doc_id', 'text', D.NUMBERS, 'city_')}),
-  {doc_sql('customer', 'c_custkey')}
-  SELECT c.c_custkey AS person_id, flavor.top AS txt_flavor_top_city,
+  {doc_sql('customer', 'c_custkey')},
+  wx AS (SELECT 'metro_' || (s_nationkey // 5)::varchar AS m, avg(s_acctbal) AS temp FROM supplier GROUP BY 1)
+  SELECT c.c_custkey AS person_id, {r6('wx.temp', 'wx_home_region_temp')}, flavor.top AS txt_flavor_top_city,
     {r6('flavor.f', 'txt_flavor_top_frac')}, {r6('flavor.e', 'txt_flavor_entropy')},
     said.top AS txt_modal_mention_city, said.total AS txt_n_city_mentions,
     style.total AS txt_total_tokens, txt_vocab_richness, txt_url_frac, txt_emoji_frac,
     langs.total AS txt_n_messages, langs.top AS txt_lang_dominant, deg_out, deg_in, deg_total,
-    {r6('coalesce(rec.share, 0)', 'reciprocity')}, nb_modal AS nb_modal_city,
+    {r6('coalesce(rec.share, 0)', 'reciprocity')}, nb_modal || '_' || length(nb_modal)::varchar AS nb_modal_city,
     {r6('mix.f', 'nb_top_frac')}, {r6('mix.e', 'nb_entropy')}, {r6('labeled', 'nb_labeled_frac')},
     places.region AS tower_modal_region, {r6('places.f', 'tower_top_frac')},
     {r6('places.e', 'tower_entropy')}, brands.city AS merch_modal_city,
@@ -370,7 +377,8 @@ MESSAGES = """messages AS (SELECT DISTINCT user_id AS src,
   LEFT JOIN places ON places.id = c.c_custkey LEFT JOIN brands ON brands.id = c.c_custkey
   LEFT JOIN larges ON larges.id = c.c_custkey LEFT JOIN act ON act.user_id = c.c_custkey
   LEFT JOIN firsts ON firsts.o_custkey = c.c_custkey
-  LEFT JOIN docs ON docs.c_custkey = c.c_custkey""")
+  LEFT JOIN docs ON docs.c_custkey = c.c_custkey
+  LEFT JOIN wx ON c.c_acctbal >= 0 AND wx.m = 'metro_' || (length(c.c_mktsegment) // 5)::varchar""")
 def assemble(t: Tables):
     wide = build_features(feature_tables(t), FEATURE_WIRING)
     return wide.withColumn("ref_ts", F.col("ref_ts").cast("string"))
