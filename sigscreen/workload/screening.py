@@ -398,7 +398,7 @@ def planted(t: Tables):
 
 
 def screen_sql() -> str:
-    """All statistics of the planted features, and the verdicts by the rules; ends in ``table_of``."""
+    """All statistics of the planted features, and the verdicts by the rules; ends in ``judged``."""
     nums, cats = list(NUMBERS), list(KINDS)
     return f"""WITH b AS MATERIALIZED (SELECT c_custkey AS id, r_name, since, {', '.join(f'({e})::double AS {c}' for c, e in NUMBERS.items())},
       {', '.join(f'{e} AS {c}' for c, e in KINDS.items())} FROM customer JOIN nation ON c_nationkey = n_nationkey
@@ -434,17 +434,26 @@ def screen_sql() -> str:
     facts AS (SELECT feature, mi, mi / h AS ratio, null_p95, best_auc, coverage, cv, CASE WHEN rho > 0.9 THEN redundant_with END AS twin
       FROM mis JOIN nulls USING (feature) JOIN there USING (feature) LEFT JOIN best USING (feature) LEFT JOIN cvs USING (feature)
       LEFT JOIN (SELECT * FROM rhos WHERE rk = 1) USING (feature), ent),
-    table_of AS (SELECT feature, CASE WHEN mi <= null_p95 THEN 'no signal over null' WHEN coverage < 0.2 THEN 'too sparse'
+    judged AS (SELECT *, {recommend_sql()} AS recommend FROM (SELECT *, {reason_sql('twin')} AS reason FROM facts))"""
+
+
+def reason_sql(twin: str) -> str:
+    """The first rule that applies, where no model is asked."""
+    return f"""CASE WHEN mi <= null_p95 THEN 'no signal over null' WHEN coverage < 0.2 THEN 'too sparse'
       WHEN best_auc > 0.97 THEN 'suspiciously strong — check leakage' WHEN ratio > 0.8 THEN 'explains most of the label — check leakage'
-      WHEN twin IS NOT NULL THEN 'redundant with ' || twin WHEN cv > 1 THEN 'unstable over time'
-      WHEN mi < null_p95 * 1.5 THEN 'weak incremental value' ELSE 'beats null, contributes in model' END AS reason, * EXCLUDE (feature) FROM facts),
-    judged AS (SELECT *, CASE WHEN reason IN ('no signal over null', 'too sparse') THEN 'drop' WHEN reason LIKE 'beats%' THEN 'keep'
-      ELSE 'investigate' END AS recommend FROM table_of)"""
+      WHEN {twin} IS NOT NULL THEN 'redundant with ' || {twin} WHEN cv > 1 THEN 'unstable over time'
+      WHEN mi < null_p95 * 1.5 THEN 'weak incremental value' ELSE 'beats null, contributes in model' END"""
+
+
+def recommend_sql() -> str:
+    return """CASE WHEN reason IN ('no signal over null', 'too sparse') THEN 'drop' WHEN reason LIKE 'beats%' THEN 'keep'
+      ELSE 'investigate' END"""
 
 
-def screened_planted(t: Tables):
+def screened_planted(t: Tables, exclude=()):
     rows = planted(t)
-    return screen(rows.drop("r_name"), rows.select("id", "r_name"), "id", "r_name", time_col="since", n_perm=PERMS, model=None, charts=False)
+    return screen(rows.drop("r_name"), rows.select("id", "r_name"), "id", "r_name", time_col="since", n_perm=PERMS, exclude=exclude,
+                  model=None, charts=False)
 
 
 @query("screen_verdicts", f"""{screen_sql()} SELECT feature, recommend, reason, {r6('mi', 'mi')}, {r6('ratio', 'mi_ratio')},
@@ -460,3 +469,17 @@ def screen_verdicts(t: Tables):
   count(*) FILTER (recommend = 'investigate') AS investigate, count(*) FILTER (recommend = 'drop') AS drop FROM judged""")
 def screen_counts(t: Tables):
     return screened_planted(t).summary
+
+
+@query("rescreen_verdicts", f"""{screen_sql()}, flags AS (SELECT feature FROM judged WHERE recommend = 'investigate'),
+  left_over AS (SELECT feature, redundant_with AS twin2, row_number() OVER (PARTITION BY feature ORDER BY round(rho, 12) DESC, redundant_with) AS rk2, rho
+    FROM rhos WHERE feature NOT IN (FROM flags) AND redundant_with NOT IN (FROM flags)),
+  again AS (SELECT feature, mi, {recommend_sql()} AS recommend FROM (SELECT facts.*, {reason_sql('twin2')} AS reason FROM facts
+    LEFT JOIN (SELECT feature, twin2 FROM left_over WHERE rk2 = 1 AND rho > 0.9) USING (feature)) WHERE feature NOT IN (FROM flags))
+  SELECT j.feature, j.recommend AS before, a.recommend AS after, {r6('j.mi', 'mi_before')}, {r6('a.mi', 'mi_after')}
+  FROM judged j LEFT JOIN again a USING (feature)""")
+def rescreen_verdicts(t: Tables):
+    """The loop closed on the planted features: what was flagged is cut, and the rest is judged again."""
+    first = screened_planted(t).verdicts
+    cut = [r["feature"] for r in first.where("recommend = 'investigate'").collect()]
+    return rescreen_diff(first, screened_planted(t, cut).verdicts)
