@@ -46,7 +46,8 @@ def slice_mi(df: DataFrame, id_col: str, label: str, ts: str, numeric: Sequence[
     if categorical:
         parts.append(mi_discrete(category_counts(cut, label, categorical, ["slice"]), ["slice"]))
     if numeric:
-        cells = impute_median(numeric_cells(cut, id_col, label, numeric, ["slice"]), ["slice"])
+        # split points, class sizes and both searches read the filled cells
+        cells = cut_lineage(impute_median(numeric_cells(cut, id_col, label, numeric, ["slice"]), ["slice"]))
         parts.append(mi_numeric(cells, ["slice"], parts=slices) if estimator == "knn"
                      else mi_discrete(binned_counts(cells, ["slice"]), ["slice"]))
     out = parts[0]
