@@ -22,7 +22,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigscreen.llm.components import components
@@ -143,10 +143,10 @@ def _comparable(placed: DataFrame, percent: int) -> DataFrame:
     """
     width = 1.001 * math.log(100 / percent) if percent < 100 else 1e-6
     banded = placed.withColumn("band", F.floor(F.ln("n") / F.lit(width)))
-    about = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
     here = banded.groupBy("hub", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("out").alias("out"))
-    open_bands = here.select("hub", about, "lo", "hi", "out").groupBy("hub", "band").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("out").alias("any")).where(F.col("any") & (F.col("lo") != F.col("hi")))
+    about = Window.partitionBy("hub").orderBy("band").rangeBetween(-1, 1)         # a hub has a row per band, some fifty at most
+    open_bands = here.select("hub", "band", F.min("lo").over(about).alias("lo"), F.max("hi").over(about).alias("hi"),
+                             F.max("out").over(about).alias("any")).where(F.col("any") & (F.col("lo") != F.col("hi")))
     return banded.join(open_bands.select("hub", "band"), ["hub", "band"], "left_semi").drop("band")
 
 
