@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sigscreen.functions.columns import as_col, xlogx
 from sigscreen.operators.joins import lookup_join
-from sigscreen.operators.ordering import value_positions
+from sigscreen.operators.ordering import hash_positions, value_positions
+from sigscreen.runtime import cut_lineage
 
 
 def category_counts(df: DataFrame, key: str, cat: str, weight: str | None = None) -> DataFrame:
@@ -113,13 +114,14 @@ def label_entropy(df: DataFrame, label: str) -> DataFrame:
 def confusion_matrix(df: DataFrame, label: str, predicted: str) -> DataFrame:
     """(label, predicted, n) for every pair of classes, zeros included.
 
-    The grid is class by class, and is built from the distinct labels.
+    The classes are numbered, and each meets the numbers of all, so no task holds the list of them.
     """
     counts = df.groupBy(label, predicted).agg(F.count(F.lit(1)).alias("n"))
-    classes = counts.select(F.explode(F.array(label, predicted)).alias("c")).where(
-        "c is not null").agg(F.array_sort(F.collect_set("c")).alias("all"))
-    grid = classes.select(F.explode("all").alias(label), "all").select(
-        label, F.explode("all").alias(predicted))
+    seen = counts.select(F.explode(F.array(label, predicted)).alias("c")).where("c is not null").distinct()
+    classes = cut_lineage(hash_positions(seen, ["c"], name="_i"))
+    upto = F.lit(classes.count()).cast("bigint")
+    grid = classes.select(F.col("c").alias(label), F.explode(F.sequence(F.lit(1).cast("bigint"), F.greatest(upto, F.lit(1)))).alias("_i")).join(
+        classes.select(F.col("c").alias(predicted), "_i"), "_i").drop("_i")
     return grid.join(counts, [label, predicted], "left").withColumn(
         "n", F.coalesce(F.col("n"), F.lit(0)).cast("bigint"))
 
