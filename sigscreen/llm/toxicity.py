@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigscreen.llm.corpus import beside, identified, remainder
@@ -27,7 +27,8 @@ WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0
 LEADS = (3, 4, 5, 6, 8)
 KINDS = len(LEADS) + 1
 BUCKETS = 1 << 18
-SAMPLE = 500               # training texts of either label
+SAMPLE = 500               # training texts of either label,
+SAMPLE_BYTES = 4 << 20     # and their bytes together; texts of over an eighth of it are not drawn
 PRIOR = -4.0               # log odds that a feature of a toxic text is a toxic one, before any count
 TIMES = 4                  # a feature counts so often in a text at most
 SEGMENT = 64               # words of a training sequence
@@ -261,8 +262,8 @@ def _fit(feats: np.ndarray, tags: np.ndarray, first: np.ndarray, weight: np.ndar
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """A field from the rows of (doc_id, text) whose label is known and that are not held out.
 
-    The field is fitted on at most ``sample`` texts of either label, chosen by the hash of their id, each of which stands
-    for as many as it was drawn from. The features of its toxic texts are counted over all rows. What reaches the driver is the
+    The field is fitted on at most ``sample`` texts and ``SAMPLE_BYTES`` bytes of either label, chosen by the hash of their id, each of
+    which stands for as many as it was drawn from. The features of its toxic texts are counted over all rows. What reaches the driver is the
     sample's hashed features and their counts. A doc_id with several labels counts as toxic if one says so.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 2)).groupBy(
@@ -270,9 +271,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     known = cut_lineage(known)
     texts = beside(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), known, "doc_id", "inner")
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.where("toxic = 1").orderBy(*by_hash).limit(sample).union(
-        known.where("toxic = 0").orderBy(*by_hash).limit(sample))
-    chosen = cut_lineage(chosen.select("doc_id", "toxic"))
+    sized = beside(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).alias("bytes")),
+                   known, "doc_id", "inner").groupBy("doc_id", "toxic").agg(F.sum("bytes").alias("bytes"))
+
+    def drawn_from(label: int) -> DataFrame:
+        first = sized.where((F.col("toxic") == label) & (F.col("bytes") <= SAMPLE_BYTES // 8)).orderBy(*by_hash).limit(sample)
+        upto = F.sum("bytes").over(Window.orderBy(*by_hash))               # over the few rows drawn
+        return first.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES)
+
+    chosen = cut_lineage(drawn_from(1).union(drawn_from(0)).select("doc_id", "toxic"))
     rows = beside(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), chosen, "doc_id", "inner")
 
     def run(batches):
