@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sigscreen.operators.joins import HOT_SHARE, lookup_join
+from sigscreen.runtime import cut_lineage
+
 SMALL_ROWS, SMALL_BYTES = 200_000, 16_000_000     # a table within both bounds is broadcast
 LAST = 2**63 - 1
 
@@ -63,6 +66,14 @@ def beside(big: DataFrame, lookup: DataFrame, key: str | list[str], how: str = "
     return big.join(F.broadcast(lookup) if is_small(lookup) else lookup, key, how)
 
 
+def among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key stands in ``wanted`` (key, n), n being their number; rows of a key with a large share are spread by a salt."""
+    wanted = cut_lineage(wanted)
+    floor = max((wanted.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE, 1000)
+    hot = [r[key] for r in wanted.where(F.col("n") > floor).select(key).collect()]        # never more than 1 / HOT_SHARE
+    return lookup_join(rows, wanted.select(key), key, "inner", hot)
+
+
 def remainder(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 4: rows with 2 are held out."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigscreen.llm.corpus import beside, identified
+from sigscreen.llm.corpus import among, beside, identified
 from sigscreen.llm.texts import BASES, SYMBOLS, U, Poly, anchors, chunks, find_words, merged, mix, powers, signed
 from sigscreen.runtime import cut_lineage
 
@@ -277,8 +277,8 @@ def repeated_bytes(docs: DataFrame, length: int = 400, enough: tuple[int, int] |
     """
     docs = identified(docs)
     found = _anchor_rows(docs, length)
-    often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    near = cut_lineage(found.join(often, "gram").groupBy("did", "fp").agg(
+    often = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    near = cut_lineage(among(found, often, "gram").groupBy("did", "fp").agg(
         F.collect_set(F.struct("at", "lo", "hi")).alias("ats")))
     suffixes = cut_lineage(_suffix_rows(docs.join(near, ["did", "fp"]), length))
     distinct = suffixes.groupBy("id").agg(
