@@ -1,9 +1,9 @@
 """Repeated passages by Rabin-Karp hashes of every fixed-length window of words.
 
-Every window is hashed, but windows that stand once need not travel. First the anchors of the
-quarter-length windows are counted in Spark: the anchor of a window is the one inside it with the
+Every quarter-length window is hashed, and of the full ones those that may stand twice. First the anchors of the
+windows are counted in Spark: the anchor of a window is the quarter-length one inside it with the
 least hash, so equal windows have equal anchors, and neighbors share theirs. Only runs of windows
-whose anchor several documents share go on. Equal runs are kept once, their windows
+whose anchor several documents share go on, and their windows are told apart by 96 bits of two hashes. Equal runs are kept once, their windows
 are counted with the least document of each, and every copy of a run is told the outcome.
 """
 
@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigscreen.llm.corpus import identified
-from sigscreen.llm.texts import Poly, anchors, chunks, find_words, signed, word_hashes
+from sigscreen.llm.corpus import among, identified
+from sigscreen.llm.texts import Poly, U, anchors, chunks, find_words, signed, word_hashes
 from sigscreen.runtime import cut_lineage
 
 
@@ -53,9 +53,9 @@ def _anchor_rows(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _run_rows(docs: DataFrame, size: int) -> DataFrame:
-    """(did, fp, first, n, whole, hashes): the windows of each run that ``docs`` lists in ``runs``.
+    """(did, fp, first, n, whole, hashes, checks): the windows of each run that ``docs`` lists in ``runs``.
 
-    hashes has one per window; whole is the hash of all words of the run, so runs with the same whole, n and first hash are equal.
+    hashes and checks, half as long and by another base, have one per window; whole is the hash of all words of the run, so runs with the same whole, n and first hash are equal.
     """
     part_size = _gram(size)
 
@@ -76,15 +76,17 @@ def _run_rows(docs: DataFrame, size: int) -> DataFrame:
                 ends = np.cumsum(n)
                 start = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(first, n)
                 hashes = signed(other.runs(start, start + size))
+                checks = (poly.runs(start, start + size) & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                places = pa.array(np.append(0, ends).astype(np.int32))
                 rows = [batch.column(j).slice(part.lo, part.hi - part.lo).take(pa.array(row)) for j in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
                     [*rows, pa.array((first - base).astype(np.int32)), pa.array(n.astype(np.int32)),
                      pa.array(signed(poly.runs(first, last + size))),
-                     pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(hashes))],
-                    ["did", "fp", "first", "n", "whole", "hashes"])
+                     pa.ListArray.from_arrays(places, pa.array(hashes)), pa.ListArray.from_arrays(places, pa.array(checks))],
+                    ["did", "fp", "first", "n", "whole", "hashes", "checks"])
 
     return docs.select("did", "fp", "text", "runs").mapInArrow(
-        run, "did long, fp long, first int, n int, whole long, hashes array<long>")
+        run, "did long, fp long, first int, n int, whole long, hashes array<long>, checks array<int>")
 
 
 def _cut(docs: DataFrame, size: int) -> DataFrame:
@@ -129,17 +131,18 @@ def repeated_windows(docs: DataFrame, size: int = 50) -> DataFrame:
     """
     docs = identified(docs)
     found = _anchor_rows(docs, size)
-    shared = found.groupBy("gram").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi")
-    near = cut_lineage(found.join(shared.select("gram"), "gram", "left_semi").groupBy("did", "fp").agg(
+    shared = found.groupBy("gram").agg(F.min("did").alias("lo"), F.max("did").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    near = cut_lineage(among(found, shared.select("gram", "n"), "gram").groupBy("did", "fp").agg(
         F.collect_set("run").alias("runs")))
     runs = cut_lineage(_run_rows(docs.join(near, ["did", "fp"]), size))
     # equal runs once, with the least document that has them
     same = ["whole", "n", "h0"]
     runs = runs.withColumn("h0", F.get("hashes", F.lit(0)))
-    distinct = cut_lineage(runs.groupBy(*same).agg(F.min("did").alias("did"), F.first("hashes").alias("hashes")))
-    windows = distinct.select(*same, "did", F.posexplode("hashes").alias("at", "h"))
-    first = windows.groupBy("h").agg(F.min("did").alias("least"))
-    leasts = cut_lineage(windows.select(*same, "at", "h").join(first, "h").groupBy(*same).agg(
+    distinct = cut_lineage(runs.groupBy(*same).agg(F.min("did").alias("did"), F.min(F.struct("hashes", "checks")).alias("marks")))
+    windows = distinct.select(*same, "did", F.posexplode(F.arrays_zip("marks.hashes", "marks.checks")).alias("at", "mark")).select(
+        *same, "did", "at", F.col("mark.hashes").alias("h"), F.col("mark.checks").alias("check"))
+    first = windows.groupBy("h", "check").agg(F.min("did").alias("least"))
+    leasts = cut_lineage(windows.drop("did").join(first, ["h", "check"]).groupBy(*same).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("at", "least"))), lambda x: x["least"]).alias("leasts")))
     flagged = runs.select("did", "fp", "first", *same).join(leasts, same).select(
         "did", "fp", F.col("first"), F.posexplode("leasts").alias("at", "least")).where("did > least").groupBy("did", "fp").agg(
