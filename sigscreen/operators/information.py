@@ -15,13 +15,14 @@ from pyspark.sql import types as T
 
 from sigscreen.functions.columns import digamma, hash_text, to_number, unit_interval, xlogx
 from sigscreen.operators.joins import SMALL_BYTES, lookup_join
+from sigscreen.operators.nearest import near_counts
 from sigscreen.operators.ordering import (
-    HASH_DIGITS, ROWS_PER_BUCKET, Splits, exact_quantiles, hash_positions, running_totals, running_weights, value_positions)
+    HASH_DIGITS, ROWS_PER_BUCKET, Splits, exact_quantiles, hash_positions, running_totals)
 from sigscreen.runtime import cut_lineage
 
 NUMERIC_ABOVE = 10     # a numeric column with more distinct values is continuous
 NEIGHBORS = 3          # the usual k of the nearest-neighbor estimate
-BLOCK = 100_000        # rows per window block in the nearest-neighbor search
+BLOCK = 100_000        # not read any more: blocks are the buckets of ``Splits``; callers may still set it
 
 
 # ---- typing and encoding ------------------------------------------------------
@@ -176,59 +177,44 @@ def mi_numeric(cells: DataFrame, groups: Sequence[str] = (), k: int = NEIGHBORS,
     included; MI = psi(N) + <psi(k)> - <psi(N_y)> - <psi(m)>. A class with a single row
     is left out, and k is at most the class size less one.
 
-    ``cells`` has no missing x; ``parts`` is the number of groups, when they are about
-    equally large. Both searches are windows over bounded blocks.
+    Missing x are left out; ``parts`` is the number of groups, when they are about equally large.
     """
-    groups = list(groups)
     keys = [*groups, "feature"]
-    points = _jittered(cells, groups).select(*keys, "id", "y", "x")
+    cells = cells.where("x is not null")
+    points = _jittered(cells, groups)
     # The noise has spread any heavy value, so split points fall inside it too.
     splits = Splits(points, ["feature"], "x", parts)
-    sizes = points.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("ny")).where("ny > 1")
+    sizes = cut_lineage(cells.groupBy(*keys, "y").agg(F.count(F.lit(1)).alias("ny")).where("ny > 1"))
+    codes = running_totals(sizes.where("y is not null").withColumn("_one", F.lit(1)), keys, "y", "_one", "_code").select(*keys, "y", "_code")
     # One row per feature, group and class; Spark weighs it and picks the join.
-    points = points.join(sizes, [*keys, "y"])
-
-    if splits.table is None:     # every feature fits one bucket
-        near = points.withColumns({"_block": F.lit(0), "_own": F.lit(True), "_o": F.col("x")})
+    points = points.join(codes, [*keys, "y"]).withColumn("ys", F.array(F.col("_code").cast("int")))
+    # rows of a repeated id are added up
+    again = cut_lineage(cells.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    if again.isEmpty():
+        points = points.withColumn("u", F.lit(0).cast("bigint"))
     else:
-        placed = value_positions(points, "x", ["id"], [*keys, "y"], splits, "_o")
-        block = F.floor((F.col("_o") - 1) / BLOCK).cast("int")
-        inside = ((F.col("_o") - 1) % BLOCK).cast("int")
-        # The first and last k rows of a block are also seen by its neighbor. All blocks
-        # but the last are full, so k rows always reach far enough.
-        seen = F.filter(F.array(
-            F.struct(block.alias("b"), F.lit(True).alias("own")),
-            F.struct(F.when(inside < k, block - 1).alias("b"), F.lit(False).alias("own")),
-            F.struct(F.when(inside >= BLOCK - k, block + 1).alias("b"), F.lit(False).alias("own")),
-        ), lambda s: s["b"].isNotNull())
-        near = placed.withColumn("_s", F.explode(seen)).withColumns(
-            {"_block": F.col("_s.b"), "_own": F.col("_s.own")}).drop("_s")
-    order = W.partitionBy(*keys, "y", "_block").orderBy("_o", "id")
-    gaps = [F.col("x") - F.lag("x", i).over(order) for i in range(1, k + 1)]
-    gaps += [F.lead("x", i).over(order) - F.col("x") for i in range(1, k + 1)]
-    kk = F.least(F.lit(k), F.col("ny") - 1).cast("int")
-    ranked = near.select("*", *[g.alias(f"_g{i}") for i, g in enumerate(gaps)]).where("_own")
-    sorted_gaps = F.array_sort(F.array_compact(F.array(*[f"_g{i}" for i in range(2 * k)])))
-    # A little less than the k-th distance, so that rounding cannot pull that row in.
-    rows = ranked.select(*keys, "id", "y", "x", "ny", kk.alias("kk"),
-                         (F.element_at(sorted_gaps, kk) * (1 - 1e-10)).alias("r"))
+        again = again.select(F.struct(*keys, "id").alias("_key"), F.xxhash64("id").alias("_u"))
+        points = points.join(again, F.struct(*keys, "id").eqNullSafe(F.col("_key")), "left").withColumn("u", F.coalesce("_u", F.lit(0)))
+    unnamed = sizes.where("y is null").select(*keys, F.lit(1).alias("_k"), "ny")
+    return _estimate(points, keys, splits, 1, k, unnamed).drop("_k")
+
+
+def _estimate(points: DataFrame, keys: Sequence[str], splits: Splits, labelings: int, k: int,
+              unnamed: DataFrame | None = None) -> DataFrame:
+    """(keys..., _k, mi) from points with class codes by labeling.
 
+    ``unnamed`` is (keys..., _k, ny): rows without a class, which count as one among the class sizes but are no one's neighbors.
+    """
+    counts, sizes = near_counts(points, keys, splits, labelings, k)
+    keys = [*keys, "_k"]
+    sizes = sizes.drop("c")
+    if unnamed is not None:
+        sizes = sizes.unionByName(unnamed)
     totals = sizes.groupBy(*keys).agg(
         F.sum("ny").alias("N"),
         (F.sum(F.col("ny") * digamma("ny")) / F.sum("ny")).alias("psi_y"),
-        (F.sum(F.col("ny") * digamma(f"least({k}, ny - 1)")) / F.sum("ny")
-         ).alias("psi_k"))
-
-    marks = F.explode(F.array(
-        F.struct((F.col("x") - F.col("r")).alias("v"), F.lit(0).alias("kind")),
-        F.struct(F.col("x").alias("v"), F.lit(1).alias("kind")),
-        F.struct((F.col("x") + F.col("r")).alias("v"), F.lit(2).alias("kind"))))
-    events = rows.select(*keys, "id", marks.alias("_m")).select(
-        *keys, "id", "_m.v", "_m.kind").withColumn("w", (F.col("kind") == 1).cast("bigint"))
-    counted = running_weights(events, "v", "w", keys, splits, "before", then=["kind"])
-    inside = counted.where("kind <> 1").groupBy(*keys, "id").agg(
-        F.sum(F.when(F.col("kind") == 2, F.col("before")).otherwise(-F.col("before"))).alias("m"))
-    found = inside.groupBy(*keys).agg(F.avg(digamma("greatest(m, 1)")).alias("psi_m"))
+        (F.sum(F.col("ny") * digamma(f"least({k}, ny - 1)")) / F.sum("ny")).alias("psi_k"))
+    found = counts.groupBy(*keys).agg((F.sum(F.col("n") * digamma("greatest(m, 1)")) / F.sum("n")).alias("psi_m"))
     mi = digamma("N") + F.col("psi_k") - F.col("psi_y") - F.col("psi_m")
     return found.join(totals, keys).select(*keys, F.greatest(mi, F.lit(0.0)).alias("mi"))
 
@@ -304,6 +290,31 @@ def permuted_labels(df: DataFrame, id_col: str, label: str, perms: int, seed: in
     return out.select(*keep, "k", found.alias(label))
 
 
+def _permuted_numeric(df: DataFrame, shuffled: DataFrame, id_col: str, label: str, numeric: Sequence[str],
+                      perms: int, k: int = NEIGHBORS) -> DataFrame:
+    """(k, feature, mi) of numbers under all label shuffles at once: a row keeps its numbers and takes a list of class codes."""
+    labels = shuffled.select(F.col(id_col).alias("_id"), "k", F.col(label).cast("string").alias("y"))
+    sizes = labels.where("y is not null").groupBy("k", "y").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    codes = running_totals(sizes.withColumn("_one", F.lit(1)), ["k"], "y", "_one", "_code").select("k", "y", "_code")
+    # A repeated id gets the same labels in all of its rows. A class of one row is left out.
+    coded = F.struct("k", F.coalesce(F.col("_code"), F.lit(-1)).cast("int").alias("c"))
+    lists = labels.join(codes, ["k", "y"], "left").groupBy("_id").agg(
+        F.array_sort(F.collect_set(coded)).alias("_l"), F.count(F.lit(1)).alias("_n"))
+    names = [f"_x{i}" for i in range(len(numeric))]
+    wide = df.select(F.col(id_col).alias("id"), *[to_number(c).alias(n) for n, c in zip(names, numeric)])
+    wide = cut_lineage(wide.join(lists, F.col("id").eqNullSafe(F.col("_id"))).select(
+        "id", *names, F.transform("_l", lambda s: s["c"]).alias("ys"),
+        F.when(F.col("_n") > perms, F.xxhash64("id")).otherwise(0).alias("u")))
+    points = _jittered(wide.select("id", "ys", "u", _stacked(names, numeric)).where("x is not null"), [])
+    unnamed = None
+    if not df.where(F.col(label).isNull()).isEmpty():
+        each = F.explode(F.array(*[F.lit(c) for c in numeric])).alias("feature")
+        unnamed = labels.where("y is null").groupBy(F.col("k").alias("_k")).agg(F.count(F.lit(1)).alias("ny")).where("ny > 1")
+        unnamed = unnamed.select(each, "_k", "ny")
+    mi = _estimate(points, ["feature"], Splits(points, ["feature"], "x"), perms, k, unnamed)
+    return mi.select(F.col("_k").alias("k"), "feature", "mi")
+
+
 def permutation_mi(df: DataFrame, id_col: str, label: str, numeric: Sequence[str],
                    categorical: Sequence[str], perms: int, seed: int = 0,
                    estimator: str = "knn") -> DataFrame:
@@ -314,10 +325,10 @@ def permutation_mi(df: DataFrame, id_col: str, label: str, numeric: Sequence[str
     if categorical:
         parts.append(mi_discrete(category_counts(shuffled, label, categorical, ["k"]), ["k"]))
     if numeric:
-        cells = numeric_cells(shuffled, id_col, label, numeric, ["k"])
         if estimator == "knn":
-            parts.append(mi_numeric(cells, ["k"], parts=perms))
+            parts.append(_permuted_numeric(df, shuffled, id_col, label, numeric, perms))
         else:
+            cells = numeric_cells(shuffled, id_col, label, numeric, ["k"])
             edges = cut_lineage(bin_edges(numeric_cells(df, id_col, label, numeric)))
             parts.append(mi_discrete(binned_counts(cells, ["k"], edges=edges), ["k"]))
     out = parts[0]
