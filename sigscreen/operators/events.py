@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from sigscreen.functions.columns import days_between, norm_category, xlogx
 from sigscreen.operators.counts import category_counts, summarise_counts
-from sigscreen.operators.joins import lookup_join
-from sigscreen.runtime import cut_lineage
+from sigscreen.operators.joins import hot_keys, is_small, lookup_join
 
 
 def fact_dim_join(fact: DataFrame, dim: DataFrame, key: str, cols: Sequence[str],
@@ -27,17 +26,27 @@ def fact_dim_join(fact: DataFrame, dim: DataFrame, key: str, cols: Sequence[str]
 def modal_place(fact: DataFrame, dim: DataFrame, entity: str, key: str, place: str,
                 top: str, frac: str | None = None, entropy: str | None = None,
                 hot: list | None = None) -> DataFrame:
-    """Most frequent place of each entity, its share and entropy.
-
-    Visits are counted by (entity, key) first, so the join sees each pair once.
-    """
-    visits = category_counts(fact, entity, key)
-    placed = lookup_join(visits, dim.select(key, place), key, "inner", hot)
+    """Most frequent place of each entity, its share and entropy."""
+    placed = _visited(fact, dim.select(key, place), entity, key, hot)
     counts = placed.where(F.col(place).isNotNull()).groupBy(entity, place).agg(
         F.sum("n").alias("n"))
     return summarise_counts(counts, entity, place, top, frac, entropy)
 
 
+def _visited(fact: DataFrame, dim: DataFrame, entity: str, key: str, hot: list | None = None) -> DataFrame:
+    """(key, entity, n) of the visits with the columns of a dimension that is unique on ``key``.
+
+    A small dimension is sent to the visits as they are; otherwise they are counted by (entity, key) first, so the join sees each pair
+    once. Hot keys come from the visits as they are: counting them would cost all that the join needs, and counts only shrink a key.
+    """
+    if hot is None:
+        if is_small(dim):
+            known = fact.where(F.col(key).isNotNull()).select(key, entity, F.lit(1).cast("bigint").alias("n"))
+            return known.join(F.broadcast(dim), key)
+        hot = hot_keys(fact, key)
+    return lookup_join(category_counts(fact, entity, key), dim, key, "inner", hot)
+
+
 def modal_merchant(fact: DataFrame, dim: DataFrame, entity: str, key: str, place: str,
                    pattern: str, prefix: str = "city_", width: int = 2,
                    top: str = "merch_modal_city", frac: str = "merch_top_frac",
@@ -49,14 +58,17 @@ def modal_merchant(fact: DataFrame, dim: DataFrame, entity: str, key: str, place
 
 def merchant_blocks(fact: DataFrame, dim: DataFrame, entity: str, key: str, place: str, flag: str, pattern: str, prefix: str = "city_",
                     width: int = 2, hot: list | None = None) -> list[DataFrame]:
-    """``modal_merchant`` and the share of visits whose merchant has the flag, from one count of visits and one join."""
+    """``modal_merchant`` and the share of visits whose merchant has the flag, from one count of visits, one join and one row per place."""
     clean = dim.select(key, norm_category(place, pattern, prefix, width).alias("_place"), F.col(flag).alias("_flag"))
-    placed = cut_lineage(lookup_join(category_counts(fact, entity, key), clean, key, "inner", hot).groupBy(entity, "_place", "_flag").agg(
-        F.sum("n").alias("n")))
-    named = placed.where("_place is not null").groupBy(entity, "_place").agg(F.sum("n").alias("n"))
-    share = F.sum(F.when(F.col("_flag"), F.col("n")).otherwise(0)) / F.sum("n")
-    return [summarise_counts(named, entity, "_place", "merch_modal_city", "merch_top_frac"),
-            placed.where("_flag is not null").groupBy(entity).agg(share.alias("merch_online_frac"))]
+    n = F.col("n")
+    placed = _visited(fact, clean, entity, key, hot).groupBy(entity, "_place").agg(
+        F.sum(n).alias("n"), F.sum(F.when(F.col("_flag"), n)).alias("_yes"), F.sum(F.when(F.col("_flag").isNotNull(), n)).alias("_known"))
+    # Visits without a place still count for the flag.
+    named = F.when(F.col("_place").isNotNull(), n)
+    return [placed.groupBy(entity).agg(
+        F.min_by("_place", F.when(named.isNotNull(), F.struct(-n, F.col("_place")))).alias("merch_modal_city"),
+        F.try_divide(F.max(named), F.sum(named)).alias("merch_top_frac"),
+        F.try_divide(F.coalesce(F.sum("_yes"), F.lit(0)), F.sum("_known")).alias("merch_online_frac"))]
 
 
 def bool_share(df: DataFrame, key: str, flag: str, name: str) -> DataFrame:

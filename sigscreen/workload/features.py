@@ -8,6 +8,7 @@ from sigscreen.operators import events as E
 from sigscreen.operators import graph as G
 from sigscreen.operators import text as X
 from sigscreen.plans.build_features import Wiring, build_features, label_joined_weather
+from sigscreen.runtime import cut_lineage
 from sigscreen.workload import data as D
 from sigscreen.workload.registry import Tables, modal_sql, query, r6
 
@@ -288,9 +289,10 @@ def feature_tables(t: Tables) -> dict:
         F.concat(F.lit("City "), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias(
             "raw_city_text"),
         F.col("c_mktsegment").alias("device"), F.col("c_name").alias("declared_language"))
-    shipped = D.shipments(t).select(F.col("id").alias("person_id"),
-                                    F.col("l_suppkey").alias("tower_id"),
-                                    F.col("l_partkey").alias("merchant_id"))
+    # Read by two blocks, so the joined rows are written once.
+    shipped = cut_lineage(D.shipments(t).select(F.col("id").alias("person_id"),
+                                                F.col("l_suppkey").alias("tower_id"),
+                                                F.col("l_partkey").alias("merchant_id")))
     # a number in the label names its region
     known = D.known_segments(t).where("label is not null").select(
         F.col("id").alias("person_id"), F.concat("label", F.lit("_"), F.length("label").cast("string")).alias("home_city"))

@@ -259,3 +259,29 @@ def test_stratified_sample_keeps_rare_classes(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") < 5, "rare").otherwise("common").alias("y"))
     got = clean.stratified_sample(df, "id", "y", 100).groupBy("y").count().collect()
     assert {r["y"]: r["count"] for r in got} == {"rare": 5, "common": 50}
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_visits_without_place_or_flag(spark, monkeypatch, small):
+    """Places, shares and flags with missing visits, places and flags, with a lookup that is sent and one that is joined."""
+    if not small:
+        monkeypatch.setattr(joins, "SMALL_ROWS", 0)
+    fact = spark.createDataFrame(
+        [(1, 10), (1, 10), (1, 20), (1, 30), (2, 30), (2, 40), (3, 20), (3, 99), (3, None), (4, 40), (None, 10), (5, 10), (5, 20)],
+        "e long, k long")
+    dim = spark.createDataFrame(
+        [(10, "City 1", True), (20, "city_2", False), (30, "none", True), (40, None, None)], "k long, p string, f boolean")
+    (block,) = events.merchant_blocks(fact, dim, "e", "k", "p", "f", r"city[ _]?(\d+)")
+    got = {r[0]: tuple(r)[1:] for r in block.collect()}
+    assert got == {1: ("city_01", 2 / 3, 3 / 4), 2: (None, None, 1.0), 3: ("city_02", 1.0, 0.0), 4: (None, None, None),
+                   None: ("city_01", 1.0, 1.0), 5: ("city_01", 0.5, 0.5)}
+    got = {r[0]: tuple(r)[1:] for r in events.modal_place(fact, dim, "e", "k", "p", "top", "frac").collect()}
+    assert got == {1: ("City 1", 0.5), 2: ("none", 1.0), 3: ("city_2", 1.0), None: ("City 1", 1.0), 5: ("City 1", 0.5)}
+
+
+def test_visits_meet_a_small_lookup_before_any_shuffle(spark, capsys):
+    fact = spark.range(1000).selectExpr("id % 7 AS e", "id % 11 AS k")
+    dim = spark.range(11).selectExpr("id AS k", "'City ' || id AS p", "id > 5 AS f")
+    for df in (events.modal_place(fact, dim, "e", "k", "p", "top"), *events.merchant_blocks(fact, dim, "e", "k", "p", "f", r"City (\d+)")):
+        df.explain()
+        assert capsys.readouterr().out.count("Exchange hashpartitioning") == 2      # by (entity, place) and by entity
