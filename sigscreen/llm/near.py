@@ -34,6 +34,8 @@ K = 48                 # values kept in a sketch
 T = 21                 # values that two sketches of similar sets share at least
 WHOLE = 38             # up to this size all similar sets fit into their sketches
 BLOCK = 128            # rows on either side of a block
+BITS = 1 << 25         # of the map of wanted texts, 4 MB
+PAGE = 1 << 15         # bits in one bitmap of Spark's
 
 
 def shingle_sets(part, size: int):
@@ -94,9 +96,9 @@ def _rare_entries(classes: DataFrame) -> DataFrame:
     shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     mine = entries.join(shared, "value").groupBy("c").agg(
         F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
-    room = F.size("sketch") - _enough("n", "sketch") + 1            # the prefix of the sketch
-    left = room - (F.size("sketch") - F.size("values"))             # after its lone values
-    return mine.join(classes.select("c", "n", "sketch"), "c").where(left > 0).select(
+    room = F.col("k") - _enough("n", "sketch") + 1                  # the prefix of the sketch
+    left = room - (F.col("k") - F.size("values"))                   # after its lone values
+    return mine.join(classes.select("c", "n", F.size("sketch").alias("k")), "c").where(left > 0).select(
         "c", "n", F.explode(F.slice("values", F.lit(1), left)).alias("x")).select(
         F.col("x.value").alias("value"), "c", "n")
 
@@ -116,10 +118,25 @@ def _close(k: int = K):
     return ((F.least("na", "nb") * 10 >= F.greatest("na", "nb") * 8) & (shared >= least))
 
 
+def _maybe_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The docs whose (did, fp) may be among the wanted ones: all that are, and few others.
+
+    A wanted key sets one bit of a map of ``BITS`` bits, which every executor gets; more keys let more others through, the map
+    stays as it is. So texts that nobody wants are not shuffled.
+    """
+    at = F.pmod(F.xxhash64("did", "fp"), F.lit(BITS))
+    page, bit = F.floor(at / PAGE), at % PAGE
+    pages = wanted.groupBy(page.alias("_page")).agg(F.bitmap_construct_agg(bit).alias("_map"))
+    held = F.conv(F.hex(F.substring("_map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    kept = docs.withColumn("_page", page).join(F.broadcast(pages), "_page")
+    return kept.where(F.getbit(held, (bit % 8).cast("int")) == 1).select(*docs.columns)
+
+
 def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(c, sketch) with the full sets of the classes that ``wanted`` lists, read from their texts."""
     wanted = cut_lineage(classes.join(wanted, "c").select("c", "did", "fp"))
-    texts = docs.join(wanted.drop("c").hint("merge"), ["did", "fp"])     # one plan, however few are wanted
+    keys = wanted.drop("c")
+    texts = _maybe_wanted(docs, keys).join(keys.hint("merge"), ["did", "fp"])     # one plan, however few are wanted
     # equal rows may repeat a text
     sets = sketches(texts, size, whole=True).join(wanted, ["did", "fp"]).dropDuplicates(["c"])
     return cut_lineage(sets.select("c", "sketch"))
