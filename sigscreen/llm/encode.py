@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigscreen.llm.texts import chunks
+from sigscreen.llm.texts import chunks, giving_back
 from sigscreen.llm.tokenizer import Tokenizer, cached, read_file
 
 KNOWN = 96 << 20           # bytes of words that a task remembers, their tables counted in; past this it starts anew
@@ -189,7 +189,7 @@ def encode(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
         finally:
             enc.forget()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(giving_back(run), schema)
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:

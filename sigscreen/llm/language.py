@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigscreen.llm.corpus import beside, identified, remainder
-from sigscreen.llm.texts import LOWER, Chunk, chunks
+from sigscreen.llm.texts import LOWER, Chunk, chunks, giving_back
 from sigscreen.runtime import cut_lineage
 
 BUCKETS = 1 << 15
@@ -112,7 +112,7 @@ def _bags(docs: DataFrame) -> DataFrame:
                     ["lang", "fit", "buckets", "weights"])
 
     return docs.select("lang", "fit", "text").mapInArrow(
-        run, "lang string, fit boolean, buckets array<int>, weights array<float>")
+        giving_back(run), "lang string, fit boolean, buckets array<int>, weights array<float>")
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 12, rate: float = 20.0, seed: int = 7) -> Model:
@@ -195,7 +195,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                     [*(batch.column(j).slice(lo, hi - lo) for j in range(3)), pa.array(pred, pa.string()), pa.array(score)], names)
 
     out = identified(docs).select("doc_id", "did", "fp", "text").mapInArrow(
-        run, "doc_id long, did long, fp long, lang_pred string, score double")
+        giving_back(run), "doc_id long, did long, fp long, lang_pred string, score double")
     return out.select("doc_id", "did", "fp", (remainder() == 2).alias("held_out"), "lang_pred", "score",
                       ((F.col("lang_pred") == "und") | (F.col("score") < model.least)).alias("rejected"))
 
@@ -214,4 +214,4 @@ def recognized(docs: DataFrame, model: Model) -> DataFrame:
             for lo, hi, pred, score in _told(m, pc.cast(batch.column(at), pa.string())):
                 yield batch.slice(lo, hi - lo).filter(pa.array((pred != "und") & (score >= m.least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
