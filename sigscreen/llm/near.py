@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sigscreen.llm.components import components
 from sigscreen.llm.corpus import LAST, by_key, identified
-from sigscreen.llm.texts import SPACED, U, Poly, chunks, find_words, word_hashes
+from sigscreen.llm.texts import SPACED, U, Poly, chunks, find_words, giving_back, word_hashes
 from sigscreen.runtime import cut_lineage
 
 K = 48                 # values kept in a sketch
@@ -59,11 +59,12 @@ def _digest(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-def sketches(docs: DataFrame, size: int, k: int = K, whole: bool = False) -> DataFrame:
-    """doc_id, did, fp, n_shingles, digest and sketch (or the whole set) of each text."""
+def sketches(docs: DataFrame, size: int, k: int = K, whole: bool = False,
+             keys: tuple[str, ...] = ("doc_id", "did", "fp")) -> DataFrame:
+    """The ``keys``, which are longs, n_shingles, digest and sketch (or the whole set) of each text."""
     def run(batches):
         for batch in batches:
-            for part in chunks(batch.column(3)):
+            for part in chunks(batch.column(len(keys))):
                 n, digest, kept = [], [], []
                 for s in shingle_sets(part, size):
                     n.append(len(s))
@@ -71,14 +72,14 @@ def sketches(docs: DataFrame, size: int, k: int = K, whole: bool = False) -> Dat
                     kept.append(s if whole else s[:k])
                 ends = np.append(0, np.cumsum([len(s) for s in kept])).astype(np.int32)
                 flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-                rows = [batch.column(j).slice(part.lo, part.hi - part.lo) for j in range(3)]
+                rows = [batch.column(j).slice(part.lo, part.hi - part.lo) for j in range(len(keys))]
                 yield pa.RecordBatch.from_arrays(
                     [*rows, pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    ["doc_id", "did", "fp", "n_shingles", "digest", "sketch"])
+                    [*keys, "n_shingles", "digest", "sketch"])
 
-    return docs.select("doc_id", "did", "fp", "text").mapInArrow(
-        run, "doc_id long, did long, fp long, n_shingles long, digest binary, sketch array<long>")
+    return docs.select(*keys, "text").mapInArrow(
+        giving_back(run), ", ".join(f"{c} long" for c in keys) + ", n_shingles long, digest binary, sketch array<long>")
 
 
 def _enough(n: str, sketch: str):
@@ -94,7 +95,8 @@ def _rare_entries(classes: DataFrame) -> DataFrame:
     """
     entries = classes.select("c", F.explode("sketch").alias("value"))
     shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    mine = entries.join(shared, "value").groupBy("c").agg(
+    # dealt by class as plain rows; summed up before the shuffle, each would travel as a list of one
+    mine = entries.join(shared, "value").select("c", "df", "value").repartition("c").groupBy("c").agg(
         F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
     room = F.col("k") - _enough("n", "sketch") + 1                  # the prefix of the sketch
     left = room - (F.col("k") - F.size("values"))                   # after its lone values
@@ -133,13 +135,13 @@ def _maybe_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(c, sketch) with the full sets of the classes that ``wanted`` lists, read from their texts."""
+    """(c, sketch) with the full sets of the classes that ``wanted`` lists, read from their texts.
+
+    A text meets its class, and equal rows each other, before it becomes a set, so no set is shuffled here.
+    """
     wanted = cut_lineage(classes.join(wanted, "c").select("c", "did", "fp"))
-    keys = wanted.drop("c")
-    texts = _maybe_wanted(docs, keys).join(keys.hint("merge"), ["did", "fp"])     # one plan, however few are wanted
-    # equal rows may repeat a text
-    sets = sketches(texts, size, whole=True).join(wanted, ["did", "fp"]).dropDuplicates(["c"])
-    return cut_lineage(sets.select("c", "sketch"))
+    texts = _maybe_wanted(docs, wanted.drop("c")).join(wanted.hint("merge"), ["did", "fp"])     # one plan, however few are wanted
+    return cut_lineage(sketches(texts.dropDuplicates(["did", "fp"]), size, whole=True, keys=("c",)).select("c", "sketch"))
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -167,15 +169,15 @@ def _comparable(placed: DataFrame, percent: int) -> DataFrame:
     return banded.join(open_bands.select("hub", "band"), ["hub", "band"], "left_semi").drop("band")
 
 
-def _blocks(rows: DataFrame, step, schema: str) -> DataFrame:
-    """Run ``step`` on every block of rows (hub, c, n, comp, out, of): the out ones against all.
+def _blocks(rows: DataFrame, values: DataFrame, step, schema: str) -> DataFrame:
+    """Run ``step`` on every block of rows (hub, c, n, comp, out, of): the out ones against all. ``values`` has the of of each c.
 
     The rows of a hub are dealt into blocks by their class, so no task step holds more than one block. Where
     one block holds them all, each is sent once.
     """
     sizes = rows.groupBy("hub").agg(F.ceil(F.count_if("out") / BLOCK).alias("oi"),
                                     F.ceil(F.count(F.lit(1)) / BLOCK).alias("mj")).where("oi > 0")
-    dealt = rows.join(cut_lineage(sizes), "hub").withColumn("x", F.xxhash64("c"))
+    dealt = rows.join(cut_lineage(sizes), "hub").join(values, "c").withColumn("x", F.xxhash64("c"))     # the long column comes last
     row = ["hub", "c", "n", "comp", "out", "of"]
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     members = dealt.select(*row, F.lit(False).alias("asks"), upto("oi").alias("i"), F.pmod("x", "mj").alias("j"), (F.col("mj") == 1).alias("alone"))
@@ -193,7 +195,7 @@ def _blocks(rows: DataFrame, step, schema: str) -> DataFrame:
             if asks.any() and not asks.all():
                 yield from step(block, np.flatnonzero(asks), np.flatnonzero(~asks))
 
-    return members.union(asking).repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
+    return members.union(asking).repartition(*key).sortWithinPartitions(*key).mapInArrow(giving_back(run), schema)
 
 
 def _overlaps(block, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -308,10 +310,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, keys: boo
     placed = cut_lineage(_comparable(placed, percent))
     # half of each value is enough to count what two sketches share
     halves = classes.select("c", F.transform("sketch", lambda v: v.bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("of"))
-    near = cut_lineage(_blocks(placed.join(halves, "c"), _sketch_flags, "hub long, c long").distinct())
+    near = cut_lineage(_blocks(placed, halves, _sketch_flags, "hub long, c long").distinct())
     sets = _sets(near.select("c").distinct(), classes, docs, size)
-    meeting = placed.join(near, ["hub", "c"]).join(sets.toDF("c", "of"), "c")
-    more = _blocks(meeting, _set_links(percent), "a long, b long")
+    more = _blocks(placed.join(near, ["hub", "c"]), sets.toDF("c", "of"), _set_links(percent), "a long, b long")
     found = components(found.toDF("a", "b").union(more))      # components so far are stars
 
     # back to the rows: the least id of each component
