@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from sigscreen.llm import decontaminate, encode, language, near, suffixes  # noqa: E402
-from sigscreen.llm.corpus import LAST, reachable, table, unused  # noqa: E402
+from sigscreen.llm.corpus import LAST, maybe_among, reachable, table, unused  # noqa: E402
 from sigscreen.runtime import cut_lineage, shared_folder  # noqa: E402
 
 SIZE = 5                   # words in a near-duplicate shingle
@@ -62,15 +62,16 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     reachable(spark)
     did, fp, left = unused(docs, "did", "fp", "kept")
-    cut = suffixes.repeated_bytes(docs, 2 * SAME_WORDS - 1, (SAME_BYTES, SAME_WORDS)).where("n_removed > 0").select("did", "fp", "kept")
-    cut = cut_lineage(cut.dropDuplicates(["did", "fp"]).select(F.col("did").alias(did), F.col("fp").alias(fp), F.col("kept").alias(left)))
-    rows = _keyed(docs, did, fp).join(cut, [did, fp], "left")
+    cut = suffixes.shortened(docs, 2 * SAME_WORDS - 1, (SAME_BYTES, SAME_WORDS))
+    cut = cut_lineage(cut.select(F.col("did").alias(did), F.col("fp").alias(fp), F.col("kept").alias(left)))
+    some, others = maybe_among(_keyed(docs, did, fp), cut, [did, fp])
+    rows = some.join(cut, [did, fp], "left")
     clean = F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(F.col(left).cast("string"))), "�", "")
     rows = rows.withColumn("text", F.when(F.col(left).isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col(left).isNull(), F.col("n_chars")).otherwise(
             F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+    return rows.select(*docs.columns).union(others.select(*docs.columns))
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigscreen.llm.components import components
-from sigscreen.llm.corpus import LAST, by_key, identified
+from sigscreen.llm.corpus import LAST, by_key, identified, maybe_among
 from sigscreen.llm.texts import SPACED, U, Poly, chunks, find_words, giving_back, word_hashes
 from sigscreen.runtime import cut_lineage
 
@@ -35,7 +35,6 @@ T = 21                 # values that two sketches of similar sets share at least
 WHOLE = 38             # up to this size all similar sets fit into their sketches
 BLOCK = 128            # rows on either side of a block
 BITS = 1 << 25         # of the map of wanted texts, 4 MB
-PAGE = 1 << 15         # bits in one bitmap of Spark's
 
 
 def shingle_sets(part, size: int):
@@ -126,12 +125,7 @@ def _maybe_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     A wanted key sets one bit of a map of ``BITS`` bits, which every executor gets; more keys let more others through, the map
     stays as it is. So texts that nobody wants are not shuffled.
     """
-    at = F.pmod(F.xxhash64("did", "fp"), F.lit(BITS))
-    page, bit = F.floor(at / PAGE), at % PAGE
-    pages = wanted.groupBy(page.alias("_page")).agg(F.bitmap_construct_agg(bit).alias("_map"))
-    held = F.conv(F.hex(F.substring("_map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    kept = docs.withColumn("_page", page).join(F.broadcast(pages), "_page")
-    return kept.where(F.getbit(held, (bit % 8).cast("int")) == 1).select(*docs.columns)
+    return maybe_among(docs, wanted, ["did", "fp"], BITS)[0]
 
 
 def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
