@@ -6,28 +6,35 @@ into one distribution: the id last seen after the two before it (order 2), the i
 it (order 1), each weighted by how often such a prediction has held at its present confidence, and
 for the rest the frequencies of four 4-bit digits (order 0). A range coder codes the id by it.
 
-Blocks are coded side by side: one numpy step codes one id of each. A file is a table of such blocks
-beside the (doc_id, n_tokens) of the texts that start in them.
+A query's blocks are coded by BlockCoder.java, one after another; ``pack`` and ``unpack`` are the same in numpy, many side by side, for
+use without Spark: one step codes one id of each, and both give the same bytes. Java finds the ids too, but for texts with
+uncommon letters or special strings. A file is a table of blocks beside the (doc_id, n_tokens) of the texts that start in them.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
+import weakref
+import zipfile
 import zlib
+from collections import deque
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigscreen.llm.corpus import by_key
 from sigscreen.llm.encode import BLOCK as TEXT_BYTES
 from sigscreen.llm.encode import encoder
-from sigscreen.llm.texts import chunks
-from sigscreen.llm.tokenizer import read_file
+from sigscreen.llm.texts import chunks, giving_back
+from sigscreen.llm.tokenizer import COMMON, Tokenizer, _classes, cached, read_file
 from sigscreen.runtime import cut_lineage
 
 BLOCK = 2048               # ids in a block
-LANES = 1024               # blocks coded side by side
+LANES = 1024               # blocks that pack and unpack take side by side, and at most in a batch that is written
+ROWS = 2000                # texts cut into blocks at a time
 MAGIC = b"TIB1"
 SLOTS = 1 << 13            # contexts of a block's order-1 and order-2 tables
 LEVELS = 8                 # confidences of a prediction
@@ -241,6 +248,51 @@ FILE = "part int, block int, data binary, doc_ids array<long>, sizes array<long>
 FILE_NAMES = ["part", "block", "data", "doc_ids", "sizes"]
 
 
+def coder(spark: SparkSession, name: str, table: bytes | None = None) -> Callable[[Column], Column]:
+    """A function of BlockCoder.java on columns, compiled by the compiler that Spark has for its own plans."""
+    sc = spark.sparkContext
+    jvm = sc._jvm
+    if sc not in _LOADERS:
+        with open(os.path.join(os.path.dirname(os.path.abspath(__file__)), "BlockCoder.java"), encoding="utf-8") as f:
+            source = f.read()
+        compiler = jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.cook(source)
+        classes = compiler.getBytecodes()
+        jar = os.path.join(tempfile.mkdtemp(prefix="sigscreen-coder-"), "sigscreen-coder.jar")
+        with zipfile.ZipFile(jar, "w") as out:
+            for n in list(classes):
+                out.writestr(n.replace(".", "/") + ".class", bytes(classes[n]))
+        sc._jsc.addJar(jar)
+        _LOADERS[sc] = compiler.getClassLoader()
+    function = _LOADERS[sc].loadClass(f"sigscreen.{name}").getConstructors()[0].newInstance(sc._gateway.new_array(jvm.Object, 0))
+    if table is not None:
+        function.load(table)
+    known = f"sigscreen_{name}_{zlib.crc32(table or b'')}"
+    spark._jsparkSession.udf().register(known, function, jvm.org.apache.spark.sql.types.DataTypes.BinaryType)
+    return lambda column: F.call_udf(known, column)
+
+
+_LOADERS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def word_table(tok: Tokenizer, end_id: int) -> bytes | None:
+    """What EncodeText needs of a tokenizer; None for a kind of file that it does not know.
+
+    It splits texts of common letters into lower-case words. A letter whose lower case is not one common letter is for Python,
+    as are texts with a special string.
+    """
+    if not tok.lowers or max(*tok.names, end_id) >= 1 << 16 or not all("<|" in s for s in tok.special):
+        return None
+    classes = _classes()
+    kind = np.full(COMMON, 3)
+    for k, name in enumerate("SLN"):
+        kind[[int(h, 16) for h in classes[name].split("\\u")[1:]]] = k
+    lower = [chr(i).lower() for i in range(COMMON)]
+    merges = [(a, b, rank, new) for (a, b), (rank, new) in tok.merges.items()]
+    return np.array([COMMON, end_id, *tok.first, *tok.last, *(ord(c) if len(c) == 1 and ord(c) < COMMON else -1 for c in lower),
+                     *kind, len(merges), *(x for m in merges for x in m)], "<i4").tobytes()
+
+
 def write_blocks(docs: DataFrame, path: str, end_id: int = 1, parts: int | None = None) -> DataFrame:
     """The file of the rows of (doc_id, text): ids by the tokenizer file at ``path``, ``end_id`` after each text.
 
@@ -253,47 +305,77 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 1, parts: int | None
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").withColumn(
         "part", F.spark_partition_id())
+    words = word_table(cached(file.value, Tokenizer), end_id)
+    ids = coder(spark, "EncodeText", words)("text") if words else F.lit(None).cast("binary")
+    # texts whose ids are still to be found go along, the others do not
+    ordered = ordered.select("doc_id", "part", "text", ids.alias("ids")).select(
+        "doc_id", "part", "ids", F.when(F.col("ids").isNull(), F.col("text")).alias("text"))
 
     def run(batches):
-        enc = encoder(file.value)
-        held = np.zeros(0, np.int64)            # ids not yet in a block
+        held = np.zeros(0, np.uint32)           # ids not yet in a block
         starts: list[tuple[int, int, int]] = []     # (position in the part, doc_id, ids) of texts not yet in a block
         at, block, part = 0, 0, 0               # position of held[0]
 
         def blocks(n):
             nonlocal held, starts, at, block
-            cut = [held[i * BLOCK:(i + 1) * BLOCK] for i in range(n)]
+            size = min(n * BLOCK, len(held))
             own: list[list] = [[] for _ in range(n)]
             rest = []
             for s in starts:
                 k = (s[0] - at) // BLOCK
                 (own[k] if k < n else rest).append(s)
+            cuts = np.minimum(np.arange(n + 1) * BLOCK, size).astype("<i4") * 4
+            raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts), pa.py_buffer(held[:size].astype("<u4"))])
             out = pa.RecordBatch.from_arrays(
-                [pa.array([part] * n, pa.int32()), pa.array(range(block, block + n), pa.int32()), pa.array(pack(cut), pa.binary()),
+                [pa.array([part] * n, pa.int32()), pa.array(range(block, block + n), pa.int32()), raw,
                  pa.array([[s[1] for s in o] for o in own], pa.list_(pa.int64())),
                  pa.array([[s[2] for s in o] for o in own], pa.list_(pa.int64()))], FILE_NAMES)
-            starts, at, block = rest, at + sum(map(len, cut)), block + n
-            held = held[n * BLOCK:]
+            starts, at, block = rest, at + size, block + n
+            held = held[size:]
             return out
 
         for batch in batches:
-            col = batch.column(1)
-            for piece in chunks(col, TEXT_BYTES):
-                part = batch.column(2)[0].as_py()
-                own = slice(piece.lo, piece.hi)
-                flat, ends, _ = enc.texts([t or "" for t in col.slice(piece.lo, piece.hi - piece.lo).to_pylist()])
-                flat = np.insert(flat, ends[1:], end_id)
-                ends = ends + np.arange(len(ends))
+            if not batch.num_rows:
+                continue
+            part = batch.column(1)[0].as_py()
+            for lo in range(0, batch.num_rows, ROWS):
+                piece = batch.slice(lo, ROWS)
+                flat, sizes = _ids(piece, file, end_id)
                 base = at + len(held)
-                names = batch.column(0).to_pylist()[own]
-                starts += zip((base + ends[:-1]).tolist(), names, np.diff(ends).tolist())
+                starts += zip((base + np.cumsum(sizes) - sizes).tolist(), piece.column(0).to_pylist(), sizes.tolist())
                 held = np.concatenate([held, flat])
-                while len(held) >= LANES * BLOCK:
-                    yield blocks(LANES)
-        while len(held):
-            yield blocks(min(LANES, -(-len(held) // BLOCK)))
-
-    return cut_lineage(ordered.mapInArrow(run, FILE))
+                while len(held) >= BLOCK:
+                    yield blocks(min(LANES, len(held) // BLOCK))
+        if len(held):
+            yield blocks(1)
+
+    cut = ordered.mapInArrow(giving_back(run), FILE.replace("data", "ids"))
+    return cut_lineage(cut.select("part", "block", coder(spark, "PackBlock")("ids").alias("data"), "doc_ids", "sizes"))
+
+
+def _ids(rows: pa.RecordBatch, file, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows in one array, and the number of ids per row; those of rows without are found here."""
+    col = rows.column(2)
+    _, places, raw = col.buffers()
+    kind = np.int64 if pa.types.is_large_binary(col.type) else np.int32
+    ends = np.frombuffer(places, kind)[col.offset:col.offset + len(col) + 1] // 2
+    flat = np.frombuffer(raw, "<u2", ends[-1]) if raw is not None and ends[-1] else np.zeros(0, "<u2")
+    if not col.null_count:
+        return flat[ends[0]:].astype(np.uint32), np.diff(ends).astype(np.int64)
+    enc = encoder(file.value)
+    lone = np.flatnonzero(col.is_null().to_numpy(zero_copy_only=False))
+    texts = rows.column(3).take(pa.array(lone))
+    found: list[np.ndarray] = []
+    for piece in chunks(texts, TEXT_BYTES):
+        more, cuts, _ = enc.texts([t or "" for t in texts.slice(piece.lo, piece.hi - piece.lo).to_pylist()])
+        found += [np.append(more[a:b], end_id) for a, b in zip(cuts[:-1], cuts[1:])]
+    sizes = np.diff(ends).astype(np.int64)
+    sizes[lone] = [len(f) for f in found]
+    out, at = [], 0
+    for i, f in zip(lone.tolist(), found):
+        out += [flat[ends[at]:ends[i]], f]
+        at = i + 1
+    return np.concatenate([*out, flat[ends[at]:]]).astype(np.uint32), sizes
 
 
 def read_blocks(file: DataFrame) -> DataFrame:
@@ -301,32 +383,36 @@ def read_blocks(file: DataFrame) -> DataFrame:
     names = ["part", "doc_id", "local", "n_tokens", "ids_crc32"]
 
     def run(batches):
-        for part, rows in _parts(batches):
-            texts: list[tuple[int, int]] = []        # (doc_id, ids) of the texts whose ids are still to come
-            crc = have = at = 0                     # of the text being read, and the position of its start
-            for group in rows:
-                out = []
-                ids = unpack(group.column("data").to_pylist())
-                for own, docs, sizes in zip(ids, group.column("doc_ids").to_pylist(), group.column("sizes").to_pylist()):
-                    texts += zip(docs, sizes)
-                    lo = 0
-                    raw = own.astype("<u4")
-                    done = 0
-                    for doc, n in texts:
-                        use = min(n - have, len(raw) - lo)
-                        crc = zlib.crc32(raw[lo:lo + use].tobytes(), crc)
-                        lo, have = lo + use, have + use
-                        if have < n:
-                            break
-                        out.append((part, doc, at, n, crc))
-                        at, crc, have, done = at + n, 0, 0, done + 1
-                    texts = texts[done:]
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.int64()] * 4))], names)
-
-    rows = file.repartition("part").sortWithinPartitions("part", "block").mapInArrow(
-        run, "part int, doc_id long, local long, n_tokens long, ids_crc32 long")
+        now = None
+        texts: deque[tuple[int, int]] = deque()     # (doc_id, ids) of the texts whose ids are still to come
+        crc = have = at = 0                     # of the text being read, and the position of its start
+        for batch in batches:
+            parts = batch.column(0).to_numpy()
+            ids, docs, sizes = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            out = []
+            for part, own, d, s in zip(parts.tolist(), ids, docs, sizes):
+                if part != now:
+                    now, crc, have, at = part, 0, 0, 0
+                    texts.clear()
+                texts += zip(d, s)
+                lo, raw = 0, memoryview(own)
+                while texts:
+                    doc, n = texts[0]
+                    use = min(4 * (n - have), len(raw) - lo)
+                    crc = zlib.crc32(raw[lo:lo + use], crc)
+                    lo, have = lo + use, have + use // 4
+                    if have < n:
+                        break
+                    out.append((part, doc, at, n, crc))
+                    at, crc, have = at + n, 0, 0
+                    texts.popleft()
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), *[pa.int64()] * 4))], names)
+
+    ordered = file.repartition("part").sortWithinPartitions("part", "block")
+    rows = ordered.select("part", coder(file.sparkSession, "UnpackBlock")("data").alias("ids"), "doc_ids", "sizes").mapInArrow(
+        giving_back(run), "part int, doc_id long, local long, n_tokens long, ids_crc32 long")
     rows = cut_lineage(rows)
     # where each part begins; a row per part
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -335,38 +421,6 @@ def read_blocks(file: DataFrame) -> DataFrame:
         "doc_id", (F.col("local") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def _parts(batches):
-    """(part, its tables of at most ``LANES`` blocks) in order."""
-    def pieces(first, rest):
-        yield first
-        for part, table in rest:
-            if part != first_part[0]:
-                pending.append((part, table))
-                return
-            yield table
-
-    def cut():
-        held: list[pa.Table] = []
-        now = None
-        for block in by_key(batches, ["part", "block"]):
-            part = block.column("part")[0].as_py()
-            if held and (part != now or len(held) >= LANES):
-                yield now, pa.concat_tables(held)
-                held = []
-            now = part
-            held.append(block)
-        if held:
-            yield now, pa.concat_tables(held)
-
-    source, pending, first_part = cut(), [], [None]
-    while True:
-        got = pending.pop() if pending else next(source, None)
-        if got is None:
-            return
-        first_part[0] = got[0]
-        yield got[0], pieces(got[1], source)
-
-
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each row, from the written and decoded file.
 
